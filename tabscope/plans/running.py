@@ -59,28 +59,35 @@ def average_ranks(
     return ranked, rows
 
 
-def with_rank(
-    df: DataFrame, value: Column, out: str, settings: Settings = DEFAULT
+def attach(
+    df: DataFrame, key: str, lookup: DataFrame, out: str, rows: int, settings: Settings = DEFAULT
 ) -> DataFrame:
-    """Add the average rank of ``value`` among all rows of ``df`` (NULL for NULL).
+    """Add ``out`` from lookup(value, n, <out>) where value equals ``key``; NULL keys get NULL.
 
-    A small rank table is broadcast after its size is checked.  A large one is joined by
-    shuffle, with the few frequent values looked up by broadcast so that no join key is hot.
+    A lookup of checked small size is broadcast.  A large one is joined by shuffle, with the
+    few values that hold many rows looked up by broadcast so that no join key is hot.
     """
-    ranked, rows = average_ranks(df, value, settings)
-    key, hot_out = f"__{out}_key", f"__{out}_hot"
-    keyed = df.withColumn(key, value)
-    lookup = ranked.select(F.col("value").alias(key), F.col("rank").alias(out), "n")
+    small = lookup.select(F.col("value").alias("__value"), F.col(out), "n")
+    same = col(key) == F.col("__value")
     if rows <= settings.broadcast_rows:
-        return keyed.join(F.broadcast(lookup.drop("n")), key, "left").drop(key)
-    lookup = stored(lookup, "ranks")
-    total = lookup.agg(F.sum("n")).first()[0]
+        return df.join(F.broadcast(small.drop("n")), same, "left").drop("__value")
+    small = stored(small, "lookup")
+    total = small.agg(F.sum("n")).first()[0]
     # at most 10,000 values can hold a ten-thousandth of the rows each
-    hot = lookup.where(F.col("n") >= total / 10_000).select(key, F.col(out).alias(hot_out))
-    cold = lookup.where(F.col("n") < total / 10_000).drop("n")
-    marked = keyed.join(F.broadcast(hot), key, "left")
-    unmatched = F.col(hot_out).isNull() & F.col(key).isNotNull()
-    done = marked.where(~unmatched).withColumnRenamed(hot_out, out)
-    joined = marked.where(unmatched).drop(hot_out).join(cold, key, "left")
-    names = [col(c) for c in [*df.columns, out]]
-    return done.select(*names).unionByName(joined.select(*names))
+    hot = small.where(F.col("n") >= total / 10_000).select(F.col("__value"), F.col(out))
+    cold = small.where(F.col("n") < total / 10_000).drop("n")
+    marked = df.join(F.broadcast(hot), same, "left")
+    unmatched = F.col(out).isNull() & col(key).isNotNull()
+    done = marked.where(~unmatched).drop("__value")
+    rest = marked.where(unmatched).drop("__value", out)
+    return done.unionByName(rest.join(cold, same, "left").drop("__value"))
+
+
+def with_rank(
+    df: DataFrame, value: Column, out: str, settings: Settings = DEFAULT
+) -> DataFrame:
+    """Add the average rank of ``value`` among all rows of ``df`` (NULL for NULL)."""
+    ranked, rows = average_ranks(df, value, settings)
+    key = f"__{out}_key"
+    return attach(df.withColumn(key, value), key, ranked.withColumnRenamed("rank", out), out,
+                  rows, settings).drop(key)
