@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tabscope.functions.columns import (
     as_rows, col, fields, groupable, missing_band, percent_text, present, share, stored_kind,
 )
-from tabscope.plans.counts import VALUE, value_counts
+from tabscope.plans.counts import value_counts
 from tabscope.settings import DEFAULT, Settings
 
 
@@ -104,7 +104,7 @@ def low_variance(df: DataFrame, columns: Sequence[str] | None = None, *, setting
     per_column = counts.groupBy("column").agg(
         F.count("*").alias("n_unique"), F.sum("n").alias("present"), F.max("n").alias("top_n"),
         # the most frequent value, the smallest of those that tie
-        F.min_by(VALUE, F.struct(-F.col("n"), F.col("number"), F.col("real"), F.col("text"))).alias("dominant_value"))
+        F.min_by("value", F.struct(-F.col("n"), F.col("number"), F.col("real"), F.col("text"))).alias("dominant_value"))
     listed = df.sparkSession.createDataFrame(
         [(i, f.name) for i, f in enumerate(wanted)], "position int, column string")
     rows = df.agg(F.count(F.lit(1)).alias("rows"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabscope.functions.columns import COUNT_FIELDS, FLOAT_FIELDS, col, fields, present, stored_kind
 
-VALUE = F.coalesce(F.col("number").cast("string"), F.col("real").cast("string"), F.col("text"))
+
+def value_text() -> Column:
+    """The counted value as text, whichever typed field holds it."""
+    return F.coalesce(F.col("number").cast("string"), F.col("real").cast("string"), F.col("text"))
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -39,7 +42,7 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     names = F.array(*[F.lit(f.name) for f in wanted])
     return counted.select(
         position.alias("position"), F.element_at(names, position + 1).alias("column"),
-        "number", "real", "text", VALUE.alias("value"), "n")
+        "number", "real", "text", value_text().alias("value"), "n")
 
 
 _SCHEMA = ("position int, column string, number bigint, real double, text string, "
