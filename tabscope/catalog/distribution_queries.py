@@ -90,12 +90,12 @@ _FENCE = """f AS (SELECT quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({
 WITH {_FENCE.format(c='value', t='events')},
 p AS (SELECT *, least(60, greatest(10, floor(sqrt(n))::INT + 1)) AS bins FROM f),
 b AS (SELECT least(floor((value - lo) / ((hi - lo) / bins)), bins - 1)::BIGINT AS bin, value, p.* FROM events, p)
-SELECT bin, {rnd('any_value(lo) + bin * ((any_value(hi) - any_value(lo)) / any_value(bins))', 4)} AS low,
-       {rnd('any_value(lo) + (bin + 1) * ((any_value(hi) - any_value(lo)) / any_value(bins))', 4)} AS high,
+SELECT bin, {rnd('any_value(lo) + bin * ((any_value(hi) - any_value(lo)) / any_value(bins))', 8)} AS low,
+       {rnd('any_value(lo) + (bin + 1) * ((any_value(hi) - any_value(lo)) / any_value(bins))', 8)} AS high,
        count(*) AS n, count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS outliers
 FROM b GROUP BY bin""")
 def histogram(spark, folder):
-    return rounded(numeric.histogram(table(spark, folder, "events"), "value"), 4)
+    return rounded(numeric.histogram(table(spark, folder, "events"), "value"), 8)
 
 
 def _box(c):

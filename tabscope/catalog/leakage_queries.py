@@ -33,7 +33,7 @@ def column_facts(spark, folder):
     return rounded(leakage.column_facts(labelled(spark, folder)))
 
 
-TOKENS = "list_filter(string_split(lower(\"column\"), '_'), t -> t <> '')"
+TOKENS = "list_filter(string_split(lower(\"column\"), '_'), lambda t: t <> '')"
 
 
 @query("target_candidates", f"""{WITH}, f AS ({FACTS}),
@@ -69,11 +69,11 @@ def identifier_signals(spark, folder):
 
 OUTCOME = f"""WITH s AS (SELECT "column", role = 'datetime' OR n_unique <= 2 AS status, {TOKENS} AS t FROM f WHERE "column" <> 'is_big'),
 m AS (SELECT "column", status,
-  list_filter(t, x -> x IN ('after','post','final','end','exit','close','closed','resolved','followup','closure','next')
+  list_filter(t, lambda x: x IN ('after','post','final','end','exit','close','closed','resolved','followup','closure','next')
     OR (status AND x IN ('completion','completed','graduated','survival','survived','settled'))
     OR x IN ('target','label','outcome','result','final','after','post','resolved','closed','approved','decision','converted','churned',
              'repaid','default','survived','diagnosis','response','winner','outcome_flag')) AS strong,
-  list_filter(t, x -> x IN ('score','grade','status','class','rank','total','amount','value')) AS weak FROM s)
+  list_filter(t, lambda x: x IN ('score','grade','status','class','rank','total','amount','value')) AS weak FROM s)
 SELECT "column", CASE WHEN len(strong) = 0 THEN 'info' ELSE 'low' END AS severity, status AS status_like FROM m WHERE len(strong) + len(weak) > 0"""
 
 

@@ -134,7 +134,7 @@ def association_sql(source: str, columns) -> str:
 V = """CASE WHEN lr < 2 OR lk < 2 THEN 0.0 ELSE sqrt(greatest(0.0, chi2 / n - (lk - 1) * (lr - 1) / (n - 1))
   / least(lk - (lk - 1) * (lk - 1) / (n - 1) - 1, lr - (lr - 1) * (lr - 1) / (n - 1) - 1)) END"""
 # the chi-square tail has a closed form for even degrees of freedom
-EVEN_P = "exp(-chi2 / 2) * list_sum(list_transform(range(0, ((lr - 1) * (lk - 1) / 2)::BIGINT), i -> pow(chi2 / 2, i) / gamma(i + 1)))"
+EVEN_P = "exp(-chi2 / 2) * list_sum(list_transform(range(0, ((lr - 1) * (lk - 1) / 2)::BIGINT), lambda i: pow(chi2 / 2, i) / gamma(i + 1)))"
 
 
 @query("associations", f"""WITH d AS ({sql('lineitem', GRADED)}), t AS ({association_sql('d', GRADE_NAMES)})

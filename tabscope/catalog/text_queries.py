@@ -89,7 +89,7 @@ def parse_numbers(spark, folder):
 
 
 @query("name_tokens", """
-SELECT column_name AS "column", array_to_string(list_filter(string_split(lower(column_name), '_'), t -> t <> ''), ' ') AS words
+SELECT column_name AS "column", array_to_string(list_filter(string_split(lower(column_name), '_'), lambda t: t <> ''), ' ') AS words
 FROM (SELECT unnest(['o_orderkey','o_custkey','o_orderstatus','o_totalprice','o_orderdate','o_orderpriority']) AS column_name) c""")
 def name_tokens(spark, folder):
     words = profile.name_words(profile.column_roles(table(spark, folder, "orders")))
@@ -109,17 +109,9 @@ def _lines(spark, folder, separator=";"):
             .when(F.col("value") > 240, F.concat_ws(separator, "event_id", "event_type"))
             .when(F.col("value") < 0.5, F.lit(separator * 3)).otherwise(field))
     header = separator.join(["event_id", " kind ", "user", "kind"])
-    # every file starts with the header, as each is read on its own
-    rows = e.select(line.alias("value"))
-    def with_header(batches):
-        import pyarrow as pa
-        first = True
-        for batch in batches:
-            if first:
-                yield pa.RecordBatch.from_pydict({"value": [header]})
-                first = False
-            yield batch
-    rows.mapInArrow(with_header, "value string").write.text(path)
+    # one column named like the header: the writer then starts every file with it
+    (e.select(line.alias(header)).write.option("header", True).option("sep", "\u0001").option("quote", "\u0000")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -184,6 +185,21 @@ def as_rows(row: DataFrame, structs: Sequence[Column]) -> DataFrame:
     return row.select(F.inline(F.array(*structs)))
 
 
+def in_passes(df: DataFrame, items: Sequence, buffers: int, build, limit: int) -> DataFrame:
+    """One row per item from as few scans as keep each aggregate code-generated.
+
+    ``build(i, item)`` gives the item's aggregates, aliased with i, and the struct that reads
+    them; an item takes ``buffers`` aggregation buffer fields out of ``limit`` per scan.
+    """
+    step = max(1, limit // buffers)
+    parts = []
+    for start in range(0, len(items), step):
+        built = [build(i, item) for i, item in enumerate(items[start:start + step])]
+        row = df.agg(*[e for exprs, _ in built for e in exprs])
+        parts.append(as_rows(row, [s for _, struct in built for s in (struct if isinstance(struct, list) else [struct])]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---- text for people ---------------------------------------------------------
 
 def percent_text(rate: Column, decimals: int = 1) -> Column:

@@ -20,7 +20,11 @@ def expected_path(n):
 
 
 def grow_tree(points: np.ndarray, rng: np.random.Generator, depth_limit: int) -> list[tuple]:
-    """Nodes (node, feature, threshold, left, right, path) of one tree; leaves point at themselves."""
+    """Nodes (node, feature, threshold, left, path) of one tree.
+
+    The right child is the left one plus one; a leaf points at itself with an endless
+    threshold, so that a walk of fixed length stays on it.
+    """
     nodes: list[tuple] = []
     waiting = [(0, np.arange(len(points)), 0)]
     issued = 1
@@ -30,27 +34,30 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator, depth_limit: int) ->
         low, high = inside.min(axis=0), inside.max(axis=0)
         splittable = np.flatnonzero(high > low)
         if depth >= depth_limit or len(rows) <= 1 or not len(splittable):
-            nodes.append((node, 0, 0.0, node, node, depth + float(expected_path(len(rows)))))
+            nodes.append((node, 0, np.inf, node, depth + float(expected_path(len(rows)))))
             continue
         feature = int(rng.choice(splittable))
         threshold = float(rng.uniform(low[feature], high[feature]))
         goes_left = inside[:, feature] <= threshold
         left, right = issued, issued + 1
         issued += 2
-        nodes.append((node, feature, threshold, left, right, 0.0))
+        nodes.append((node, feature, threshold, left, 0.0))
         waiting.append((right, rows[~goes_left], depth + 1))
         waiting.append((left, rows[goes_left], depth + 1))
     return nodes
 
 
-def mean_path(points: np.ndarray, trees: dict, depth_limit: int) -> np.ndarray:
-    """Mean path length of each point over all trees."""
-    total = np.zeros(len(points))
-    rows = np.arange(len(points))
-    for feature, threshold, left, right, path in zip(
-            trees["feature"], trees["threshold"], trees["left"], trees["right"], trees["path"]):
-        at = np.zeros(len(points), dtype="int32")
+def mean_path(columns: list[np.ndarray], trees: dict, depth_limit: int) -> np.ndarray:
+    """Mean path length over all trees of the rows given by their feature columns."""
+    n = len(columns[0])
+    values = np.concatenate(columns)  # feature f of row i is at f * n + i
+    rows = np.arange(n)
+    total = np.zeros(n)
+    for feature, threshold, left, path in zip(trees["feature"], trees["threshold"], trees["left"], trees["path"]):
+        start = feature * n
+        at = np.zeros(n, dtype=np.intp)
         for _ in range(depth_limit):
-            at = np.where(points[rows, feature[at]] <= threshold[at], left[at], right[at])
-        total += path[at]
+            goes_right = values.take(start.take(at) + rows) > threshold.take(at)
+            at = left.take(at) + goes_right
+        total += path.take(at)
     return total / len(trees["feature"])

@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabscope.functions.columns import as_rows, col, fields, finite, groupable, of_kind, share
 from tabscope.functions.isolation import expected_path, grow_tree, mean_path
-from tabscope.plans.counts import few_distinct
-from tabscope.plans.quantiles import exact_quantiles, medians_and_mads
+from tabscope.plans.facts import NumberFacts, number_facts
+from tabscope.plans.quantiles import exact_quantiles
 from tabscope.plans.running import attach, average_ranks
 from tabscope.plans.stored import stored
 from tabscope.settings import DEFAULT, Settings
 
-NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, path double")
+NODE_SCHEMA = "tree int, node int, feature long, threshold double, left long, path double"
 PICK_RANGE = 1 << 40
 
 
@@ -40,24 +40,19 @@ class Forest:
     offset: float | None = None
 
 
-def anomaly_features(df: DataFrame, columns: Sequence[str] | None = None, *,
-                     settings: Settings = DEFAULT) -> tuple[list[str], list[str]]:
-    """(used, left out): numeric columns with at least four distinct values, and the rest."""
+def anomaly_features(df: DataFrame, columns: Sequence[str] | None = None, *, settings: Settings = DEFAULT,
+                     facts: dict[str, NumberFacts] | None = None) -> tuple[list[str], list[str], dict[str, NumberFacts]]:
+    """(used, left out, facts): numeric columns with at least four distinct values, and the rest."""
     names = of_kind(df, "numeric", columns)
-    classes = few_distinct(df, names)
-    used = [n for n in names if classes[n] >= settings.min_distinct_outliers]
-    return used, [n for n in names if n not in used and classes[n] > 0]
+    facts = number_facts(df, names, settings=settings) if facts is None else facts
+    used = [n for n in names if facts[n].distinct_class >= settings.min_distinct_outliers]
+    return used, [n for n in names if n not in used and facts[n].n], facts
 
 
 def imputed(df: DataFrame, features: Sequence[str], medians: dict[str, float]) -> list[Column]:
     return [F.coalesce(finite(f), F.lit(medians[f.name])) for f in fields(df, features)]
 
 
-def feature_medians(df: DataFrame, features: Sequence[str], settings: Settings = DEFAULT) -> dict[str, float]:
-    values = {f.name: finite(f) for f in fields(df, features)}
-    return {n: q[0] for n, q in exact_quantiles(df, values, [0.5], settings).items() if q}
-
-
 def standardised(df: DataFrame, columns: Sequence[str] | None = None, *, id_columns: Sequence[str] = (),
                  settings: Settings = DEFAULT) -> DataFrame:
     """Features with gaps and infinities replaced by the median, then scaled to mean 0, deviation 1.
@@ -65,22 +60,23 @@ def standardised(df: DataFrame, columns: Sequence[str] | None = None, *, id_colu
     The forest itself works on unscaled values: scaling each feature does not change where
     an isolation tree can split.
     """
-    used, _ = anomaly_features(df, columns, settings=settings)
-    full = imputed(df, used, feature_medians(df, used, settings))
+    used, _, facts = anomaly_features(df, columns, settings=settings)
+    full = imputed(df, used, {n: facts[n].quartiles[1] for n in used})
     row = df.agg(*[e for i, v in enumerate(full) for e in (F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}"))]).first()
     return df.select(*[col(c) for c in id_columns], *[
         ((v - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"] or 1.0)).alias(used[i]) for i, v in enumerate(full)])
 
 
-def grow_forest(df: DataFrame, features: Sequence[str], *, id_columns: Sequence[str] = (),
-                trees: int | None = None, settings: Settings = DEFAULT) -> Forest:
+def grow_forest(df: DataFrame, features: Sequence[str], *, id_columns: Sequence[str] = (), trees: int | None = None,
+                settings: Settings = DEFAULT, facts: dict[str, NumberFacts] | None = None) -> Forest:
     """Draw a sample per tree, grow the trees in parallel, bring their nodes to the driver.
 
     With id columns the draw depends on ids and seed only, not on how rows are stored.
     """
     trees = settings.trees if trees is None else trees
     features = list(features)
-    medians = feature_medians(df, features, settings)
+    facts = number_facts(df, features, settings=settings, mads=False) if facts is None else facts
+    medians = {n: facts[n].quartiles[1] for n in features}
     rows = df.count()
     sample = min(settings.tree_sample, rows)
     depth_limit = max(1, math.ceil(math.log2(max(sample, 2))))
@@ -110,14 +106,14 @@ def grow_forest(df: DataFrame, features: Sequence[str], *, id_columns: Sequence[
         ordered = rows_of_tree.sort_values(["pick", "key"], kind="stable")
         nodes = grow_tree(np.array(ordered["point"].tolist(), dtype="float64"),
                           np.random.default_rng([seed, tree]), depth_limit)
-        out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "path"])
+        out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "path"])
         out.insert(0, "tree", tree)
         return out
 
     grow.__annotations__ = {"key": tuple, "rows_of_tree": pd.DataFrame, "return": pd.DataFrame}
     nodes = drawn.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()  # <= trees x 2 x sample rows
-    parts: dict[str, list[np.ndarray]] = {k: [] for k in ("feature", "threshold", "left", "right", "path")}
-    kinds = {"feature": "int32", "threshold": "float64", "left": "int32", "right": "int32", "path": "float64"}
+    parts: dict[str, list[np.ndarray]] = {k: [] for k in ("feature", "threshold", "left", "path")}
+    kinds = {"feature": "int64", "threshold": "float64", "left": "int64", "path": "float64"}
     for _, tree in nodes.sort_values(["tree", "node"]).groupby("tree"):
         for k in parts:
             parts[k].append(tree[k].to_numpy(dtype=kinds[k]))
@@ -129,19 +125,19 @@ def anomaly_score(df: DataFrame, forest: Forest) -> Column:
     model = df.sparkSession.sparkContext.broadcast(forest.trees)
     limit, scale = forest.depth_limit, float(max(expected_path(forest.sample), 1e-12))
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         trees = model.value
         for batch in batches:
-            points = np.array(batch.tolist(), dtype="float64").reshape(len(batch), -1)
-            yield pd.Series(-np.exp2(-mean_path(points, trees, limit) / scale))
+            columns = [c.to_numpy(dtype="float64") for c in batch]
+            yield pd.Series(-np.exp2(-mean_path(columns, trees, limit) / scale))
 
-    score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(score, T.DoubleType())(F.array(*imputed(df, forest.features, forest.medians)))
+    score.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(score, T.DoubleType())(*imputed(df, forest.features, forest.medians))
 
 
 @dataclass
 class AnomalyResult:
-    """``records`` holds every input row with its score; the other fields are small."""
+    """``records`` holds every input row with its score, ``scores`` the stored scores alone."""
 
     available: bool
     reason: str
@@ -149,11 +145,12 @@ class AnomalyResult:
     features: list[str]
     forest: Forest | None = None
     records: DataFrame | None = None
+    scores: DataFrame | None = None
 
 
 def detect_anomalies(df: DataFrame, columns: Sequence[str] | None = None, *, contamination: float | None = None,
                      trees: int | None = None, id_columns: Sequence[str] = (), with_percentile: bool = True,
-                     settings: Settings = DEFAULT) -> AnomalyResult:
+                     settings: Settings = DEFAULT, facts: dict[str, NumberFacts] | None = None) -> AnomalyResult:
     """Score all rows and label the share ``contamination`` with the lowest scores.
 
     The labels' cut is the exact quantile of all scores.  For it only the scores are
@@ -167,13 +164,13 @@ def detect_anomalies(df: DataFrame, columns: Sequence[str] | None = None, *, con
     if rows < s.anomaly_rows:
         return AnomalyResult(False, f"{rows} rows are too few: at least {s.anomaly_rows} are needed.",
                              contamination, [])
-    used, left_out = anomaly_features(df, columns, settings=s)
+    used, left_out, facts = anomaly_features(df, columns, settings=s, facts=facts)
     if len(used) < s.anomaly_features:
         return AnomalyResult(False, f"{len(used)} usable numeric column(s): at least {s.anomaly_features} are needed.",
                              contamination, used)
-    forest = grow_forest(df, used, id_columns=id_columns, trees=trees, settings=s)
+    forest = grow_forest(df, used, id_columns=id_columns, trees=trees, settings=s, facts=facts)
     score = anomaly_score(df, forest)
-    scores = stored(df.select(score.alias("anomaly_score")), "scores")
+    scores = stored(_spread(df.select(*[col(f) for f in used])).select(score.alias("anomaly_score")), "scores")
     forest.offset = exact_quantiles(scores, {"s": F.col("anomaly_score")}, [contamination], s)["s"][0]
     records = df.withColumn("anomaly_score", score)
     decision = F.col("anomaly_score") - F.lit(forest.offset)
@@ -181,7 +178,13 @@ def detect_anomalies(df: DataFrame, columns: Sequence[str] | None = None, *, con
     if with_percentile:
         records = with_percentile_rank(records, "anomaly_score", "anomaly_percentile", source=scores, settings=s)
     reason = f"Left out for having fewer than {s.min_distinct_outliers} distinct values: {', '.join(left_out)}." if left_out else ""
-    return AnomalyResult(True, reason, contamination, used, forest, records)
+    return AnomalyResult(True, reason, contamination, used, forest, records, scores)
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Use all cores for scoring where the table comes in fewer pieces than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def with_percentile_rank(df: DataFrame, column: str, out: str, *, source: DataFrame | None = None,
@@ -200,8 +203,8 @@ def anomaly_summary(result: AnomalyResult, spark) -> DataFrame:
               "anomaly_rate double, features_used array<string>, mean_score double")
     if not result.available:
         return spark.createDataFrame([(False, result.reason, result.contamination, 0, 0, 0.0, result.features, None)], schema)
-    row = result.records.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("a"),
-                             F.avg("anomaly_score").alias("m"))
+    low = F.col("anomaly_score") - F.lit(result.forest.offset) < 0
+    row = result.scores.agg(F.count(F.lit(1)).alias("n"), F.count_if(low).alias("a"), F.avg("anomaly_score").alias("m"))
     return row.select(
         F.lit(True).alias("available"), F.lit(result.reason).alias("reason"),
         F.lit(result.contamination).alias("contamination"), F.col("n").alias("n_rows_scored"),
@@ -210,19 +213,18 @@ def anomaly_summary(result: AnomalyResult, spark) -> DataFrame:
 
 
 def feature_deviations(records: DataFrame, features: Sequence[str], *, flag: str = "is_anomaly",
-                       settings: Settings = DEFAULT, base: DataFrame | None = None) -> DataFrame:
+                       settings: Settings = DEFAULT, facts: dict[str, NumberFacts] | None = None) -> DataFrame:
     """Mean and largest absolute robust z-score of each feature among the flagged rows.
 
-    Medians and deviations are those of all rows; ``base`` may give the same rows unscored.
+    Medians and deviations are those of all rows; ``facts`` may bring them from the unscored table.
     """
     schema = "feature string, mean_robust_z double, max_abs_robust_z double"
-    table = records if base is None else base
-    values = {f.name: finite(f) for f in fields(table, features)}
-    centers = {n: c for n, c in medians_and_mads(table, values, settings).items() if c and c[1] != 0}
-    if not centers:
+    facts = number_facts(records, features, settings=settings) if facts is None else facts
+    values = {f.name: finite(f) for f in fields(records, features)}
+    names = [n for n in features if facts[n].mad]
+    if not names:
         return records.sparkSession.createDataFrame([], schema)
-    names = list(centers)
-    z = [F.abs(settings.mad_scale * (values[n] - centers[n][0]) / centers[n][1]) for n in names]
+    z = [F.abs(settings.mad_scale * (values[n] - facts[n].quartiles[1]) / facts[n].mad) for n in names]
     row = records.where(col(flag)).agg(*[e for i in range(len(names)) for e in (
         F.avg(z[i]).alias(f"m{i}"), F.max(z[i]).alias(f"x{i}"))])
     return as_rows(row, [F.struct(F.lit(n).alias("feature"), F.col(f"m{i}").alias("mean_robust_z"),

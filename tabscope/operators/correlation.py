@@ -7,9 +7,9 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabscope.functions.columns import as_rows, banded, fields, finite, of_kind
+from tabscope.functions.columns import banded, col, fields, finite, in_passes, of_kind
 from tabscope.functions.pvalues import correlation_p_value, normal_p_value
-from tabscope.plans.counts import few_distinct
+from tabscope.plans.facts import NumberFacts, number_facts
 from tabscope.plans.running import attach, running_totals, with_rank
 from tabscope.plans.stored import stored
 from tabscope.settings import DEFAULT, Settings
@@ -18,11 +18,12 @@ PAIR_SCHEMA = ("column_a string, column_b string, r double, abs_r double, p_valu
                "n_observations bigint, reliable boolean, strength string, direction string")
 
 
-def eligible_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
+def eligible_columns(df: DataFrame, columns: Sequence[str] | None = None, *,
+                     facts: dict[str, NumberFacts] | None = None) -> list[str]:
     """Numeric columns with two distinct finite values or more."""
     names = of_kind(df, "numeric", columns)
-    classes = few_distinct(df, names)
-    return [n for n in names if classes[n] >= 2]
+    facts = number_facts(df, names, mads=False, quartiles=False) if facts is None else facts
+    return [n for n in names if facts[n].distinct_class >= 2]
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson", *,
@@ -35,7 +36,9 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, metho
     table = df.select(*[finite(f).alias(f"v{i}") for i, f in enumerate(fields(df, names))])
     pairs = list(combinations(range(len(names)), 2))
     if method == "pearson":
-        raw = pearson(table, pairs, settings)
+        row = table.agg(F.count(F.lit(1)).alias("rows"), *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]).first()
+        full = {i for i in range(len(names)) if row[f"n{i}"] == row["rows"]}
+        raw = pearson(table, pairs, settings, full)
     elif method == "spearman":
         raw = spearman(table, pairs, settings)
     elif method == "kendall":
@@ -67,27 +70,50 @@ def strength(abs_r, s: Settings = DEFAULT):
                                  (s.r_near_perfect, "near-perfect")], "very weak")
 
 
-def pearson(table: DataFrame, pairs: Sequence[tuple[int, int]], settings: Settings = DEFAULT) -> DataFrame:
-    """(a, b, r, n, z) per pair; each pass over the table handles a bounded number of pairs."""
-    parts, per_pass = [], max(1, settings.expressions_per_pass // 2)
-    for start in range(0, len(pairs), per_pass):
-        part = pairs[start:start + per_pass]
-        exprs, structs = [], []
-        for i, (a, b) in enumerate(part):
-            # restricting both sides keeps deviations over the pair's own rows
-            x = F.when(F.col(f"v{b}").isNotNull(), F.col(f"v{a}"))
-            y = F.when(F.col(f"v{a}").isNotNull(), F.col(f"v{b}"))
-            exprs += [F.covar_pop(f"v{a}", f"v{b}").alias(f"c{i}"), F.stddev_pop(x).alias(f"x{i}"),
-                      F.stddev_pop(y).alias(f"y{i}"), F.count(x).alias(f"n{i}")]
+def pearson(table: DataFrame, pairs: Sequence[tuple[int, int]], settings: Settings = DEFAULT,
+            full: set[int] = frozenset()) -> DataFrame:
+    """(a, b, r, n, z) per pair.
+
+    Pairs are spread over scans small enough for generated code.  Many columns without gaps
+    (``full``) are taken together instead, as one matrix product in a single scan.
+    """
+    parts = []
+    dense = sorted(full & {i for p in pairs for i in p})
+    if len(dense) > settings.gram_columns:
+        parts.append(_pearson_dense(table, dense, {p for p in pairs if p[0] in full and p[1] in full}))
+        pairs = [p for p in pairs if not (p[0] in full and p[1] in full)]
+
+    def build(i, pair):
+        a, b = pair
+        both = F.col(f"v{a}").isNotNull() & F.col(f"v{b}").isNotNull()
+        if a in full and b in full:  # such columns vary, so corr cannot divide by zero
+            exprs, r = [F.corr(f"v{a}", f"v{b}").alias(f"r{i}")], F.col(f"r{i}")
+        else:  # within the pair's rows a column may be constant
+            x, y = F.when(both, F.col(f"v{a}")), F.when(both, F.col(f"v{b}"))
+            exprs = [F.covar_pop(f"v{a}", f"v{b}").alias(f"c{i}"), F.stddev_pop(x).alias(f"x{i}"), F.stddev_pop(y).alias(f"y{i}")]
             r = F.try_divide(F.col(f"c{i}"), F.col(f"x{i}") * F.col(f"y{i}"))
-            structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                                    F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("r"),
-                                    F.col(f"n{i}").alias("n"), F.lit(None).cast("double").alias("z")))
-        parts.append(as_rows(table.agg(*exprs), structs))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        limited = F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
+        return [*exprs, F.count_if(both).alias(f"n{i}")], F.struct(
+            F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(r), limited).alias("r"),
+            F.col(f"n{i}").alias("n"), F.lit(None).cast("double").alias("z"))
+
+    if pairs:
+        complete = all(a in full and b in full for a, b in pairs)
+        parts.append(in_passes(table, list(pairs), 7 if complete else 11, build, settings.fields_per_pass))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _pearson_dense(table: DataFrame, columns: list[int], wanted: set[tuple[int, int]]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    names = [f"v{i}" for i in columns]
+    vectors = VectorAssembler(inputCols=names, outputCol="vector").transform(table.select(*names)).select("vector")
+    matrix = Correlation.corr(vectors, "vector", "pearson").first()[0].toArray()  # columns x columns
+    rows = table.count()
+    at = {c: k for k, c in enumerate(columns)}
+    found = [(a, b, float(matrix[at[a], at[b]]), rows, None) for a, b in sorted(wanted)]
+    return table.sparkSession.createDataFrame(found, "a int, b int, r double, n bigint, z double")
 
 
 def spearman(table: DataFrame, pairs: Sequence[tuple[int, int]], settings: Settings = DEFAULT) -> DataFrame:
@@ -230,7 +256,6 @@ def scatter_rows(df: DataFrame, x: str, y: str, *, flag=None, color: str | None
     fx, fy = [finite(f) for f in fields(df, [x, y])]
     extra = [F.coalesce(flag, F.lit(False)).alias("flagged")] if flag is not None else [F.lit(False).alias("flagged")]
     if color:
-        from tabscope.functions.columns import col
         extra.append(col(color).alias("color"))
     points = df.select(fx.alias("x"), fy.alias("y"), *extra).where("x is not null and y is not null")
     total = points.count()

@@ -6,13 +6,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabscope.functions.columns import fields, of_kind, stored_kind, without_nan
+from tabscope.functions.columns import fields, without_nan
 from tabscope.operators import (
     anomalies, association, categorical, correlation, findings, health, leakage, numeric, outliers, profile, quality,
 )
 from tabscope.plans.counts import distinct_counts, value_counts
-from tabscope.plans.quantiles import exact_quantiles
-from tabscope.plans.stored import stored
+from tabscope.plans.facts import number_facts
+from tabscope.plans.stored import fixed, stored
 from tabscope.settings import Options
 
 
@@ -31,91 +31,90 @@ def investigate(df: DataFrame, options: Options | None = None) -> Investigation:
 
     The table is read by a fixed number of scans that return one row each (text probe,
     moments, quantiles, outlier counts, pair statistics), by one shuffle of value counts
-    that serves everything about distinct values, and by one for duplicate rows.  Small
-    result tables are written once, so that findings and health do not recompute them.
+    that serves everything about distinct values, and by one for duplicate rows.  The value
+    counts are written out once; small result tables are held, so that findings and health
+    do not compute them again.
     """
     o = options or Options()
     s = o.settings
-    df = without_nan(df)
     spark = df.sparkSession
-    keep = lambda name, table: stored(table, name)
 
     # structure; what follows reads the counts many times
     counts = stored(value_counts(df), "value_counts")
-    distinct = keep("distinct", distinct_counts(counts))
-    probe = keep("probe", profile.text_probe(df))
-    roles = keep("roles", profile.column_roles(df, settings=s, probe=probe, distinct=distinct))
+    distinct = fixed(distinct_counts(counts))
+    probe = fixed(profile.text_probe(df))
+    roles = fixed(profile.column_roles(df, settings=s, probe=probe, distinct=distinct))
     by_role: dict[str, list[str]] = {}
     for r in roles.orderBy("position").collect():  # one row per column
         by_role.setdefault(r["role"], []).append(r["column"])
     number_columns = by_role.get("numeric", [])
     label_columns = [f.name for f in fields(df) if f.name in set(
         by_role.get("categorical", []) + by_role.get("text-like", []) + by_role.get("boolean", []))]
-    duplicates = keep("duplicates", quality.duplicate_summary(df, settings=s))
-    columns = keep("profile", profile.column_profile(df, settings=s, counts=counts, roles=roles))
+    duplicates = fixed(quality.duplicate_summary(without_nan(df), settings=s))
+    columns = fixed(profile.column_profile(df, settings=s, counts=counts, roles=roles))
     t: dict[str, DataFrame] = {"column_profile": columns.orderBy("position"), "roles": roles,
                                "duplicate_summary": duplicates}
-    t["overview"] = keep("overview", profile.overview(df, settings=s, profile=columns, duplicates=duplicates))
+    t["overview"] = fixed(profile.overview(df, settings=s, profile=columns, duplicates=duplicates))
 
     # quality
-    t["missing_columns"] = keep("missing", quality.missing_columns(df, settings=s))
-    t["missing_summary"] = keep("missing_summary", quality.missing_summary(df))
+    t["missing_columns"] = fixed(quality.missing_columns(df, settings=s))
+    t["missing_summary"] = fixed(quality.missing_summary(df))
     low = quality.low_variance(df, settings=s, counts=counts)
-    t["low_variance"] = keep("low_variance", low)
-    t["dtype_issues"] = keep("issues", profile.dtype_issues(df, settings=s, probe=probe))
+    t["low_variance"] = fixed(low)
+    t["dtype_issues"] = fixed(profile.dtype_issues(df, settings=s, probe=probe))
 
     # numbers
-    values = {f.name: outliers.finite(f) for f in fields(df, number_columns)}
-    quart = exact_quantiles(df, values, numeric.QUARTILES, s) if number_columns else {}
-    t["numeric_stats"] = keep("numeric", numeric.numeric_stats(df, number_columns, settings=s, bounds=quart)
+    facts = number_facts(df, number_columns, settings=s)
+    t["numeric_stats"] = fixed(numeric.numeric_stats(df, number_columns, settings=s, facts=facts)
                               if number_columns else spark.createDataFrame([], numeric.NUMERIC_SCHEMA))
     whole = profile.integer_valued(df, number_columns) if number_columns else None
-    t["numeric_flags"] = keep("flags", numeric.numeric_flags(t["numeric_stats"], whole, settings=s))
+    t["numeric_flags"] = fixed(numeric.numeric_flags(t["numeric_stats"], whole, settings=s))
     t["scale_spread"] = numeric.scale_spread(t["numeric_stats"], settings=s)
-    t["categorical_stats"] = keep("categorical", categorical.categorical_stats(
+    t["categorical_stats"] = fixed(categorical.categorical_stats(
         df, label_columns, settings=s, counts=counts) if label_columns else
         categorical.categorical_stats(df, [], settings=s, counts=counts).where("false"))
 
     # outliers
     rules = outliers.outlier_rules(df, number_columns, settings=s, modified=o.include_modified_zscore,
-                                   quartile_bounds=quart)
-    t["outlier_stats"] = keep("outliers", outliers.outlier_stats(df, settings=s, rules=rules))
-    t["rows_flagged"] = keep("rows_flagged", outliers.rows_flagged(df, rules=rules, settings=s))
-    t["sentinels"] = keep("sentinels", outliers.sentinel_suspects(df, settings=s, rules=rules))
+                                   facts=facts)
+    t["outlier_stats"] = fixed(outliers.outlier_stats(df, settings=s, rules=rules))
+    t["rows_flagged"] = fixed(outliers.rows_flagged(df, rules=rules, settings=s))
+    t["sentinels"] = fixed(outliers.sentinel_suspects(df, settings=s, rules=rules))
     t["method_disagreement"] = outliers.method_disagreement(t["outlier_stats"], settings=s)
 
     # relations
-    eligible = correlation.eligible_columns(df, number_columns) if number_columns else []
-    t["correlation_pairs"] = keep("pairs", correlation.correlation_pairs(
+    eligible = correlation.eligible_columns(df, number_columns, facts=facts)
+    t["correlation_pairs"] = fixed(correlation.correlation_pairs(
         df, method=o.correlation_method, settings=s, eligible=eligible))
-    t["associations"] = keep("associations", association.associations(
+    t["associations"] = fixed(association.associations(
         df, label_columns, settings=s, counts=counts) if label_columns else
         spark.createDataFrame([], association.ASSOCIATION_SCHEMA))
 
     # anomalies
     if o.enable_anomalies:
         found = anomalies.detect_anomalies(df, number_columns, contamination=o.contamination, trees=o.trees,
-                                           id_columns=o.id_columns, settings=s)
+                                           id_columns=o.id_columns, with_percentile=False, settings=s, facts=facts)
     else:
         found = anomalies.AnomalyResult(False, "Anomaly detection was switched off.", o.contamination, [])
-    t["anomaly_summary"] = keep("anomalies", anomalies.anomaly_summary(found, spark))
+    t["anomaly_summary"] = fixed(anomalies.anomaly_summary(found, spark))
     deviations = None
     if found.available:
-        t["anomaly_records"] = found.records
-        deviations = t["feature_deviations"] = keep("deviations", anomalies.feature_deviations(
-            found.records, found.features, settings=s, base=df))
+        t["anomaly_records"] = anomalies.with_percentile_rank(
+            found.records, "anomaly_score", "anomaly_percentile", source=found.scores, settings=s)
+        deviations = t["feature_deviations"] = fixed(anomalies.feature_deviations(
+            found.records, found.features, settings=s, facts=facts))
 
     # leakage
     if o.enable_leakage:
-        facts = keep("facts", leakage.column_facts(df, settings=s, roles=roles, probe=probe, distinct=distinct))
-        t["leakage_signals"] = keep("leakage", leakage.leakage_signals(df, o.leakage_target, settings=s, facts=facts))
+        named = fixed(leakage.column_facts(df, settings=s, roles=roles, probe=probe, distinct=distinct))
+        t["leakage_signals"] = fixed(leakage.leakage_signals(df, o.leakage_target, settings=s, facts=named))
 
     # health
     n_columns = len(df.columns)
     cells = t["numeric_stats"].agg(F.coalesce(F.sum("count"), F.lit(0)).alias("numeric_cells"))
     inputs = health.health_inputs(t["missing_summary"], t["missing_columns"], duplicates, t["low_variance"],
                                   t["dtype_issues"], t["outlier_stats"], cells, n_columns, settings=s)
-    t["health_components"] = keep("health", health.health_components(inputs, settings=s))
+    t["health_components"] = fixed(health.health_components(inputs, settings=s))
     t["health_score"] = health.health_score(t["health_components"])
 
     # findings
@@ -133,7 +132,7 @@ def investigate(df: DataFrame, options: Options | None = None) -> Investigation:
     ]
     if o.enable_leakage:
         parts.append(findings.leakage_findings(t["leakage_signals"]))
-    t["findings"] = keep("findings", findings.sort_findings(parts))
+    t["findings"] = fixed(findings.sort_findings(parts))
     n_rows = t["overview"].first()["n_rows"]
     t["recommendations"] = findings.recommendations(t["findings"], n_rows, n_columns, settings=s)
     t["executive_summary"] = findings.executive_summary(t["findings"], settings=s)

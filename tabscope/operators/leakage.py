@@ -14,7 +14,8 @@ from tabscope.functions.columns import (
 )
 from tabscope.operators.correlation import spearman
 from tabscope.operators.profile import column_roles, is_number_text, text_probe
-from tabscope.plans.counts import distinct_counts, few_distinct, value_counts
+from tabscope.plans.counts import distinct_counts, value_counts
+from tabscope.plans.facts import number_facts
 from tabscope.plans.running import running_totals
 from tabscope.settings import DEFAULT, Settings
 
@@ -114,8 +115,8 @@ def duplicate_pairs(df: DataFrame, columns: Sequence[str] | None = None, *,
 
 def _compare(df, pairs, settings):
     out = []
-    for start in range(0, len(pairs), settings.expressions_per_pass):
-        part = pairs[start:start + settings.expressions_per_pass]
+    for start in range(0, len(pairs), settings.fields_per_pass // 2):
+        part = pairs[start:start + settings.fields_per_pass // 2]
         exprs = []
         for i, (a, b) in enumerate(part):
             both = present(a) & present(b)
@@ -155,7 +156,7 @@ def target_correlations(df: DataFrame, target: str, *, settings: Settings = DEFA
     usable, rows = df.agg(F.count(goal), F.count(F.lit(1))).first()
     named = df.select(goal.alias("goal"))
     if (not features or usable < max(settings.copy_min_rows, settings.copy_min_overlap * rows)
-            or few_distinct(named, ["goal"])["goal"] <= 2):
+            or number_facts(named, mads=False, quartiles=False)["goal"].distinct_class <= 2):
         return spark.createDataFrame([], schema)
     table = df.select(goal.alias("v0"), *[finite(x).alias(f"v{i + 1}") for i, x in enumerate(features)])
     raw = spearman(table, [(i + 1, 0) for i in range(len(features))], settings)

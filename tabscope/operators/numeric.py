@@ -7,19 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tabscope import settings as S
-from tabscope.functions.columns import as_rows, col, fields, finite, name_tokens, of_kind, share, words
-from tabscope.plans.counts import few_distinct
-from tabscope.plans.quantiles import exact_quantiles
+from tabscope.functions.columns import fields, finite, in_passes, name_tokens, of_kind, share, words
+from tabscope.plans.facts import NumberFacts, number_facts
 from tabscope.settings import DEFAULT, Settings
 
-QUARTILES = [0.25, 0.5, 0.75]
-
-
-def quartiles(df: DataFrame, columns: Sequence[str], settings: Settings = DEFAULT) -> dict[str, list[float] | None]:
-    values = {f.name: finite(f) for f in fields(df, columns)}
-    return exact_quantiles(df, values, QUARTILES, settings)
-
-
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n_unique): distinct finite values, compared as doubles."""
     wanted = fields(df, columns)
@@ -32,7 +23,7 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None, *, settings: Settings = DEFAULT,
-                  bounds: dict[str, list[float] | None] | None = None) -> DataFrame:
+                  facts: dict[str, NumberFacts] | None = None) -> DataFrame:
     """Count, moments, quartiles, shape, distinct values and zero share per numeric column.
 
     Infinities count as missing here.  Skewness and kurtosis are the bias-corrected ones.
@@ -40,12 +31,10 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None, *, settin
     names = of_kind(df, "numeric", columns)
     if not names:
         return df.sparkSession.createDataFrame([], NUMERIC_SCHEMA)
-    bounds = quartiles(df, names, settings) if bounds is None else bounds
-    per_pass = max(1, settings.expressions_per_pass // 9)
-    parts = [_moments(df, names[i:i + per_pass], bounds, i) for i in range(0, len(names), per_pass)]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    facts = number_facts(df, names, settings=settings, mads=False) if facts is None else facts
+    wanted = fields(df, names)
+    values = df.select(F.lit(1).alias("row"), *[finite(f).alias(f"v{k}") for k, f in enumerate(wanted)])
+    rows = in_passes(values, list(enumerate(names)), 11, lambda i, item: _shape(i, *item, facts), settings.fields_per_pass)
     return (rows.join(distinct_values(df, names), "column", "left")
             .withColumn("n_unique", F.coalesce("n_unique", F.lit(0)).cast("long"))
             .select(*[c.split()[0] for c in NUMERIC_SCHEMA.split(", ")]))
@@ -58,34 +47,26 @@ NUMERIC_SCHEMA = (
 )
 
 
-def _moments(df, names, bounds, offset):
-    wanted = fields(df, names)
-    exprs, structs = [F.count(F.lit(1)).alias("rows")], []
-    values = df.select(*[finite(f).alias(f"v{i}") for i, f in enumerate(wanted)])
-    for i, f in enumerate(wanted):
-        v, x = F.col(f"v{i}"), (lambda k, i=i: F.col(f"{k}{i}"))
-        exprs += [
-            F.count(v).alias(f"n{i}"), F.avg(v).alias(f"avg{i}"), F.stddev_samp(v).alias(f"sd{i}"),
-            F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.skewness(v).alias(f"g1{i}"),
-            F.kurtosis(v).alias(f"g2{i}"), F.count_if(v == 0).alias(f"z{i}"),
-        ]
-        n, mean = x("n").cast("double"), x("avg")
-        std = F.when(x("n") == 1, F.lit(0.0)).otherwise(x("sd"))
-        flat = x("lo") == x("hi")
-        skew = F.when(flat, F.lit(0.0)).otherwise(x("g1") * F.sqrt(n * (n - 1)) / (n - 2))
-        kurt = F.when(flat, F.lit(0.0)).otherwise(
-            (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * x("g2") + 6))
-        q = bounds[f.name] or [None, None, None]
-        q1, q2, q3 = [F.lit(b).cast("double") for b in q]
-        structs.append(F.struct(
-            F.lit(offset + i).alias("position"), F.lit(f.name).alias("column"),
-            x("n").alias("count"), (F.col("rows") - x("n")).alias("missing"), mean.alias("mean"),
-            q2.alias("median"), std.alias("std"), x("lo").alias("minimum"), q1.alias("q1"), q3.alias("q3"),
-            x("hi").alias("maximum"), (q3 - q1).alias("iqr"),
-            F.when(n >= 3, skew).alias("skewness"), F.when(n >= 4, kurt).alias("kurtosis"),
-            share(x("z"), x("n")).alias("zero_share"),
-            F.when(mean != 0, std / F.abs(mean)).alias("coefficient_of_variation")))
-    return as_rows(values.agg(*exprs), structs)
+def _shape(i: int, position: int, name: str, facts: dict[str, NumberFacts]):
+    """What the facts lack: row count, zeros and the third and fourth moments."""
+    fact, v = facts[name], F.col(f"v{position}")
+    n, flat = float(fact.n), fact.low == fact.high
+    double = lambda x: F.lit(x).cast("double")
+    std = 0.0 if fact.n == 1 else fact.std * (n / (n - 1)) ** 0.5 if fact.n else None
+    skew = kurtosis = double(None)
+    if fact.n >= 3:
+        skew = double(0.0) if flat else F.col(f"g1{i}") * ((n * (n - 1)) ** 0.5 / (n - 2))
+    if fact.n >= 4:
+        kurtosis = double(0.0) if flat else ((n + 1) * F.col(f"g2{i}") + 6) * ((n - 1) / ((n - 2) * (n - 3)))
+    q1, q2, q3 = fact.quartiles or (None, None, None)
+    return [F.count("row").alias(f"r{i}"), F.skewness(v).alias(f"g1{i}"), F.kurtosis(v).alias(f"g2{i}"),
+            F.count_if(v == 0).alias(f"z{i}")], F.struct(
+        F.lit(position).alias("position"), F.lit(name).alias("column"), F.lit(fact.n).cast("long").alias("count"),
+        (F.col(f"r{i}") - fact.n).alias("missing"), double(fact.mean).alias("mean"), double(q2).alias("median"),
+        double(std).alias("std"), double(fact.low).alias("minimum"), double(q1).alias("q1"), double(q3).alias("q3"),
+        double(fact.high).alias("maximum"), double(q3 - q1 if fact.n else None).alias("iqr"), skew.alias("skewness"),
+        kurtosis.alias("kurtosis"), share(F.col(f"z{i}"), F.lit(fact.n)).alias("zero_share"),
+        double(std / abs(fact.mean) if fact.mean else None).alias("coefficient_of_variation"))
 
 
 def distinct_classes(df: DataFrame, columns: Sequence[str] | None = None, *,
@@ -95,10 +76,10 @@ def distinct_classes(df: DataFrame, columns: Sequence[str] | None = None, *,
     ``distinct_class`` is the number of distinct finite values, 4 standing for four or more.
     """
     names = of_kind(df, "numeric", columns)
-    classes = few_distinct(df, names)
+    facts = number_facts(df, names, settings=settings, mads=False, quartiles=False)
+    classes = [facts[n].distinct_class for n in names]
     return df.sparkSession.createDataFrame(
-        [(i, n, classes[n], classes[n] == 2, classes[n] >= settings.min_distinct_outliers, classes[n] >= 2)
-         for i, n in enumerate(names)],
+        [(i, n, k, k == 2, k >= settings.min_distinct_outliers, k >= 2) for i, (n, k) in enumerate(zip(names, classes))],
         "position int, column string, distinct_class int, binary_flag boolean, "
         "outlier_eligible boolean, correlation_eligible boolean")
 
@@ -138,19 +119,23 @@ def scale_spread(stats: DataFrame, *, settings: Settings = DEFAULT) -> DataFrame
                                  F.lit(False)).alias("wide_spread"))
 
 
+def iqr_fences(fact: NumberFacts, settings: Settings = DEFAULT, k: float | None = None) -> tuple[float, float]:
+    """Tukey fences; with equal quartiles both are that value, so whatever differs is outside."""
+    k = settings.iqr_k if k is None else k
+    q1, _, q3 = fact.quartiles
+    return q1 - k * (q3 - q1), q3 + k * (q3 - q1)
+
+
 def histogram(df: DataFrame, column: str, *, settings: Settings = DEFAULT) -> DataFrame:
     """Equal-width histogram with the number of values beyond the IQR fences per bin."""
-    from tabscope.operators.outliers import fences
-
     value = finite(fields(df, [column])[0])
-    ends = df.agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    spark = df.sparkSession
-    if ends["n"] == 0:
-        return spark.createDataFrame([], "bin int, low double, high double, n bigint, outliers bigint")
-    bins = min(60, max(10, int(ends["n"] ** 0.5) + 1))
-    lo, hi = ends["lo"], ends["hi"]
+    fact = number_facts(df, [column], settings=settings, mads=False)[column]
+    if fact.n == 0:
+        return df.sparkSession.createDataFrame([], "bin int, low double, high double, n bigint, outliers bigint")
+    bins = min(60, max(10, int(fact.n ** 0.5) + 1))
+    lo, hi = fact.low, fact.high
     width = (hi - lo) / bins
-    low, high = fences(df, [column], settings).get(column) or (lo, hi)
+    low, high = iqr_fences(fact, settings) if fact.distinct_class >= settings.min_distinct_outliers else (lo, hi)
     bin_no = (F.least(F.floor((value - lo) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)).cast("int")
     return (df.where(value.isNotNull()).groupBy(bin_no.alias("bin"))
             .agg(F.count("*").alias("n"), F.count_if((value < low) | (value > high)).alias("outliers"))
@@ -161,23 +146,22 @@ def histogram(df: DataFrame, column: str, *, settings: Settings = DEFAULT) -> Da
 def box_summary(df: DataFrame, columns: Sequence[str] | None = None, *, settings: Settings = DEFAULT) -> DataFrame:
     """Quartiles, fences and the number of values beyond them per numeric column."""
     names = of_kind(df, "numeric", columns)
-    bounds = quartiles(df, names, settings)
-    wanted = [f for f in fields(df, names) if bounds[f.name]]
-    exprs, structs = [], []
-    for i, f in enumerate(wanted):
-        q1, q2, q3 = bounds[f.name]
-        low, high = q1 - settings.iqr_k * (q3 - q1), q3 + settings.iqr_k * (q3 - q1)
-        v = finite(f)
-        exprs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                  F.min(F.when(v >= low, v)).alias(f"wl{i}"), F.max(F.when(v <= high, v)).alias(f"wh{i}"),
-                  F.count_if((v < low) | (v > high)).alias(f"out{i}")]
-        structs.append(F.struct(
-            F.lit(f.name).alias("column"), F.col(f"lo{i}").alias("minimum"), F.lit(q1).alias("q1"),
-            F.lit(q2).alias("median"), F.lit(q3).alias("q3"), F.col(f"hi{i}").alias("maximum"),
+    facts = number_facts(df, names, settings=settings, mads=False)
+    wanted = [f for f in fields(df, names) if facts[f.name].n]
+
+    def build(i, f):
+        fact, v = facts[f.name], finite(f)
+        low, high = iqr_fences(fact, settings)
+        q1, q2, q3 = fact.quartiles
+        return [F.min(F.when(v >= low, v)).alias(f"wl{i}"), F.max(F.when(v <= high, v)).alias(f"wh{i}"),
+                F.count_if((v < low) | (v > high)).alias(f"out{i}")], F.struct(
+            F.lit(f.name).alias("column"), F.lit(fact.low).alias("minimum"), F.lit(q1).alias("q1"),
+            F.lit(q2).alias("median"), F.lit(q3).alias("q3"), F.lit(fact.high).alias("maximum"),
             F.lit(low).alias("lower_fence"), F.lit(high).alias("upper_fence"),
             F.col(f"wl{i}").alias("lower_whisker"), F.col(f"wh{i}").alias("upper_whisker"),
-            F.col(f"out{i}").alias("outside")))
-    return as_rows(df.agg(*exprs), structs)
+            F.col(f"out{i}").alias("outside"))
+
+    return in_passes(df, wanted, 3, build, settings.fields_per_pass)
 
 
 def normality(df: DataFrame, column: str, *, settings: Settings = DEFAULT) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabscope import settings as S
 from tabscope.functions.columns import as_rows, banded, close_to, col, fields, finite, number_text, of_kind, share
-from tabscope.plans.counts import few_distinct
-from tabscope.plans.quantiles import exact_quantiles, medians_and_mads
+from tabscope.operators.numeric import iqr_fences
+from tabscope.plans.facts import NumberFacts, number_facts
 from tabscope.settings import DEFAULT, Settings
 
 METHODS = ("iqr", "iqr_extreme", "zscore", "modified_zscore")
@@ -18,60 +18,46 @@ RULE_SCHEMA = ("position int, column string, method string, lower_bound double,
 
 
 def outlier_rules(df: DataFrame, columns: Sequence[str] | None = None, *, settings: Settings = DEFAULT,
-                  modified: bool = True, quartile_bounds: dict | None = None) -> list[dict]:
+                  modified: bool = True, facts: dict[str, NumberFacts] | None = None) -> list[dict]:
     """The rule of each method for each numeric column: bounds, or why it does not apply.
 
     These are at most 4 x #columns records, found by scans that return one row each.
     """
     s = settings
     names = of_kind(df, "numeric", columns)
-    wanted = {f.name: f for f in fields(df, names)}
-    classes = few_distinct(df, names)
-    eligible = [n for n in names if classes[n] >= s.min_distinct_outliers]
-    values = {n: finite(wanted[n]) for n in eligible}
-    quart = quartile_bounds if quartile_bounds is not None else exact_quantiles(df, values, [0.25, 0.5, 0.75], s)
-    moments = df.agg(F.lit(0), *[e for i, n in enumerate(eligible) for e in (
-        F.count(values[n]).alias(f"n{i}"), F.avg(values[n]).alias(f"m{i}"),
-        F.stddev_pop(values[n]).alias(f"s{i}"))]).first() if eligible else None
-    mads = medians_and_mads(df, values, s) if modified and eligible else {}
+    facts = number_facts(df, names, settings=s, mads=modified) if facts is None else facts
     rules = []
     for position, name in enumerate(names):
+        fact = facts[name]
+
         def rule(method, lower=None, upper=None, threshold=None, center=None, scale=None, reason=""):
             rules.append(dict(position=position, column=name, method=method, lower_bound=lower,
                               upper_bound=upper, threshold=threshold, center=center, scale=scale,
                               available=not reason, reason=reason))
-        methods = [m for m in METHODS if modified or m != "modified_zscore"]
-        if name not in values:
-            for m in methods:
-                rule(m, reason=f"{classes[name]} distinct value(s): a rule would flag the smaller class itself.")
+
+        if fact.distinct_class < s.min_distinct_outliers:
+            for m in METHODS if modified else METHODS[:3]:
+                rule(m, reason=f"{fact.distinct_class} distinct value(s): a rule would flag the smaller class itself.")
             continue
-        i = eligible.index(name)
-        n, mean, std = moments[f"n{i}"], moments[f"m{i}"], moments[f"s{i}"]
-        q1, _, q3 = quart[name]
         for m, k in (("iqr", s.iqr_k), ("iqr_extreme", s.iqr_extreme_k)):
-            if n < s.min_values_iqr:
+            if fact.n < s.min_values_iqr:
                 rule(m, reason=f"fewer than {s.min_values_iqr} finite values")
-            elif q1 == q3:  # at least half the values are equal: whatever differs is outside
-                rule(m, q1, q1, k)
             else:
-                rule(m, q1 - k * (q3 - q1), q3 + k * (q3 - q1), k)
+                rule(m, *iqr_fences(fact, s, k), k)
+        few = f"fewer than {s.min_values_zscore} finite values" if fact.n < s.min_values_zscore else ""
         z = s.zscore_limit
-        if n < s.min_values_zscore:
-            rule("zscore", reason=f"fewer than {s.min_values_zscore} finite values")
-        elif not std:
-            rule("zscore", reason="no variance")
+        if few or not fact.std:
+            rule("zscore", reason=few or "no variance")
         else:
-            rule("zscore", mean - z * std, mean + z * std, z, mean, std)
+            rule("zscore", fact.mean - z * fact.std, fact.mean + z * fact.std, z, fact.mean, fact.std)
         if not modified:
             continue
-        z = s.modified_zscore_limit
-        median, mad = mads[name]
-        if n < s.min_values_zscore:
-            rule("modified_zscore", reason=f"fewer than {s.min_values_zscore} finite values")
-        elif mad == 0:
-            rule("modified_zscore", reason="median absolute deviation is zero")
+        z, median = s.modified_zscore_limit, fact.quartiles[1]
+        if few or not fact.mad:
+            rule("modified_zscore", reason=few or "median absolute deviation is zero")
         else:
-            rule("modified_zscore", median - z * mad / s.mad_scale, median + z * mad / s.mad_scale, z, median, mad)
+            reach = z * fact.mad / s.mad_scale
+            rule("modified_zscore", median - reach, median + reach, z, median, fact.mad)
     return rules
 
 
@@ -94,13 +80,13 @@ def outlier_stats(df: DataFrame, columns: Sequence[str] | None = None, *, settin
     rules = outlier_rules(df, columns, settings=settings, modified=modified) if rules is None else rules
     if not rules:
         return df.sparkSession.createDataFrame([], OUTLIER_SCHEMA)
-    parts, per_pass = [], max(4, settings.expressions_per_pass // 2)
-    by_name = {f.name: f for f in df.schema.fields}
+    parts, per_pass = [], max(4, settings.fields_per_pass // 2)
     for start in range(0, len(rules), per_pass):
         part = rules[start:start + per_pass]
         exprs, structs = [], []
+        table, value = _values(df, [r["column"] for r in part])
         for i, r in enumerate(part):
-            v = finite(by_name[r["column"]])
+            v = value[r["column"]]
             exprs += [F.count_if(flagged(v, r, settings)).alias(f"c{i}"), F.count(v).alias(f"n{i}")]
             usable = F.col(f"n{i}") if r["available"] else F.lit(0)
             structs.append(F.struct(
@@ -111,13 +97,20 @@ def outlier_stats(df: DataFrame, columns: Sequence[str] | None = None, *, settin
                 F.lit(r["upper_bound"]).cast("double").alias("upper_bound"),
                 F.lit(r["threshold"]).cast("double").alias("threshold"),
                 F.lit(r["available"]).alias("available"), F.lit(r["reason"]).alias("reason")))
-        parts.append(as_rows(df.agg(*exprs), structs))
+        parts.append(as_rows(table.agg(*exprs), structs))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def _values(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """The finite values as plain columns, so that rules do not repeat the conversion."""
+    names = list(dict.fromkeys(columns))
+    table = df.select(*[finite(f).alias(f"v{i}") for i, f in enumerate(fields(df, names))])
+    return table, {n: F.col(f"v{i}") for i, n in enumerate(names)}
+
+
 OUTLIER_SCHEMA = ("position int, column string, method string, count bigint, rate double, n_usable bigint, "
                   "lower_bound double, upper_bound double, threshold double, available boolean, reason string")
 
@@ -145,7 +138,12 @@ def rows_flagged(df: DataFrame, columns: Sequence[str] | None = None, *, setting
                  rules: list[dict] | None = None, modified: bool = True) -> DataFrame:
     """One row: how many rows any method flags, and how many columns the IQR rule flags."""
     rules = outlier_rules(df, columns, settings=settings, modified=modified) if rules is None else rules
-    rows = flagged_rows(df, rules=rules, settings=settings).agg(F.count(F.lit(1)).alias("rows_flagged"))
+    usable = [r for r in rules if r["available"]]
+    table, value = _values(df, [r["column"] for r in usable])
+    hit = F.lit(False)
+    for r in usable:
+        hit = hit | flagged(value[r["column"]], r, settings)
+    rows = table.agg(F.count_if(hit).alias("rows_flagged"))
     iqr = outlier_stats(df, rules=[r for r in rules if r["method"] == "iqr"], settings=settings).agg(
         F.count_if(F.col("count") > 0).alias("columns_flagged"))
     return rows.crossJoin(F.broadcast(iqr))
@@ -174,24 +172,25 @@ def sentinel_suspects(df: DataFrame, columns: Sequence[str] | None = None, *, se
                       rules: list[dict] | None = None) -> DataFrame:
     """Placeholder codes that make up a quarter or more of a column's IQR outliers."""
     rules = outlier_rules(df, columns, settings=settings, modified=False) if rules is None else rules
-    by_name = {f.name: f for f in df.schema.fields}
     schema = "position int, column string, code double, matches bigint, outliers bigint"
-    exprs, structs = [], []
-    for i, r in enumerate(x for x in rules if x["method"] == "iqr" and x["available"]):
-        v = finite(by_name[r["column"]])
-        out = flagged(v, r, settings)
-        exprs.append(F.count_if(out).alias(f"n{i}"))
-        for j, code in enumerate(S.SENTINELS):
-            exprs.append(F.count_if(out & close_to(v, code)).alias(f"m{i}_{j}"))
-            structs.append(F.struct(
-                F.lit(r["position"]).alias("position"), F.lit(r["column"]).alias("column"),
-                F.lit(code).alias("code"), F.col(f"m{i}_{j}").alias("matches"), F.col(f"n{i}").alias("outliers")))
-    if not exprs:
+    wanted = [r for r in rules if r["method"] == "iqr" and r["available"]]
+    if not wanted:
         return df.sparkSession.createDataFrame([], schema)
-    parts, per_pass = [], 5  # columns per pass: ten counters each
-    for start in range(0, len(exprs) // 10, per_pass):
-        stop = start + per_pass
-        parts.append(as_rows(df.agg(*exprs[start * 10:stop * 10]), structs[start * 9:stop * 9]))
+    parts, per_pass = [], max(1, settings.fields_per_pass // (len(S.SENTINELS) + 1))
+    for start in range(0, len(wanted), per_pass):
+        part = wanted[start:start + per_pass]
+        table, value = _values(df, [r["column"] for r in part])
+        exprs, structs = [], []
+        for i, r in enumerate(part):
+            v = value[r["column"]]
+            out = flagged(v, r, settings)
+            exprs.append(F.count_if(out).alias(f"n{i}"))
+            for j, code in enumerate(S.SENTINELS):
+                exprs.append(F.count_if(out & close_to(v, code)).alias(f"m{i}_{j}"))
+                structs.append(F.struct(
+                    F.lit(r["position"]).alias("position"), F.lit(r["column"]).alias("column"), F.lit(code).alias("code"),
+                    F.col(f"m{i}_{j}").alias("matches"), F.col(f"n{i}").alias("outliers")))
+        parts.append(as_rows(table.agg(*exprs), structs))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -203,11 +202,10 @@ def with_modified_zscore(df: DataFrame, column: str, out: str = "modified_zscore
                          settings: Settings = DEFAULT) -> DataFrame:
     """Add the robust z-score of a column: 0 where the deviation is zero, NULL where not finite."""
     value = finite(fields(df, [column])[0])
-    center = medians_and_mads(df, {column: value}, settings)[column]
-    if center is None:
+    fact = number_facts(df, [column], settings=settings)[column]
+    if not fact.n:
         return df.withColumn(out, F.lit(None).cast("double"))
-    median, mad = center
-    score = settings.mad_scale * (value - median) / mad if mad else value * 0.0
+    score = settings.mad_scale * (value - fact.quartiles[1]) / fact.mad if fact.mad else value * 0.0
     return df.withColumn(out, score)
 
 

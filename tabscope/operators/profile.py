@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tabscope import settings as S
 from tabscope.functions.columns import (
-    as_rows, bytes_text, col, count_text, date_hinted, fields, finite, name_list, name_tokens, of_kind,
+    bytes_text, col, count_text, date_hinted, fields, finite, in_passes, name_tokens, of_kind,
     parse_date, parse_number, plain_number, present, share, stored_kind, whole_numbers, words,
 )
 from tabscope.plans.counts import distinct_counts, value_counts
@@ -22,23 +22,19 @@ def text_probe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     names = of_kind(df, "text", columns)
     if not names:
         return df.sparkSession.createDataFrame([], _PROBE_SCHEMA)
-    exprs, structs = [], []
-    for i, name in enumerate(names):
+    def build(i, name):
         c = col(name)
-        exprs += [
-            F.count(c).alias(f"n{i}"),
-            F.count(parse_number(c)).alias(f"num{i}"),
-            F.count(plain_number(c)).alias(f"plain{i}"),
-            F.count_if(date_hinted(c)).alias(f"hint{i}"),
-            F.count(parse_date(c)).alias(f"date{i}"),
+        return [
+            F.count(c).alias(f"n{i}"), F.count(parse_number(c)).alias(f"num{i}"), F.count(plain_number(c)).alias(f"plain{i}"),
+            F.count_if(date_hinted(c)).alias(f"hint{i}"), F.count(parse_date(c)).alias(f"date{i}"),
             F.count_if(F.lower(c).isin(*S.BOOLEAN_WORDS)).alias(f"bool{i}"),
-        ]
-        structs.append(F.struct(
+        ], F.struct(
             F.lit(name).alias("column"), F.col(f"n{i}").alias("n_present"),
             F.col(f"num{i}").alias("n_number"), F.col(f"plain{i}").alias("n_plain_number"),
             F.col(f"hint{i}").alias("n_date_hint"), F.col(f"date{i}").alias("n_date"),
-            F.col(f"bool{i}").alias("n_boolean_word")))
-    return as_rows(df.agg(*exprs), structs)
+            F.col(f"bool{i}").alias("n_boolean_word"))
+
+    return in_passes(df, names, 6, build, DEFAULT.fields_per_pass)
 
 
 _PROBE_SCHEMA = ("column string, n_present bigint, n_number bigint, n_plain_number bigint, "
@@ -179,18 +175,20 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, *, setti
     counts = value_counts(df, names) if counts is None else counts
     distinct = distinct_counts(counts)
     roles = column_roles(df, names, settings=settings, distinct=distinct) if roles is None else roles
-    exprs, structs = [F.count(F.lit(1)).alias("rows")], []
-    for i, f in enumerate(wanted):
+
+    def build(i, item):
+        position, f = item
         simple = stored_kind(f.dataType) != "other"
         example = F.min(F.when(present(f), col(f.name))).cast("string") if simple else F.lit(None).cast("string")
-        exprs += [F.count_if(present(f)).alias(f"p{i}"), example.alias(f"x{i}"), data_bytes(f).alias(f"b{i}")]
-        structs.append(F.struct(
-            F.lit(i).alias("position"), F.lit(f.name).alias("column"),
-            F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"p{i}").alias("non_null"),
-            (F.col("rows") - F.col(f"p{i}")).alias("missing"),
-            (share(F.col("rows") - F.col(f"p{i}"), F.col("rows")) * 100).alias("missing_pct"),
-            F.coalesce(F.col(f"x{i}"), F.lit("")).alias("example"), F.col(f"b{i}").alias("data_bytes")))
-    base = as_rows(df.agg(*exprs), structs)
+        missing = F.col(f"r{i}") - F.col(f"p{i}")
+        return [F.count(F.lit(1)).alias(f"r{i}"), F.count_if(present(f)).alias(f"p{i}"), example.alias(f"x{i}"),
+                data_bytes(f).alias(f"b{i}")], F.struct(
+            F.lit(position).alias("position"), F.lit(f.name).alias("column"),
+            F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"p{i}").alias("non_null"), missing.alias("missing"),
+            (share(missing, F.col(f"r{i}")) * 100).alias("missing_pct"),
+            F.coalesce(F.col(f"x{i}"), F.lit("")).alias("example"), F.col(f"b{i}").alias("data_bytes"))
+
+    base = in_passes(df, list(enumerate(wanted)), 4, build, settings.fields_per_pass)
     return (base.join(distinct.select("column", F.col("n_unique").alias("unique")), "column", "left")
             .join(roles.select("column", "role"), "column", "left")
             .select("position", "column", "dtype", "non_null", "missing", "missing_pct",
@@ -225,14 +223,14 @@ def overview(df: DataFrame, *, settings: Settings = DEFAULT, profile: DataFrame
 def integer_valued(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, whole): are all finite values of the numeric column whole numbers?"""
     wanted = fields(df, of_kind(df, "numeric", columns))
-    row = df.agg(*[whole_numbers(finite(f)).alias(f"w{i}") for i, f in enumerate(wanted)])
-    return as_rows(row, [F.struct(F.lit(f.name).alias("column"), F.col(f"w{i}").alias("whole"))
-                         for i, f in enumerate(wanted)])
+    return in_passes(df, wanted, 1, lambda i, f: (
+        [whole_numbers(finite(f)).alias(f"w{i}")],
+        F.struct(F.lit(f.name).alias("column"), F.col(f"w{i}").alias("whole"))), DEFAULT.fields_per_pass)
 
 
 def non_empty_columns(df: DataFrame) -> DataFrame:
     """(column, is_empty) for every column."""
     wanted = fields(df)
-    row = df.agg(*[F.count_if(present(f)).alias(f"p{i}") for i, f in enumerate(wanted)])
-    return as_rows(row, [F.struct(F.lit(f.name).alias("column"), (F.col(f"p{i}") == 0).alias("is_empty"))
-                         for i, f in enumerate(wanted)])
+    return in_passes(df, wanted, 1, lambda i, f: (
+        [F.count_if(present(f)).alias(f"p{i}")],
+        F.struct(F.lit(f.name).alias("column"), (F.col(f"p{i}") == 0).alias("is_empty"))), DEFAULT.fields_per_pass)

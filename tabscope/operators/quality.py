@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabscope.functions.columns import (
-    as_rows, col, fields, groupable, missing_band, percent_text, present, share, stored_kind,
+    col, fields, groupable, in_passes, missing_band, percent_text, present, share, stored_kind,
 )
 from tabscope.plans.counts import value_counts
 from tabscope.settings import DEFAULT, Settings
@@ -18,13 +18,16 @@ def missing_columns(df: DataFrame, columns: Sequence[str] | None = None, *,
                     settings: Settings = DEFAULT, affected_only: bool = True) -> DataFrame:
     """Missing count and rate per column with its severity, worst first."""
     wanted = fields(df, columns)
-    row = df.agg(F.count(F.lit(1)).alias("rows"),
-                 *[F.count_if(~present(f)).alias(f"m{i}") for i, f in enumerate(wanted)])
-    rate = [share(F.col(f"m{i}"), F.col("rows")) for i in range(len(wanted))]
-    out = as_rows(row, [F.struct(
-        F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.col(f"m{i}").alias("missing"),
-        rate[i].alias("missing_rate"), F.lit(f.dataType.simpleString()).alias("dtype"),
-        missing_band(rate[i], settings).alias("severity")) for i, f in enumerate(wanted)])
+
+    def build(i, item):
+        position, f = item
+        rate = share(F.col(f"m{i}"), F.col(f"r{i}"))
+        return [F.count(F.lit(1)).alias(f"r{i}"), F.count_if(~present(f)).alias(f"m{i}")], F.struct(
+            F.lit(position).alias("position"), F.lit(f.name).alias("column"), F.col(f"m{i}").alias("missing"),
+            rate.alias("missing_rate"), F.lit(f.dataType.simpleString()).alias("dtype"),
+            missing_band(rate, settings).alias("severity"))
+
+    out = in_passes(df, list(enumerate(wanted)), 2, build, settings.fields_per_pass)
     if affected_only:
         out = out.where("missing > 0")
     return out.orderBy(F.desc("missing_rate"), "position")

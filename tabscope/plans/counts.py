@@ -57,32 +57,3 @@ def distinct_counts(counts: DataFrame) -> DataFrame:
     """(column, n_present, n_unique) from value counts."""
     return counts.groupBy("column").agg(
         F.sum("n").alias("n_present"), F.count("*").alias("n_unique"))
-
-
-def few_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """min(distinct, 4) of the finite values of each numeric column, from scans alone.
-
-    Smallest and largest value settle 0, 1 or 2; the next ones inward settle 3 or more.
-    No shuffle is needed, so this is how eligibility is tested.
-    """
-    from tabscope.functions.columns import finite
-
-    wanted = fields(df, columns)
-    if not wanted:
-        return {}
-    values = df.select(*[finite(f).alias(f"v{i}") for i, f in enumerate(wanted)])
-    ends = values.agg(*[e for i in range(len(wanted)) for e in (
-        F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}"))]).first()
-    out = {f.name: 0 if ends[f"lo{i}"] is None else 1 for i, f in enumerate(wanted)}
-    wide = [i for i in range(len(wanted)) if ends[f"lo{i}"] is not None and ends[f"lo{i}"] < ends[f"hi{i}"]]
-    if wide:
-        inner = values.agg(*[e for i in wide for e in (
-            F.min(F.when(F.col(f"v{i}") > ends[f"lo{i}"], F.col(f"v{i}"))).alias(f"lo{i}"),
-            F.max(F.when(F.col(f"v{i}") < ends[f"hi{i}"], F.col(f"v{i}"))).alias(f"hi{i}"))]).first()
-        for i in wide:
-            second, last = inner[f"lo{i}"], inner[f"hi{i}"]
-            if second == ends[f"hi{i}"]:
-                out[wanted[i].name] = 2
-            else:
-                out[wanted[i].name] = 3 if second == last else 4
-    return out

@@ -22,21 +22,28 @@ def exact_quantiles(
     values: Mapping[str, Column],
     probabilities: Sequence[float],
     settings: Settings = DEFAULT,
+    sizes: Mapping[str, int] | None = None,
 ) -> dict[str, list[float] | None]:
-    """Linearly interpolated quantiles per named expression; None where no value exists."""
+    """Linearly interpolated quantiles per named expression; None where no value exists.
+
+    ``sizes`` gives the number of values per expression if it is known already.
+    """
     out: dict[str, list[float] | None] = {}
     names = list(values)
-    step = max(1, settings.expressions_per_pass // 3)
+    step = max(1, settings.fields_per_pass // 8)
     for start in range(0, len(names), step):
         part = {n: values[n] for n in names[start:start + step]}
-        out.update(_quantiles(df, part, list(probabilities), settings))
+        out.update(_quantiles(df, part, list(probabilities), settings, sizes))
     return out
 
 
-def _quantiles(df, values, probabilities, settings):
+def _quantiles(df, values, probabilities, settings, known):
     keys = {name: f"v{i}" for i, name in enumerate(values)}
     table = df.select(*[values[n].cast("double").alias(k) for n, k in keys.items()])
-    sizes = table.agg(*[F.count(k).alias(k) for k in keys.values()]).first()
+    if known is None:
+        sizes = table.agg(*[F.count(k).alias(k) for k in keys.values()]).first()
+    else:
+        sizes = {k: known[n] for n, k in keys.items()}
     small = [n for n, k in keys.items() if 0 < sizes[k] <= settings.small_group_rows]
     large = [n for n, k in keys.items() if sizes[k] > settings.small_group_rows]
     out: dict[str, list[float] | None] = {n: None for n in values}
@@ -119,19 +126,11 @@ def order_statistics(
 
 
 def _below(table, brackets):
-    exprs = []
-    for i, ((c, _), (lo, hi)) in enumerate(brackets.items()):
-        exprs += [F.count_if(F.col(c) < lo).alias(f"b{i}"),
-                  F.count_if(F.col(c).between(lo, hi)).alias(f"i{i}")]
-    row = table.agg(*exprs).first()
-    return {key: (row[f"b{i}"], row[f"i{i}"]) for i, key in enumerate(brackets)}
-
-
-def medians_and_mads(
-    df: DataFrame, values: Mapping[str, Column], settings: Settings = DEFAULT
-) -> dict[str, tuple[float, float] | None]:
-    """Median and unscaled median absolute deviation per named expression."""
-    medians = {n: q[0] for n, q in exact_quantiles(df, values, [0.5], settings).items() if q}
-    spread = exact_quantiles(
-        df, {n: F.abs(values[n] - F.lit(m)) for n, m in medians.items()}, [0.5], settings)
-    return {n: (medians[n], spread[n][0]) if n in medians else None for n in values}
+    """Per bracket, how many values lie below it and how many inside."""
+    out, items = {}, list(brackets.items())
+    for start in range(0, len(items), 40):
+        part = items[start:start + 40]
+        row = table.agg(*[e for i, ((c, _), (lo, hi)) in enumerate(part) for e in (
+            F.count_if(F.col(c) < lo).alias(f"b{i}"), F.count_if(F.col(c).between(lo, hi)).alias(f"i{i}"))]).first()
+        out.update({key: (row[f"b{i}"], row[f"i{i}"]) for i, (key, _) in enumerate(part)})
+    return out

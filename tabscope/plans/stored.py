@@ -38,3 +38,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """Hold a result table of a few rows (per column, pair or signal) on the driver.
+
+    For metric tables only: their size depends on the number of columns, never of rows.
+    """
+    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)

@@ -116,7 +116,9 @@ class Settings:
     # scale switches: below these sizes a single task may hold a whole group
     small_group_rows: int = 2_000_000
     broadcast_rows: int = 1_000_000
-    expressions_per_pass: int = 60
+    # aggregation buffer fields per scan: beyond 100 Spark gives up whole-stage code generation
+    fields_per_pass: int = 96
+    gram_columns: int = 16
 
 
 DEFAULT = Settings()
