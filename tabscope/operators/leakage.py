@@ -235,8 +235,9 @@ def separation(df: DataFrame, target: str, *, settings: Settings = DEFAULT,
         for f in numbers:
             counts = (labelled.select(F.col(f"f{place[f.name]}").alias("value"), "pos").where("value is not null")
                       .groupBy("value").agg(F.count("*").alias("n"), F.sum("pos").alias("pos")))
-            totals = counts.agg(F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"))
-            parts.append(running_totals(counts, "value", ["n", "pos"], s).crossJoin(F.broadcast(totals))
+            all_n, all_pos = counts.agg(F.sum("n"), F.sum("pos")).first()
+            parts.append(running_totals(counts, "value", ["n", "pos"], s)
+                         .withColumn("all_n", F.lit(all_n)).withColumn("all_pos", F.lit(all_pos))
                          .agg(F.max(_accuracy()).alias("accuracy"), F.max("all_n").alias("n"))
                          .select(F.lit(f.name).alias("column"), "accuracy", "n"))
     if not parts:

@@ -44,7 +44,7 @@ def test_outcome_names_need_whole_words(spark):
 def test_copies_of_columns_and_target(spark):
     df = spark.createDataFrame([(i * 1.5, i * 1.5, i % 2, i % 2, i * 1.5 if i % 3 else None) for i in range(120)],
                                "score_a double, score_b double, target int, outcome int, partly double")
-    got = signals(df)
+    got = signals(df, "target")
     assert got["score_b", "duplicate_column"]["severity"] == "high" and ("partly", "duplicate_column") in got
     assert got["outcome", "target_copy"]["severity"] == "critical"
 

@@ -77,7 +77,6 @@ OFF = Options(enable_anomalies=False, enable_leakage=False)
 
 @pytest.mark.parametrize("name,frame", [
     ("all text", {"a": ["x", "y"] * 40, "b": ["p", "q", "r", "s"] * 20}),
-    ("one column", {"a": [1.0, 2.0, 3.0]}),
     ("one row", {"a": [1.0], "b": ["x"]}),
     ("infinities", {"a": [1.0, np.inf, -np.inf, 4.0] * 5, "b": range(20)}),
 ])
