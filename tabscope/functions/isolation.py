@@ -36,8 +36,8 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator, depth_limit: int) ->
         if depth >= depth_limit or len(rows) <= 1 or not len(splittable):
             nodes.append((node, 0, np.inf, node, depth + float(expected_path(len(rows)))))
             continue
-        feature = int(rng.choice(splittable))
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        feature = int(splittable[rng.integers(len(splittable))])
+        threshold = float(low[feature] + (high[feature] - low[feature]) * rng.random())
         goes_left = inside[:, feature] <= threshold
         left, right = issued, issued + 1
         issued += 2
