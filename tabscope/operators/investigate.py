@@ -37,6 +37,8 @@ def investigate(df: DataFrame, options: Options | None = None) -> Investigation:
     """
     o = options or Options()
     s = o.settings
+    if o.store_input:
+        df = stored(df, "input")
     spark = df.sparkSession
 
     # structure; what follows reads the counts many times
@@ -48,8 +50,8 @@ def investigate(df: DataFrame, options: Options | None = None) -> Investigation:
     for r in roles.orderBy("position").collect():  # one row per column
         by_role.setdefault(r["role"], []).append(r["column"])
     number_columns = by_role.get("numeric", [])
-    label_columns = [f.name for f in fields(df) if f.name in set(
-        by_role.get("categorical", []) + by_role.get("text-like", []) + by_role.get("boolean", []))]
+    texts = set(by_role.get("categorical", []) + by_role.get("text-like", []))
+    label_columns = [c for c in df.columns if c in texts] + by_role.get("boolean", [])
     duplicates = fixed(quality.duplicate_summary(without_nan(df), settings=s))
     columns = fixed(profile.column_profile(df, settings=s, counts=counts, roles=roles))
     t: dict[str, DataFrame] = {"column_profile": columns.orderBy("position"), "roles": roles,

@@ -73,16 +73,20 @@ def _quantiles(df, values, probabilities, settings, known):
 
 
 def order_statistics(
-    table: DataFrame, wanted: Mapping[str, Sequence[int]], sizes: Mapping[str, int]
+    table: DataFrame, wanted: Mapping[str, Sequence[int]], sizes: Mapping[str, int], slack: float = 2.0
 ) -> dict[tuple[str, int], float]:
-    """The values at the given zero-based ranks of each double column, exactly."""
+    """The values at the given zero-based ranks of each double column, exactly.
+
+    A bracket reaches ``slack`` times the sketch's error to either side of its rank. Counting
+    proves that it holds the rank; should it not, the rank is sought again with wider ones.
+    """
     accuracy = {c: int(min(1_000_000, max(10_000, sizes[c] // 250_000))) for c in wanted}
     sketches = []
     for c, ranks in wanted.items():
         edges = []
         for r in ranks:
-            p, slack = r / max(sizes[c] - 1, 1), 2.0 / accuracy[c]
-            edges += [min(max(p - slack, 0.0), 1.0), min(max(p + slack, 0.0), 1.0)]
+            p, reach = r / max(sizes[c] - 1, 1), slack / accuracy[c]
+            edges += [min(max(p - reach, 0.0), 1.0), min(max(p + reach, 0.0), 1.0)]
         sketches += [
             F.percentile_approx(c, edges, accuracy[c]).alias(f"q_{c}"),
             F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"),
@@ -92,20 +96,21 @@ def order_statistics(
     for c, ranks in wanted.items():
         for i, r in enumerate(ranks):
             lo, hi = sketch[f"q_{c}"][2 * i], sketch[f"q_{c}"][2 * i + 1]
-            if r <= 2 * sizes[c] / accuracy[c]:
+            if r <= slack * sizes[c] / accuracy[c]:
                 lo = sketch[f"lo_{c}"]
-            if r >= sizes[c] - 1 - 2 * sizes[c] / accuracy[c]:
+            if r >= sizes[c] - 1 - slack * sizes[c] / accuracy[c]:
                 hi = sketch[f"hi_{c}"]
             brackets[c, r] = (lo, hi)
 
     below = _below(table, brackets)
-    for (c, r), (lo, hi) in list(brackets.items()):
-        under, inside = below[c, r]
-        if not under <= r < under + inside:  # sketch missed: fall back to the full range
-            brackets[c, r] = (sketch[f"lo_{c}"], sketch[f"hi_{c}"])
-            below[c, r] = (0, sizes[c])
-
+    missed: dict[str, list[int]] = {}
+    for (c, r), (under, inside) in below.items():
+        if not under <= r < under + inside:
+            missed.setdefault(c, []).append(r)
+            del brackets[c, r]
     found = {key: lo for key, (lo, hi) in brackets.items() if lo == hi}
+    if missed:
+        found.update(order_statistics(table, missed, sizes, max(slack * 16, 2.0)))
     open_keys = [k for k in brackets if k not in found]
     if not open_keys:
         return found

@@ -136,6 +136,7 @@ class Options:
     enable_leakage: bool = True
     trees: int = 200
     id_columns: tuple[str, ...] = ()
+    store_input: bool = False  # write the input first: for tables that are costly to compute again
     settings: Settings = field(default_factory=Settings)
 
 

@@ -22,6 +22,7 @@ def test_planted_points_are_found(spark, planted):
     summary = rows(anomalies.anomaly_summary(found, spark))[0]
     assert summary["n_rows_scored"] == 502 and 0.008 <= summary["anomaly_rate"] <= 0.012
     assert worst[0]["anomaly_percentile"] == pytest.approx(100 / 502) and worst[0]["anomaly_decision"] < 0
+    assert found.records.where("anomaly_percentile is null").count() == 0
     deviations = rows(anomalies.feature_deviations(found.records, found.features))
     assert len(deviations) == 3 and deviations[0]["max_abs_robust_z"] > 5
 

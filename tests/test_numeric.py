@@ -155,3 +155,11 @@ def test_high_cardinality_and_frequency_table(spark):
     assert rows(categorical.categorical_stats(df), "column")["k"]["is_high_cardinality"]
     got = rows(categorical.frequency_table(df, "v", 2))
     assert [r["value"] for r in got] == ["a", "b", "(other 1 categories)"] and got[0]["percent"] == 50.0
+
+
+def test_ranks_outside_their_brackets_are_sought_again(spark):
+    from tabscope.plans.quantiles import order_statistics
+
+    df = column(spark, [3, 1, 2, 2, 9, 8, 7], "v")
+    found = order_statistics(df, {"v": list(range(7))}, {"v": 7}, slack=-1e4)
+    assert [found["v", r] for r in range(7)] == [1, 2, 2, 3, 7, 8, 9]
