@@ -11,7 +11,7 @@ from tabscope.functions.columns import (
     bytes_text, col, count_text, date_hinted, fields, finite, in_passes, name_tokens, of_kind,
     parse_date, parse_number, plain_number, present, share, stored_kind, whole_numbers, words,
 )
-from tabscope.plans.counts import distinct_counts, value_counts
+from tabscope.plans.counts import countable, distinct_counts, value_counts
 from tabscope.settings import DEFAULT, Settings
 
 ROLE_SCHEMA = "position int, column string, spark_type string, role string, text_like boolean"
@@ -188,11 +188,13 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, *, setti
             (share(missing, F.col(f"r{i}")) * 100).alias("missing_pct"),
             F.coalesce(F.col(f"x{i}"), F.lit("")).alias("example"), F.col(f"b{i}").alias("data_bytes"))
 
+    nested = [f.name for f in wanted if not countable(f.dataType)] or [""]
     base = in_passes(df, list(enumerate(wanted)), 4, build, settings.fields_per_pass)
     return (base.join(distinct.select("column", F.col("n_unique").alias("unique")), "column", "left")
             .join(roles.select("column", "role"), "column", "left")
             .select("position", "column", "dtype", "non_null", "missing", "missing_pct",
-                    F.coalesce("unique", F.lit(0)).cast("long").alias("unique"), "example", "role",
+                    F.when(~F.col("column").isin(*nested), F.coalesce("unique", F.lit(0))).cast("long").alias("unique"),
+                    "example", "role",
                     "data_bytes"))
 
 

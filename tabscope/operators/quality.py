@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tabscope.functions.columns import (
     col, fields, groupable, in_passes, missing_band, percent_text, present, share, stored_kind,
 )
-from tabscope.plans.counts import value_counts
+from tabscope.plans.counts import countable, value_counts
 from tabscope.settings import DEFAULT, Settings
 
 
@@ -101,8 +101,8 @@ def duplicate_examples(df: DataFrame, subset: Sequence[str] | None = None, *, li
 
 def low_variance(df: DataFrame, columns: Sequence[str] | None = None, *, settings: Settings = DEFAULT,
                  counts: DataFrame | None = None) -> DataFrame:
-    """Constant and near-constant columns; an empty column counts as constant."""
-    wanted = fields(df, columns)
+    """Constant and near-constant columns; an empty column counts as constant, nested ones are left out."""
+    wanted = [f for f in fields(df, columns) if countable(f.dataType)]
     counts = value_counts(df, [f.name for f in wanted]) if counts is None else counts
     per_column = counts.groupBy("column").agg(
         F.count("*").alias("n_unique"), F.sum("n").alias("present"), F.max("n").alias("top_n"),

@@ -20,7 +20,7 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     Integers, floating numbers and everything else travel in typed fields, so no number is
     turned into text for the shuffle.  Columns are labelled by position until after it.
     """
-    wanted = [f for f in fields(df, columns) if _countable(f.dataType)]
+    wanted = [f for f in fields(df, columns) if countable(f.dataType)]
     if not wanted:
         return df.sparkSession.createDataFrame([], _SCHEMA)
     packed = []
@@ -49,7 +49,8 @@ _SCHEMA = ("position int, column string, number bigint, real double, text string
            "value string, n bigint")
 
 
-def _countable(dtype: T.DataType) -> bool:
+def countable(dtype: T.DataType) -> bool:
+    """Are the values of this type counted? Nested values are not."""
     return stored_kind(dtype) != "other" or isinstance(dtype, (T.BinaryType, T.DayTimeIntervalType))
 
 

@@ -78,3 +78,12 @@ def test_overview_and_profile_of_odd_names(spark):
     got = rows(profile.column_profile(df), "column")
     assert got["$#.x"]["unique"] == 1 and got["naïve"]["role"] == "empty" and got["a b"]["missing"] == 0
     assert rows(profile.overview(df))[0]["missing_cells"] == 2
+
+
+def test_nested_columns_are_profiled_but_not_counted(spark):
+    df = spark.createDataFrame([(i, [i], {"a": i}, None) for i in range(5)], "i int, a array<int>, m map<string,int>, n array<int>")
+    got = rows(profile.column_profile(df), "column")
+    assert got["a"]["unique"] is None and got["a"]["role"] == "other" and got["n"]["missing"] == 5 and got["i"]["unique"] == 5
+    assert rows(quality.low_variance(df)) == []
+    assert rows(quality.missing_summary(df))[0]["missing_cells"] == 5
+    assert rows(quality.duplicate_summary(df.union(df)))[0]["duplicate_rows"] == 5
