@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscope.llm import quality_rules
+from tabscope.llm import line_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +26,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op7_line_dedup", """
+WITH lines AS (
+  SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents
+), cleaned AS (
+  SELECT doc_id, text, source, raw, line_no, trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM lines
+), common AS (
+  SELECT line, min((doc_id, line_no)) AS first FROM cleaned WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce('=' || source, '')) >= 10
+), marked AS (
+  SELECT c.*, m.line IS NOT NULL AND (c.doc_id, c.line_no) <> m.first AS gone FROM cleaned c LEFT JOIN common m ON c.line = m.line
+), kept AS (
+  SELECT doc_id, text, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS kept,
+         count(*) AS n_lines, count(*) FILTER (gone) AS n_removed
+  FROM marked GROUP BY doc_id, text
+)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, length(k.kept)::BIGINT AS kept_chars,
+       sha256(k.kept) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id AND d.text = k.text""")
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return line_dedup.remove_boilerplate(documents).select(
+        "doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
