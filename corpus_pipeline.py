@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscope.llm import quality_rules
+from tabscope.llm import line_dedup, quality_rules
 from tabscope.plans.stored import stored
 
 
@@ -13,8 +13,15 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.keep_good(docs)
 
 
+def without_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, lines found on many sites removed but for their first place; ``n_chars`` follows the text."""
+    kept = line_dedup.remove_boilerplate(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    return kept.select(*docs.columns)
+
+
 STAGES = [
     ("quality rules", good_quality),
+    ("line dedup", without_boilerplate_lines),
 ]
 
 #: Jensen-Shannon distances, fingerprints' components and merge-dropout are not expressible in SQL; tests hold each stage against brute force.
