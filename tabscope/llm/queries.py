@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscope.llm import line_dedup, quality_rules
+from tabscope.llm import line_dedup, quality_rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +49,11 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op9_simhash_near_dedup")
+def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.with_component(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
