@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscope.llm import line_dedup, quality_rules
+from tabscope.llm import line_dedup, quality_rules, simhash
 from tabscope.plans.stored import stored
 
 
@@ -19,9 +19,15 @@ def without_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return kept.select(*docs.columns)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies, that of the smallest id."""
+    return simhash.one_of_each(docs)
+
+
 STAGES = [
     ("quality rules", good_quality),
     ("line dedup", without_boilerplate_lines),
+    ("SimHash near-dedup", without_near_copies),
 ]
 
 #: Jensen-Shannon distances, fingerprints' components and merge-dropout are not expressible in SQL; tests hold each stage against brute force.
