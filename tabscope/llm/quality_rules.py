@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabscope.functions.columns import col
 from tabscope.llm.common import add_columns, as_bytes, others
+from tabscope.plans.stored import stored
 
 #: Frequent function words of the languages the references are made for.
 COMMON_WORDS = tuple((
@@ -160,8 +161,8 @@ RESULT = {
 
 def _judged(df: DataFrame, text: str, lang: str, rules: QualityRules, names: dict[str, str]) -> DataFrame:
     """``df`` with results, ``names`` giving each wanted result the name of its column."""
-    known = references(df, text, lang, rules)
-    # no hint: the references are broadcast if Spark finds them small, and joined by a shuffle beyond
+    # stored, so that Spark knows their size: small references are broadcast, others joined by a shuffle
+    known = stored(references(df, text, lang, rules), "references")
     own = df.select(*[col(c) for c in df.columns], col(lang).cast("string").alias("__lang"))
     joined = own.join(known, F.col("__lang").eqNullSafe(F.col("reference_lang")), "left").drop("__lang")
 
