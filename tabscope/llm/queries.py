@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscope.llm import line_dedup, quality_rules, simhash
+from tabscope.llm import decontaminate, line_dedup, quality_rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +26,39 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op4_benchmark_decontamination", r"""
+WITH doc_words AS (
+  SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM doc_words
+), items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, w, least(len(w), 10) AS size FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, size, array_to_string(w[pos:pos + size - 1], ' ') AS words FROM (SELECT item, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM items)
+), places AS (
+  SELECT r, size, pos, array_to_string(w[pos:pos + size - 1], ' ') AS words FROM (
+    SELECT r, w, size, unnest(range(1, n - size + 2)) AS pos FROM docs, (SELECT DISTINCT size FROM items) WHERE n >= size)
+), found AS (
+  SELECT r, item, p.size AS size, pos FROM places p JOIN windows USING (size, words)
+), hit AS (
+  SELECT r, count(DISTINCT word) AS n_hit FROM (SELECT r, unnest(range(pos, pos + size)) AS word FROM found) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found) GROUP BY r
+)
+SELECT doc_id, n::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""")
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, span: n + span["beyond"] - span["first"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 @query("op7_line_dedup", """
 WITH lines AS (
   SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents
