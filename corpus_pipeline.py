@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscope.llm import line_dedup, quality_rules, simhash
+from tabscope.llm import decontaminate, line_dedup, quality_rules, simhash
 from tabscope.plans.stored import stored
 
 
@@ -24,10 +24,16 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return simhash.one_of_each(docs)
 
 
+def without_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontaminate.without_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 STAGES = [
     ("quality rules", good_quality),
     ("line dedup", without_boilerplate_lines),
     ("SimHash near-dedup", without_near_copies),
+    ("benchmark decontamination", without_benchmark_documents),
 ]
 
 #: Jensen-Shannon distances, fingerprints' components and merge-dropout are not expressible in SQL; tests hold each stage against brute force.
