@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscope.llm import decontaminate, line_dedup, quality_rules, simhash
+from tabscope.llm import decontaminate, line_dedup, pieces, quality_rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,6 +59,17 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+@query("op6_sentencepiece_codec")
+def op6_sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and digests of the ids and of the text they decode to, and whether it is the document's."""
+    documents = table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"), "text")
+    decoded = pieces.decode(pieces.encode(documents).drop("text"))
+    return decoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        F.length("text").cast("bigint").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("text", 256).eqNullSafe(F.col("text_sha256")).alias("lossless"))
+
+
 @query("op7_line_dedup", """
 WITH lines AS (
   SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents
