@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscope.llm import decontaminate, line_dedup, quality_rules, simhash
+from tabscope.llm import decontaminate, line_dedup, pieces, quality_rules, simhash
 from tabscope.plans.stored import stored
 
 
@@ -29,11 +29,18 @@ def without_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: st
     return decontaminate.without_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of all documents by merge-dropout, and the texts these decode to."""
+    encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    return pieces.decode(encoded).withColumn("n_pieces", F.size("ids").cast("bigint"))
+
+
 STAGES = [
     ("quality rules", good_quality),
     ("line dedup", without_boilerplate_lines),
     ("SimHash near-dedup", without_near_copies),
     ("benchmark decontamination", without_benchmark_documents),
+    ("SentencePiece encoding and decoding", as_pieces),
 ]
 
 #: Jensen-Shannon distances, fingerprints' components and merge-dropout are not expressible in SQL; tests hold each stage against brute force.
