@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscope.llm import decontaminate, line_dedup, pieces, quality_rules, sharding, simhash
+from tabscope.llm import decontaminate, line_dedup, pieces, quality_rules, sharding, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,6 +68,30 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+#: Rules on hosts and paths.
+ALLOWED_URLS = ["org/", "com/fr/"]
+BLOCKED_URLS = ["example.org/es/", "example.org/en/1", "com/de/"]
+
+
+@query("op5_url_filters", """
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS whole FROM pages
+), parts AS (
+  SELECT row_number() OVER () AS r, page_id, coalesce(translate(regexp_extract(whole, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(substr(whole, length(regexp_extract(whole, '^[^/]*')) + 1), '') AS path FROM cut
+), rules(rule, of_host, of_path, verdict) AS (
+  VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'),
+         ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')
+), best AS (
+  SELECT r, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+  FROM parts JOIN rules ON (host = of_host OR ends_with(host, '.' || of_host)) AND starts_with(path, of_path) GROUP BY r
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (r)""")
+def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judge(pages, ALLOWED_URLS, BLOCKED_URLS).drop("url")
+
+
 @query("op6_sentencepiece_codec")
 def op6_sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and digests of the ids and of the text they decode to, and whether it is the document's."""
