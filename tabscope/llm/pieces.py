@@ -43,7 +43,7 @@ MASK = (1 << 64) - 1
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 #: Words longer than this are segmented one by one; segmentations kept, beyond which a variant's are forgotten;
 #: words segmented, and bytes of text encoded, at a time.
-LONG_WORD, KEPT_WORDS, ROUND, SLICE = 48, 1 << 20, 1 << 14, 1 << 22
+LONG_WORD, KEPT_WORDS, ROUND, SLICE = 48, 600_000, 1 << 13, 1 << 20
 
 
 @dataclass
@@ -53,7 +53,7 @@ class Codec:
     model: bytes
     dropout: float = 0.1
     seed: int = 0
-    variants: int = 8
+    variants: int = 4
     kept: list[dict[str, bytes]] = field(default_factory=list, repr=False)
 
     def __post_init__(self):
@@ -80,20 +80,23 @@ class Codec:
         self.limit = int(self.dropout * (1 << 53))
         self.kept = [{} for _ in range(self.variants)]
         # the same merges as arrays: ids of characters, and of each pair of ids that makes a piece, that piece
-        self.char_id = np.full(0x110000, -1, np.int64)
+        self.char_id = np.full(0x110000, -1, np.int32)
         for p, i in normal.items():
             if len(p) == 1:
                 self.char_id[ord(p)] = i
-        self.known = frozenset(p for p in normal if len(p) == 1)
-        self.rank_of = np.full(n + 1, len(normal), np.int64)
+        self.rank_of = np.full(n + 1, len(normal), np.int32)
         for p, i in normal.items():
             self.rank_of[i] = self.rank[p]
         pairs = sorted((normal[p[:k]] * n + normal[p[k:]], i) for p, i in normal.items() for k in range(1, len(p)) if p[:k] in normal and p[k:] in normal)
         self.pair_key = np.array([k for k, _ in pairs], np.int64)
-        self.pair_piece = np.array([i for _, i in pairs], np.int64)
+        self.pair_piece = np.array([i for _, i in pairs], np.int32)
 
-    def word_key(self, word: str, variant: int) -> int:
-        return xxh64_intdigest(word.encode(), (self.seed * 0x100000001B3 + variant) & MASK)
+    def word_keys(self, codes: np.ndarray, places: np.ndarray, heads: np.ndarray, variants: np.ndarray) -> np.ndarray:
+        """A hash of each word's characters and their places, keyed by the seed and the word's variant."""
+        with np.errstate(over="ignore"):
+            own = (codes.astype(np.uint64) + np.uint64(1)) * B
+            own = (own ^ (own >> np.uint64(31))) * (places.astype(np.uint64) * A + C)
+            return np.add.reduceat(own, heads) ^ ((variants.astype(np.uint64) + np.uint64(self.seed & MASK) * B) * D)
 
     def skipped(self, key, start, middle, end):
         """Whether the candidate of two symbols, [start, middle) and [middle, end), is skipped; of numbers or arrays."""
@@ -105,66 +108,78 @@ class Codec:
     def _pieces(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece each pair of ids makes, or one beyond the last."""
         n = len(self.bytes_of)
-        keys = left * n + right
+        keys = left.astype(np.int64) * n + right
         at = np.searchsorted(self.pair_key, keys)
         at[at == len(self.pair_key)] = 0
         return np.where(self.pair_key[at] == keys, self.pair_piece[at], n)
 
     def _learn(self, wanted: list[tuple[str, int]]) -> None:
-        """Segment words of known characters at once: a round takes each word's best candidate."""
+        """Segment many words at once: a round takes each word's best candidate."""
         words = [w for w, _ in wanted]
-        keys = np.array([self.word_key(w, v) for w, v in wanted], np.uint64)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        symbol = self.char_id[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
-        of = np.repeat(np.arange(len(words)), lengths)
+        lengths = np.fromiter(map(len, words), np.int32, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        symbol = self.char_id[codes]
         first = np.cumsum(lengths) - lengths
-        start = (np.arange(len(symbol)) - first[of]).astype(np.uint64)
-        stop = start + np.uint64(1)
+        strange = np.flatnonzero(np.minimum.reduceat(symbol, first) < 0)
+        if len(strange):  # words with characters that have no piece
+            for i in strange.tolist():
+                self.kept[wanted[i][1]][words[i]] = self.word_ids(*wanted[i])
+            strange = set(strange.tolist())
+            rest = [x for i, x in enumerate(wanted) if i not in strange]
+            return self._learn(rest) if rest else None
+        of = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        start = np.arange(len(symbol), dtype=np.int32) - np.repeat(first, lengths).astype(np.int32)
+        stop = start + 1
+        keys = self.word_keys(codes, start, first, np.array([v for _, v in wanted]))
         none = len(self.ids)
-        made = np.full(len(symbol), len(self.bytes_of))  # the piece a symbol makes with the next one of its word
+        made = np.full(len(symbol), len(self.bytes_of), np.int32)  # the piece a symbol makes with the next one of its word
         inside = np.flatnonzero(of[:-1] == of[1:])
         made[inside] = self._pieces(symbol[inside], symbol[inside + 1])
         rank = self.rank_of[made]
         while True:
-            heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            ends = np.flatnonzero(of[1:] != of[:-1])
+            heads = np.concatenate([[0], ends + 1])
             best = np.minimum.reduceat(rank, heads)
-            counts = np.diff(np.r_[heads, len(of)])
+            counts = np.diff(heads, append=len(of))
             done = best == none
             if done.any():
                 ended = np.repeat(done, counts)
-                ids = symbol[ended].astype(np.int32).tobytes()
+                ids = symbol[ended].tobytes()
                 at = 0
-                for word, count in zip(of[heads[done]].tolist(), counts[done].tolist(), strict=True):
+                for word, beyond in zip(of[heads[done]].tolist(), np.cumsum(4 * counts[done]).tolist(), strict=True):
                     text, variant = wanted[word]
-                    self.kept[variant][text] = ids[at:at + 4 * count]
-                    at += 4 * count
-                if done.all():
-                    return
-                open_ = ~ended
-                symbol, of, start, stop, made, rank = (x[open_] for x in (symbol, of, start, stop, made, rank))
+                    self.kept[variant][text] = ids[at:beyond]
+                    at = beyond
+                if len(ids) == 4 * len(of):
+                    return None
+                symbol, of, start, stop, made, rank = (x[~ended] for x in (symbol, of, start, stop, made, rank))
                 best, counts = best[~done], counts[~done]
             at = np.flatnonzero(rank == np.repeat(best, counts))
-            at = at[np.r_[True, of[at[1:]] != of[at[:-1]]]]
-            skip = self.skipped(keys[of[at]], start[at], start[at + 1], stop[at + 1]) if self.limit else np.zeros(len(at), bool)
-            rank[at[skip]] = none
-            at = at[~skip]
-            if not len(at):
-                continue
+            own = of[at]
+            at = at[np.concatenate([[True], own[1:] != own[:-1]])]
+            if self.limit:
+                skip = self.skipped(keys[of[at]], *(x.astype(np.uint64) for x in (start[at], start[at + 1], stop[at + 1])))
+                rank[at[skip]] = none
+                at = at[~skip]
+                if not len(at):
+                    continue
             symbol[at], stop[at] = made[at], stop[at + 1]
             left = np.ones(len(of), bool)
             left[at + 1] = False
             symbol, of, start, stop, made, rank = (x[left] for x in (symbol, of, start, stop, made, rank))
             at = at - np.arange(len(at))  # where the merged symbols stand now
-            for pair in (at, at[(at > 0) & (of[at - 1] == of[at])] - 1):
-                alone = (pair + 1 == len(of)) | (of[np.minimum(pair + 1, len(of) - 1)] != of[pair])
-                rank[pair[alone]] = none
-                pair = pair[~alone]
-                made[pair] = self._pieces(symbol[pair], symbol[pair + 1])
-                rank[pair] = self.rank_of[made[pair]]
+            pair = np.concatenate([at, at[at > 0] - 1])
+            last = pair + 1 == len(of)
+            alone = last | (of[np.where(last, pair, pair + 1)] != of[pair])
+            rank[pair[alone]] = none
+            pair = pair[~alone]
+            made[pair] = self._pieces(symbol[pair], symbol[pair + 1])
+            rank[pair] = self.rank_of[made[pair]]
 
     def segment(self, word: str, variant: int) -> list[int]:
         """Bounds of the symbols of ``word`` (blocks for blanks) when no candidate is left, by an agenda."""
-        return self._by_agenda(word, np.uint64(self.word_key(word, variant)))
+        codes = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        return self._by_agenda(word, self.word_keys(codes, np.arange(len(codes)), np.zeros(1, int), np.array([variant]))[0])
 
     def _by_agenda(self, word: str, key: np.uint64) -> list[int]:
         rank, n = self.rank.get, len(word)
@@ -209,27 +224,40 @@ class Codec:
         """The words of a text, blocks for blanks and a literal block as a word of its own, and their variants."""
         if not text:
             return [], []
-        words = WORD.findall(BLOCK + text.replace(" ", BLOCK)) if BLOCK not in text else []
-        for i, part in enumerate([] if words else (" " + text).split(BLOCK)):
-            words += ([LITERAL] if i else []) + WORD.findall(part.replace(" ", BLOCK))
+        if BLOCK not in text and "  " not in text and text[0] != " ":  # single blanks: a word each
+            words = list(filter(None, (BLOCK + text.replace(" ", " " + BLOCK).replace("\n", " \n ")).split(" ")))
+        else:
+            words = []
+            for i, part in enumerate((" " + text).split(BLOCK)):
+                words += ([LITERAL] if i else []) + WORD.findall(part.replace(" ", BLOCK))
         which = np.arange(len(words), dtype=np.uint64) * A + np.uint64(xxh64_intdigest(doc.encode(), self.seed & MASK))
         which = ((which ^ (which >> np.uint64(31))) * D) >> np.uint64(33)
         return words, (which % np.uint64(self.variants)).tolist()
 
     def encode(self, texts: list[str], docs: list[str]) -> list[bytes]:
         """Ids of the texts as 32-bit numbers, one after another."""
-        split = [self._words(t, d) for t, d in zip(texts, docs, strict=True)]
-        for known in self.kept:
-            if len(known) > KEPT_WORDS // self.variants:
+        if sum(map(len, self.kept)) > KEPT_WORDS:
+            for known in self.kept:
                 known.clear()
-        new = {(w, v) for words, which in split for w, v in zip(words, which, strict=True) if w not in self.kept[v]}
-        quick = [x for x in new if 0 < len(x[0]) <= LONG_WORD and self.known.issuperset(x[0])]
-        for word, variant in new.difference(quick):
-            self.kept[variant][word] = self.word_ids(word, variant)
+        kept, found, missing = self.kept, [], {}
+        for text, doc in zip(texts, docs, strict=True):
+            words, which = self._words(text, doc)
+            ids = [kept[v].get(w) for w, v in zip(words, which, strict=True)]
+            if None in ids:
+                holes = [(i, words[i], which[i]) for i, x in enumerate(ids) if x is None]
+                missing.update(((w, v), None) for _, w, v in holes)
+                found.append((ids, holes))
+            else:
+                found.append((ids, ()))
+        quick = [x for x in missing if 0 < len(x[0]) <= LONG_WORD]
+        for word, variant in () if len(quick) == len(missing) else set(missing).difference(quick):
+            kept[variant][word] = self.word_ids(word, variant)
         for at in range(0, len(quick), ROUND):
             self._learn(quick[at:at + ROUND])
-        kept = self.kept
-        return [b"".join([kept[v][w] for w, v in zip(words, which, strict=True)]) for words, which in split]
+        for ids, holes in found:
+            for i, w, v in holes:
+                ids[i] = kept[v][w]
+        return [b"".join(ids) for ids, _ in found]
 
     def decode(self, ids: list[int]) -> str:
         table = self.bytes_of
@@ -254,7 +282,7 @@ def _read(path: str) -> bytes:
 
 
 def encode(df: DataFrame, doc: str = "doc_id", text: str = "text", ids: str = "ids", model: str = MODEL, dropout: float = 0.1,
-           seed: int = 0, variants: int = 8) -> DataFrame:
+           seed: int = 0, variants: int = 4) -> DataFrame:
     """``df`` with the ids of its texts."""
     shared = df.sparkSession.sparkContext.broadcast(_read(model))
 
