@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscope.llm import decontaminate, line_dedup, pieces, quality_rules, sharding, simhash, url_filter
+from tabscope.llm import chat, decontaminate, line_dedup, pieces, quality_rules, sharding, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,17 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("key").alias("law"), "shard", "slot", "grown_shard", "bucket")
 
 
+@query("op2_chat_formatting")
+def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one more, -1, whose texts hold the template's control strings."""
+    hard = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    summary = chat.read_back(chat.formatted(turns))
+    conv_id = F.get_json_object("conv", "$.id").cast("bigint").alias("conv_id")
+    return summary.select(conv_id, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows")
+
+
 @query("op4_benchmark_decontamination", r"""
 WITH doc_words AS (
   SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
