@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscope.llm import chat, decontaminate, line_dedup, pieces, quality_rules, sharding, simhash, url_filter
+from tabscope.llm import chat, decontaminate, html_text, line_dedup, pieces, quality_rules, sharding, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +46,12 @@ def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return summary.select(conv_id, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows")
 
 
+@query("op3_html_extraction")
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_text.main_text(pages).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query("op4_benchmark_decontamination", r"""
 WITH doc_words AS (
   SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
