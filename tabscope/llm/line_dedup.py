@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabscope.functions.columns import col
+from tabscope.plans.stored import stored
 
 #: HyperLogLog of 2^12 registers: a relative standard error of 1.6 %; the margin is some six of these.
 LG_REGISTERS = 12
@@ -39,10 +40,11 @@ def spread(df: DataFrame, min_sites: int, doc: str = "doc_id", text: str = "text
     sketched = lines.groupBy("line_hash").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_REGISTERS))).alias("estimate"),
         F.min(F.struct("doc", "line_no")).alias("first"))
-    likely = sketched.where(F.col("estimate") >= min_sites * (1 - margin))
+    # stored: the few lines left are broadcast if small, and else joined by a shuffle in which frequent lines can be split
+    likely = stored(sketched.where(F.col("estimate") >= min_sites * (1 - margin)), "likely-lines")
     near = likely.where(F.col("estimate") <= min_sites * (1 + margin)).select("line_hash")
-    exact = (lines.join(near, "line_hash", "left_semi").select("line_hash", "site").distinct()
-             .groupBy("line_hash").agg(F.count("*").alias("exact")))
+    exact = stored(lines.join(near, "line_hash", "left_semi").select("line_hash", "site").distinct()
+                   .groupBy("line_hash").agg(F.count("*").alias("exact")), "counted-lines")
     sites = F.coalesce("exact", "estimate")
     return (likely.join(exact, "line_hash", "left").where(sites >= min_sites)
             .select("line_hash", F.col("first.doc").alias("first_doc"), F.col("first.line_no").alias("first_line"), sites.alias("sites")))
@@ -50,7 +52,7 @@ def spread(df: DataFrame, min_sites: int, doc: str = "doc_id", text: str = "text
 
 def remove_boilerplate(df: DataFrame, min_sites: int = 10, doc: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """``df`` without the lines that stand on many sites; ``n_lines`` counts its lines, ``n_removed`` those removed."""
-    common = spread(df, min_sites, doc, text, site)
+    common = stored(spread(df, min_sites, doc, text, site), "common-lines")
     key = [col(doc).alias("doc"), F.xxhash64(col(text)).alias("text_hash")]
     found = _lines(df, text, *key).join(common, "line_hash")
     elsewhere = found.where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))))
