@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscope.llm import chat, decontaminate, html_text, line_dedup, pieces, quality_rules, sharding, simhash, url_filter
+from tabscope.llm import chat, decontaminate, html_text, line_dedup, pieces, quality_rules, sharding, simhash, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,6 +143,12 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    return toxicity.scored(documents, labels.select("doc_id", "toxic")).drop("text")
+
+
 @query("op9_simhash_near_dedup")
 def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.with_component(table(spark, folder, "documents").select("doc_id", "text"))
