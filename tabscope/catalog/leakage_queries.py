@@ -136,6 +136,17 @@ def separation_accuracy(spark, folder):
     return rounded(leakage.separation(labelled(spark, folder), "is_big"))
 
 
+#: More features than any earlier limit.
+MANY = [f"(o_totalprice * {i + 2}) % {90 + 7 * i} + o_custkey % {i + 2} as x{i:02d}" for i in range(30)]
+_WIDE = ["CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END as is_big", *MANY]
+
+
+@query("separation_many_columns", f"""WITH d AS ({sql('orders', _WIDE)}), s AS ({union_all(_threshold(c) for c in names(MANY))})
+SELECT "column", {rnd('accuracy')} AS accuracy, n FROM s""")
+def separation_many_columns(spark, folder):
+    return rounded(leakage.separation(derived(spark, folder, "orders", _WIDE), "is_big"))
+
+
 @query("leakage_signals", f"""{WITH}, f AS ({FACTS}), every AS (
   SELECT "column", signal, severity, confidence FROM ({IDENTIFIER}) a
   UNION ALL SELECT CASE WHEN column_b = 'is_big' THEN column_a ELSE column_b END,

@@ -49,10 +49,13 @@ def missing_summary(spark, folder):
     return rounded(quality.missing_summary(gappy(spark, folder)))
 
 
-@query("missing_map")
+@query("missing_map", f"""
+WITH g AS (SELECT l_orderkey, l_partkey, l_linenumber AS line, {', '.join(GAPPY_LINEITEM)} FROM lineitem)
+SELECT l_orderkey, l_partkey, line::BIGINT AS line, {', '.join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END::BIGINT AS missing_{c}" for c in names(GAPPY_LINEITEM))}
+FROM g ORDER BY md5(concat_ws('|', '42', l_orderkey, l_partkey, line)), l_orderkey, l_partkey, line LIMIT 400""")
 def missing_map(spark, folder):
-    """A seeded sample of rows by hash; SQL has no equal of the hash."""
-    return quality.missing_map(gappy(spark, folder))
+    df = derived(spark, folder, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber as line", *GAPPY_LINEITEM])
+    return rounded(quality.missing_map(df, names(GAPPY_LINEITEM), id_columns=["l_orderkey", "l_partkey", "line"]))
 
 
 def _duplicates(name, keys):

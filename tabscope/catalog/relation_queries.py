@@ -72,10 +72,22 @@ def correlation_kendall(spark, folder):
     return rounded(correlation.correlation_pairs(wide(spark, folder), _FEW, "kendall", with_p=False).drop("p_value"))
 
 
-@query("correlation_p_values")
+# for an even number of degrees of freedom (here, rows) Student's t tail is a finite sum
+T_TAIL = """greatest(0.0, 1 - abs(r) * list_sum(list_transform(range(0, ((n - 2) // 2)::BIGINT),
+  lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * pow(1 - r * r, k))))"""
+_TAILS = ["s_suppkey", "s_acctbal", "s_acctbal * (1 + s_nationkey % 5) as scaled", "s_acctbal * s_acctbal as squared",
+          "s_suppkey * (7 + s_nationkey % 7) as mixed"]
+
+
+@query("correlation_p_values", f"""WITH d AS ({sql('(SELECT * FROM supplier ORDER BY s_suppkey LIMIT (SELECT count(*) // 2 * 2 FROM supplier)) u', _TAILS)}),
+p AS ({pearson_sql('d', names(_TAILS))}), t AS ({labelled('p')})
+SELECT l.*, {rnd(T_TAIL.replace('n -', 'p.n -').replace('abs(r)', 'abs(p.r)').replace('r * r', 'p.r * p.r'))} AS p_value
+FROM t l JOIN p ON l.column_a = p.column_a AND l.column_b = p.column_b""")
 def correlation_p_values(spark, folder):
-    """Student's t tail; SQL has no incomplete beta function. Tests compare with known values."""
-    return correlation.correlation_pairs(table(spark, folder, "supplier"), ["s_suppkey", "s_nationkey", "s_acctbal"])
+    """Student's t tail of every pair; of an odd number of suppliers the last one is left out, for SQL's finite sum."""
+    suppliers = table(spark, folder, "supplier")
+    even = suppliers.count() // 2 * 2
+    return rounded(correlation.correlation_pairs(suppliers.orderBy("s_suppkey").limit(even).selectExpr(*_TAILS)))
 
 
 @query("correlation_strong_pairs", f"""{WITH}, p AS ({pearson_sql('d', WIDE)})
@@ -105,9 +117,11 @@ def correlation_matrix(spark, folder):
     return rounded(correlation.correlation_matrix(pairs, _M))
 
 
-@query("scatter_rows")
+@query("scatter_rows", f"""SELECT user_id::DOUBLE AS x, value AS y, value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) AS flagged,
+  event_type AS color FROM events, (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events) q
+WHERE user_id IS NOT NULL AND value IS NOT NULL""")
 def scatter_rows(spark, folder):
-    """A seeded sample of points; SQL cannot repeat the draw."""
+    """All points of two columns, marked by the IQR rule."""
     df = table(spark, folder, "events")
     low, high = outliers.fences(df, ["value"])["value"]
     return correlation.scatter_rows(df, "user_id", "value", flag=(F.col("value") < low) | (F.col("value") > high),
@@ -161,3 +175,23 @@ def contingency_table(spark, folder):
 def association_columns(spark, folder):
     levels = association.association_columns(derived(spark, folder, "lineitem", GRADED))
     return spark.createDataFrame(list(levels.items()), "column string, levels bigint")
+
+
+#: More columns than any earlier limit: 18 of few levels, and one of too many to be compared.
+MANY = [f"cast((l_orderkey * {i + 3} + l_partkey * {i + 1} + l_linenumber) % {2 + i % 4} as varchar(9)) as k{i:02d}" for i in range(18)]
+LEVELS = [*MANY, "cast(l_orderkey as varchar(20)) as many", "'x' as one"]
+
+
+@query("associations_many_columns", f"""WITH d AS ({sql('lineitem', MANY)}), t AS ({association_sql('d', names(MANY))})
+SELECT column_a, column_b, {rnd(V, 4)} AS cramers_v, n AS n_observations, lr AS levels_a, lk AS levels_b,
+  ((lr - 1) * (lk - 1))::BIGINT AS dof FROM t""")
+def associations_many_columns(spark, folder):
+    return rounded(association.associations(derived(spark, folder, "lineitem", MANY)).drop("p_value"), 4)
+
+
+@query("association_levels", f"""WITH d AS ({sql('lineitem', LEVELS)}) """ + union_all(
+    f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_unique, count(DISTINCT {c}) BETWEEN 2 AND 40 AS available,
+  CASE WHEN count(DISTINCT {c}) < 2 THEN 'fewer than two levels' WHEN count(DISTINCT {c}) > 40 THEN 'more than 40 levels' ELSE '' END AS reason
+FROM d""" for c in names(LEVELS)))
+def association_levels(spark, folder):
+    return association.association_levels(derived(spark, folder, "lineitem", LEVELS), names(LEVELS))

@@ -146,6 +146,25 @@ def delimiter_detected(spark, folder):
     return spark.createDataFrame([(delimited.detect_delimiter(lines)[0], True)], "delimiter string, found boolean")
 
 
+@query("delimited_reordered", """SELECT p_partkey, p_retailprice, p_size::BIGINT AS p_size, CASE WHEN p_size > 25 THEN p_brand END AS p_brand FROM part""")
+def delimited_reordered(spark, folder):
+    """Two sets of files whose headers differ in order and columns, read as one folder."""
+    path, part = new_path(spark, "reordered"), table(spark, folder, "part")
+    part.where("p_size <= 25").select("p_partkey", "p_retailprice", "p_size").write.option("header", True).csv(path)
+    part.where("p_size > 25").select("p_size", "p_brand", "p_retailprice", "p_partkey").write.mode("append").option("header", True).csv(path)
+    return delimited.read_delimited(spark, path, ",").frame
+
+
+@query("delimited_limited", "SELECT least(count(*), 50) AS n_rows, max(CASE WHEN total > 50 THEN 50 END) AS limited FROM (SELECT *, count(*) OVER () AS total FROM part) p")
+def delimited_limited(spark, folder):
+    """The optional limit on rows, and its note."""
+    path = new_path(spark, "limited")
+    sinks.write_csv(table(spark, folder, "part"), path)
+    loaded = delimited.read_delimited(spark, path, ",", max_rows=50)
+    limited = loaded.notes.where("note_code = 'rows_limited'").agg(F.max("n").alias("limited"))
+    return loaded.frame.agg(F.count("*").alias("n_rows")).join(F.broadcast(limited))
+
+
 @query("written_csv", "SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part")
 def written_csv(spark, folder):
     path = new_path(spark, "csv")

@@ -1,8 +1,9 @@
 """Multivariate anomalies by an isolation forest.
 
-Trees are grown from small samples drawn by hash, one Spark group per tree; their nodes
-(at most trees x 2 x sample rows, about 100,000 by default) are broadcast, and every row of
-the table is scored by vectorised tree walks in Arrow batches.
+A pool of trees x sample rows (51,200 by default) is drawn by hash and broadcast; every tree draws its sample from
+the pool, and trees are grown in parallel tasks.  Their nodes (at most trees x 2 x sample rows) are broadcast, and every
+row of the table is scored once, by vectorised tree walks in Arrow batches; ids, features and scores are stored, and
+everything else is derived from that table.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabscope.functions.columns import as_rows, col, fields, finite, groupable, of_kind, share
 from tabscope.functions.isolation import expected_path, grow_tree, mean_path
@@ -69,9 +70,10 @@ def standardised(df: DataFrame, columns: Sequence[str] | None = None, *, id_colu
 
 def grow_forest(df: DataFrame, features: Sequence[str], *, id_columns: Sequence[str] = (), trees: int | None = None,
                 settings: Settings = DEFAULT, facts: dict[str, NumberFacts] | None = None) -> Forest:
-    """Draw a sample per tree, grow the trees in parallel, bring their nodes to the driver.
+    """Draw the pool, grow the trees in parallel, bring their nodes to the driver.
 
-    With id columns the draw depends on ids and seed only, not on how rows are stored.
+    The draw depends on ids (all columns if there are none), values and seed, not on how rows are stored; only rows
+    that repeat in all of these are told apart by their place, so that they are drawn as often as they occur.
     """
     trees = settings.trees if trees is None else trees
     features = list(features)
@@ -80,38 +82,20 @@ def grow_forest(df: DataFrame, features: Sequence[str], *, id_columns: Sequence[
     rows = df.count()
     sample = min(settings.tree_sample, rows)
     depth_limit = max(1, math.ceil(math.log2(max(sample, 2))))
+    pool = _pool(df, features, medians, id_columns, min(rows, trees * sample), rows, settings.seed)
+    points = df.sparkSession.sparkContext.broadcast(pool)
     seed = settings.seed
-    identity = [col(c) for c in id_columns] or [*[col(c) for c in groupable(df)], F.monotonically_increasing_id()]
-    points = df.select(F.xxhash64(F.lit(seed), *identity).alias("key"),
-                       F.array(*imputed(df, features, medians)).alias("point"))
-    pool = trees * sample
-    if rows > pool:
-        # one draw of trees x sample rows, dealt out to the trees; what is sorted stays bounded
-        pick = points.withColumn("pick", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(PICK_RANGE)))
-        if rows > 4 * pool:
-            pick = pick.where(F.col("pick") < int(PICK_RANGE * 2.0 * pool / rows))
-        drawn = (pick.orderBy("pick", "key").limit(pool)
-                 .withColumn("place", F.row_number().over(Window.orderBy("pick", "key")) - 1)
-                 .select((F.col("place") % trees).cast("int").alias("tree"), "pick", "key", "point"))
-    else:
-        dealt = (points.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "key", "point")
-                 .withColumn("pick", F.pmod(F.xxhash64("key", "tree", F.lit(seed)), F.lit(PICK_RANGE))))
-        if rows > 8 * sample:
-            dealt = dealt.where(F.col("pick") < int(PICK_RANGE * 4.0 * sample / rows))
-        place = F.row_number().over(Window.partitionBy("tree").orderBy("pick", "key"))
-        drawn = dealt.withColumn("place", place).where(F.col("place") <= sample).drop("place")
-
-    def grow(key: tuple, rows_of_tree: pd.DataFrame) -> pd.DataFrame:
-        tree = int(key[0])
-        ordered = rows_of_tree.sort_values(["pick", "key"], kind="stable")
-        nodes = grow_tree(np.array(ordered["point"].tolist(), dtype="float64"),
-                          np.random.default_rng([seed, tree]), depth_limit)
-        out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "path"])
-        out.insert(0, "tree", tree)
-        return out
-
-    grow.__annotations__ = {"key": tuple, "rows_of_tree": pd.DataFrame, "return": pd.DataFrame}
-    nodes = drawn.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()  # <= trees x 2 x sample rows
+
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for tree in batch["id"].tolist():
+                rng = np.random.default_rng([seed, int(tree)])
+                own = points.value[rng.choice(len(points.value), sample, replace=False)]
+                out = pd.DataFrame(grow_tree(own, rng, depth_limit), columns=["node", "feature", "threshold", "left", "path"])
+                out.insert(0, "tree", int(tree))
+                yield out
+
+    nodes = df.sparkSession.range(0, trees, 1, min(trees, 32)).mapInPandas(grow, NODE_SCHEMA).toPandas()  # <= trees x 2 x sample rows
     parts: dict[str, list[np.ndarray]] = {k: [] for k in ("feature", "threshold", "left", "path")}
     kinds = {"feature": "int64", "threshold": "float64", "left": "int64", "path": "float64"}
     for _, tree in nodes.sort_values(["tree", "node"]).groupby("tree"):
@@ -120,6 +104,29 @@ def grow_forest(df: DataFrame, features: Sequence[str], *, id_columns: Sequence[
     return Forest(features, medians, parts, depth_limit, sample, rows)
 
 
+def _pool(df: DataFrame, features: list[str], medians: dict[str, float], id_columns: Sequence[str], size: int, rows: int,
+          seed: int) -> np.ndarray:
+    """``size`` rows of features, those of the smallest picks."""
+    identity = [col(c) for c in id_columns] or [col(c) for c in groupable(df)]
+    point = imputed(df, features, medians)
+    points = df.select(F.xxhash64(F.lit(seed), *identity, *point).alias("key"), F.array(*point).alias("point"),
+                       F.monotonically_increasing_id().alias("row_no"))
+    repeated = stored(points.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("of")), "repeated")
+    place = F.when(F.col("of").isNotNull(), F.col("row_no"))
+    picks = points.join(repeated, F.col("key") == F.col("of"), "left").select(
+        F.pmod(F.xxhash64("key", F.lit(seed), place), F.lit(PICK_RANGE)).alias("pick"), "key", "point")
+
+    def smallest(some: DataFrame) -> list:
+        return some.orderBy("pick", "key").limit(size).select("point").collect()
+
+    # picks are even: twice the share wanted holds the smallest ones, which is checked, and keeps the sort small
+    share_wanted = 2.0 * size / max(rows, 1)
+    found = smallest(picks.where(F.col("pick") < int(PICK_RANGE * min(1.0, share_wanted))))
+    if len(found) < size:
+        found = smallest(picks)
+    return np.array([r["point"] for r in found], dtype="float64")
+
+
 def anomaly_score(df: DataFrame, forest: Forest) -> Column:
     """Score column: minus 2^(-mean path / expected path); lower is more unusual."""
     model = df.sparkSession.sparkContext.broadcast(forest.trees)
@@ -137,7 +144,7 @@ def anomaly_score(df: DataFrame, forest: Forest) -> Column:
 
 @dataclass
 class AnomalyResult:
-    """``records`` holds every input row with its score, ``scores`` the stored scores alone."""
+    """``records`` holds ids, features, score, decision and label of every input row, from one stored table."""
 
     available: bool
     reason: str
@@ -145,16 +152,14 @@ class AnomalyResult:
     features: list[str]
     forest: Forest | None = None
     records: DataFrame | None = None
-    scores: DataFrame | None = None
 
 
 def detect_anomalies(df: DataFrame, columns: Sequence[str] | None = None, *, contamination: float | None = None,
                      trees: int | None = None, id_columns: Sequence[str] = (), with_percentile: bool = True,
                      settings: Settings = DEFAULT, facts: dict[str, NumberFacts] | None = None) -> AnomalyResult:
-    """Score all rows and label the share ``contamination`` with the lowest scores.
+    """Score all rows once and label the share ``contamination`` with the lowest scores.
 
-    The labels' cut is the exact quantile of all scores.  For it only the scores are
-    written out once; the records themselves stay lazy.
+    The labels' cut is the exact quantile of all scores.
     """
     s = settings
     contamination = min(max(s.contamination if contamination is None else contamination,
@@ -169,16 +174,15 @@ def detect_anomalies(df: DataFrame, columns: Sequence[str] | None = None, *, con
         return AnomalyResult(False, f"{len(used)} usable numeric column(s): at least {s.anomaly_features} are needed.",
                              contamination, used)
     forest = grow_forest(df, used, id_columns=id_columns, trees=trees, settings=s, facts=facts)
-    score = anomaly_score(df, forest)
-    scores = stored(_spread(df.select(*[col(f) for f in used])).select(score.alias("anomaly_score")), "scores")
-    forest.offset = exact_quantiles(scores, {"s": F.col("anomaly_score")}, [contamination], s)["s"][0]
-    records = df.withColumn("anomaly_score", score)
-    decision = F.col("anomaly_score") - F.lit(forest.offset)
-    records = records.withColumn("anomaly_decision", decision).withColumn("is_anomaly", F.col("anomaly_decision") < 0)
+    narrow = _spread(df.select(*[col(c) for c in id_columns], *[col(f) for f in used]))
+    scored = stored(narrow.withColumn("anomaly_score", anomaly_score(narrow, forest)), "scores")
+    forest.offset = exact_quantiles(scored, {"s": F.col("anomaly_score")}, [contamination], s)["s"][0]
+    records = scored.withColumn("anomaly_decision", F.col("anomaly_score") - F.lit(forest.offset)).withColumn(
+        "is_anomaly", F.col("anomaly_decision") < 0)
     if with_percentile:
-        records = with_percentile_rank(records, "anomaly_score", "anomaly_percentile", source=scores, settings=s)
+        records = with_percentile_rank(records, "anomaly_score", "anomaly_percentile", source=scored, settings=s)
     reason = f"Left out for having fewer than {s.min_distinct_outliers} distinct values: {', '.join(left_out)}." if left_out else ""
-    return AnomalyResult(True, reason, contamination, used, forest, records, scores)
+    return AnomalyResult(True, reason, contamination, used, forest, records)
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -191,10 +195,10 @@ def with_percentile_rank(df: DataFrame, column: str, out: str, *, source: DataFr
                          settings: Settings = DEFAULT) -> DataFrame:
     """Add the average rank of a column as a percentage of the number of values."""
     table = df if source is None else source
-    ranked, rows = average_ranks(table, col(column), settings)
+    ranked = average_ranks(table, col(column), settings)
     total = table.agg(F.count(col(column))).first()[0]
     lookup = ranked.select("value", "n", (F.col("rank") / F.lit(total) * 100).alias(out))
-    return attach(df, column, lookup, out, rows, settings)
+    return attach(df, column, lookup, out)
 
 
 def anomaly_summary(result: AnomalyResult, spark) -> DataFrame:
@@ -203,8 +207,7 @@ def anomaly_summary(result: AnomalyResult, spark) -> DataFrame:
               "anomaly_rate double, features_used array<string>, mean_score double")
     if not result.available:
         return spark.createDataFrame([(False, result.reason, result.contamination, 0, 0, 0.0, result.features, None)], schema)
-    low = F.col("anomaly_score") - F.lit(result.forest.offset) < 0
-    row = result.scores.agg(F.count(F.lit(1)).alias("n"), F.count_if(low).alias("a"), F.avg("anomaly_score").alias("m"))
+    row = result.records.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("a"), F.avg("anomaly_score").alias("m"))
     return row.select(
         F.lit(True).alias("available"), F.lit(result.reason).alias("reason"),
         F.lit(result.contamination).alias("contamination"), F.col("n").alias("n_rows_scored"),
@@ -233,9 +236,9 @@ def feature_deviations(records: DataFrame, features: Sequence[str], *, flag: str
 
 
 def anomaly_examples(records: DataFrame, limit: int | None = None, *, settings: Settings = DEFAULT) -> DataFrame:
-    """The flagged rows with the lowest scores."""
+    """The flagged rows with the lowest scores, of equal ones those of the smallest ids and values."""
     limit = settings.example_rows if limit is None else limit
-    return records.where("is_anomaly").orderBy("anomaly_score").limit(limit)
+    return records.where("is_anomaly").orderBy("anomaly_score", *[col(c) for c in groupable(records)]).limit(limit)
 
 
 def score_distribution(records: DataFrame, bins: int = 40) -> DataFrame:

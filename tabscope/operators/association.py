@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -16,7 +15,7 @@ from tabscope.settings import DEFAULT, Settings
 
 ASSOCIATION_SCHEMA = ("column_a string, column_b string, cramers_v double, p_value double, "
                       "n_observations bigint, levels_a bigint, levels_b bigint, dof bigint")
-JOINT_LIMIT = 1_000_000  # level combinations up to which rows are first reduced to combinations
+SKIPPED_SCHEMA = "column string, n_unique bigint, available boolean, reason string"
 
 
 def contingency(df: DataFrame, column_a: str, column_b: str) -> DataFrame:
@@ -25,28 +24,38 @@ def contingency(df: DataFrame, column_a: str, column_b: str) -> DataFrame:
             .where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("n")))
 
 
-def association_columns(df: DataFrame, columns: Sequence[str] | None = None, *, settings: Settings = DEFAULT,
-                        counts: DataFrame | None = None) -> dict[str, int]:
-    """Categorical columns with 2 to 40 levels, the first 15 of them, with their level counts."""
+def association_levels(df: DataFrame, columns: Sequence[str] | None = None, *, settings: Settings = DEFAULT,
+                       counts: DataFrame | None = None) -> DataFrame:
+    """(column, n_unique, available, reason) of every categorical column; available are those of 2 to 40 levels."""
     names = [f.name for f in fields(df, columns)] if columns else categorical_columns(df)
+    if not names:
+        return df.sparkSession.createDataFrame([], SKIPPED_SCHEMA)
     counts = value_counts(df, names) if counts is None else counts.where(F.col("column").isin(names))
-    levels = {r["column"]: r["n_unique"] for r in distinct_counts(counts)
-              .where(F.col("n_unique").between(2, settings.association_levels)).collect()}
-    return {n: levels[n] for n in [n for n in names if n in levels][:settings.association_columns]}
+    every = df.sparkSession.createDataFrame([(n,) for n in names], "column string")
+    n = F.coalesce("n_unique", F.lit(0)).cast("bigint")
+    reason = F.when(n < 2, "fewer than two levels").when(
+        n > settings.association_levels, F.lit(f"more than {settings.association_levels} levels")).otherwise("")
+    return every.join(distinct_counts(counts), "column", "left").select(
+        "column", n.alias("n_unique"), (reason == "").alias("available"), reason.alias("reason"))
+
+
+def association_columns(df: DataFrame, columns: Sequence[str] | None = None, *, settings: Settings = DEFAULT,
+                        counts: DataFrame | None = None) -> dict[str, int]:
+    """All categorical columns with 2 to 40 levels, in the order of the table, with their level counts."""
+    found = association_levels(df, columns, settings=settings, counts=counts).where("available").collect()
+    levels = {r["column"]: r["n_unique"] for r in found}
+    return {f.name: levels[f.name] for f in fields(df, columns) if f.name in levels}
 
 
 def pair_tables(df: DataFrame, levels: dict[str, int]) -> DataFrame:
     """(pair, a, b, n): the contingency tables of all column pairs, from one scan.
 
-    Rows are first reduced to distinct level combinations where those are few; then each is
-    spread over the pairs.  Groups are bounded by pairs x levels^2.
+    Rows are first reduced to distinct level combinations, then each is spread over the pairs.
+    Groups are bounded by pairs x levels^2.
     """
     names = list(levels)
     rows = df.select(*[col(n).cast("string").alias(f"c{i}") for i, n in enumerate(names)])
-    if reduce(lambda a, b: a * (b + 1), levels.values(), 1) <= JOINT_LIMIT:
-        rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
-    else:
-        rows = rows.withColumn("n", F.lit(1).cast("long"))
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
     cells = F.array(*[
         F.when(F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull(),
                F.struct(F.lit(p).alias("pair"), F.col(f"c{i}").alias("a"), F.col(f"c{j}").alias("b")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tabscope.functions.columns import banded, col, fields, finite, in_passes, of_kind
 from tabscope.functions.pvalues import correlation_p_value, normal_p_value
 from tabscope.plans.facts import NumberFacts, number_facts
-from tabscope.plans.running import attach, running_totals, with_rank
+from tabscope.plans.running import attach, running_totals, with_ranks
 from tabscope.plans.stored import stored
 from tabscope.settings import DEFAULT, Settings
 
@@ -51,11 +51,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, metho
         F.element_at(label, F.col("b") + 1).alias("column_b"), F.abs("r").alias("abs_r"))
     p = F.lit(None).cast("double")
     if with_p:
-        # the pairs table has at most k(k-1)/2 rows
-        order = Window.orderBy(F.desc("abs_r"), "a", "b")
-        raw = raw.withColumn("place", F.row_number().over(order))
-        wanted = (F.col("abs_r") >= settings.r_moderate) & (F.col("place") <= settings.p_value_pairs) \
-            & (F.col("n") >= 3)
+        wanted = (F.col("abs_r") >= settings.p_value_from) & (F.col("n") >= 3)
         value = normal_p_value(F.coalesce("z", F.lit(0.0))) if method == "kendall" else correlation_p_value("r", "n")
         p = F.when(wanted, value)
     s = settings
@@ -74,32 +70,29 @@ def pearson(table: DataFrame, pairs: Sequence[tuple[int, int]], settings: Settin
             full: set[int] = frozenset()) -> DataFrame:
     """(a, b, r, n, z) per pair.
 
-    Pairs are spread over scans small enough for generated code.  Many columns without gaps
-    (``full``) are taken together instead, as one matrix product in a single scan.
+    Columns without gaps (``full``) are taken together, as one matrix product in a single scan;
+    pairs with gaps are spread over scans small enough for generated code.
     """
     parts = []
     dense = sorted(full & {i for p in pairs for i in p})
-    if len(dense) > settings.gram_columns:
+    if len(dense) >= 2:
         parts.append(_pearson_dense(table, dense, {p for p in pairs if p[0] in full and p[1] in full}))
         pairs = [p for p in pairs if not (p[0] in full and p[1] in full)]
 
     def build(i, pair):
         a, b = pair
         both = F.col(f"v{a}").isNotNull() & F.col(f"v{b}").isNotNull()
-        if a in full and b in full:  # such columns vary, so corr cannot divide by zero
-            exprs, r = [F.corr(f"v{a}", f"v{b}").alias(f"r{i}")], F.col(f"r{i}")
-        else:  # within the pair's rows a column may be constant
-            x, y = F.when(both, F.col(f"v{a}")), F.when(both, F.col(f"v{b}"))
-            exprs = [F.covar_pop(f"v{a}", f"v{b}").alias(f"c{i}"), F.stddev_pop(x).alias(f"x{i}"), F.stddev_pop(y).alias(f"y{i}")]
-            r = F.try_divide(F.col(f"c{i}"), F.col(f"x{i}") * F.col(f"y{i}"))
+        # within the pair's rows a column may be constant
+        x, y = F.when(both, F.col(f"v{a}")), F.when(both, F.col(f"v{b}"))
+        exprs = [F.covar_pop(f"v{a}", f"v{b}").alias(f"c{i}"), F.stddev_pop(x).alias(f"x{i}"), F.stddev_pop(y).alias(f"y{i}")]
+        r = F.try_divide(F.col(f"c{i}"), F.col(f"x{i}") * F.col(f"y{i}"))
         limited = F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
         return [*exprs, F.count_if(both).alias(f"n{i}")], F.struct(
             F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(r), limited).alias("r"),
             F.col(f"n{i}").alias("n"), F.lit(None).cast("double").alias("z"))
 
     if pairs:
-        complete = all(a in full and b in full for a, b in pairs)
-        parts.append(in_passes(table, list(pairs), 7 if complete else 11, build, settings.fields_per_pass))
+        parts.append(in_passes(table, list(pairs), 11, build, settings.fields_per_pass))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -112,7 +105,7 @@ def _pearson_dense(table: DataFrame, columns: list[int], wanted: set[tuple[int,
     matrix = Correlation.corr(vectors, "vector", "pearson").first()[0].toArray()  # columns x columns
     rows = table.count()
     at = {c: k for k, c in enumerate(columns)}
-    found = [(a, b, float(matrix[at[a], at[b]]), rows, None) for a, b in sorted(wanted)]
+    found = [(a, b, max(-1.0, min(1.0, float(matrix[at[a], at[b]]))), rows, None) for a, b in sorted(wanted)]
     return table.sparkSession.createDataFrame(found, "a int, b int, r double, n bigint, z double")
 
 
@@ -128,16 +121,15 @@ def spearman(table: DataFrame, pairs: Sequence[tuple[int, int]], settings: Setti
     shared = [p for p in pairs if p[0] in full and p[1] in full]
     parts = []
     if shared:
-        ranked = table
         needed = sorted({i for p in shared for i in p})
-        for i in needed:
-            ranked = with_rank(ranked, F.col(f"v{i}"), f"r{i}", settings)
-        parts.append(pearson(ranked.select(*[F.col(f"r{i}").alias(f"v{i}") for i in needed]), shared, settings))
+        only = table.select(*[f"v{i}" for i in needed])
+        ranked = with_ranks(only, only, {f"v{i}": f"r{i}" for i in needed}, settings)
+        parts.append(pearson(ranked.select(*[F.col(f"r{i}").alias(f"v{i}") for i in needed]), shared, settings, set(needed)))
     for a, b in pairs:
         if (a, b) in shared:
             continue
         rows = table.select(f"v{a}", f"v{b}").where(f"v{a} is not null and v{b} is not null")
-        ranked = with_rank(with_rank(rows, F.col(f"v{a}"), "ra", settings), F.col(f"v{b}"), "rb", settings)
+        ranked = with_ranks(rows, rows, {f"v{a}": "ra", f"v{b}": "rb"}, settings)
         parts.append(pearson(ranked.select(F.col("ra").alias(f"v{a}"), F.col("rb").alias(f"v{b}")),
                              [(a, b)], settings))
     out = parts[0]
@@ -175,7 +167,7 @@ def kendall_pair(table: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     for key, side, rows, name in (("x", xs, n_x, "rx"), ("y", ys, n_y, "ry")):
         codes = running_totals(side, "value", ["one"], settings, rows).select(
             "value", "n", F.col("upto_one").cast("long").alias(name))
-        coded = attach(coded, key, codes, name, rows, settings)
+        coded = attach(coded, key, stored(codes, "codes"), name)
 
     digits = max(1, n_y.bit_length())
     level = F.explode(F.sequence(F.lit(0), F.lit(digits - 1)))
@@ -250,15 +242,10 @@ def top_pairs(pairs: DataFrame, limit: int | None = None, *, settings: Settings
                     "strength", "direction", "n_observations", "p_value"))
 
 
-def scatter_rows(df: DataFrame, x: str, y: str, *, flag=None, color: str | None = None,
-                 rows: int = 5_000, settings: Settings = DEFAULT) -> DataFrame:
-    """A seeded sample of the finite points of two columns, marked by ``flag`` and coloured."""
+def scatter_rows(df: DataFrame, x: str, y: str, *, flag=None, color: str | None = None) -> DataFrame:
+    """All points of two columns that are finite in both, marked by ``flag`` and coloured."""
     fx, fy = [finite(f) for f in fields(df, [x, y])]
     extra = [F.coalesce(flag, F.lit(False)).alias("flagged")] if flag is not None else [F.lit(False).alias("flagged")]
     if color:
         extra.append(col(color).alias("color"))
-    points = df.select(fx.alias("x"), fy.alias("y"), *extra).where("x is not null and y is not null")
-    total = points.count()
-    if total <= rows:
-        return points
-    return points.sample(fraction=rows / total, seed=settings.seed)
+    return df.select(fx.alias("x"), fy.alias("y"), *extra).where("x is not null and y is not null")

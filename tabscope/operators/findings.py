@@ -51,7 +51,7 @@ def counted(n: Column, text: str) -> Column:
 # ---- quality -----------------------------------------------------------------
 
 def missing_findings(summary: DataFrame, by_column: DataFrame, *, settings: Settings = DEFAULT) -> DataFrame:
-    """L1: overall missing rate, then the worst ten columns that are a fifth empty or more."""
+    """L1: overall missing rate, then the columns that are a fifth empty or more, worst first."""
     s, c = settings, F.col
     none = summary.where("missing_cells = 0").select(*finding(
         "missing_data", F.lit("No missing values"), F.lit("Every cell holds a value."), "info",
@@ -65,7 +65,7 @@ def missing_findings(summary: DataFrame, by_column: DataFrame, *, settings: Sett
         missing_band(c("missing_rate"), s),
         F.struct("missing_cells", "missing_rate", "columns_with_missing", "complete_rows"),
         "Find out why values are missing before replacing them.", 1))
-    worst = by_column.where("missing > 0").orderBy(F.desc("missing_rate"), "position").limit(s.example_rows)
+    worst = by_column.where("missing > 0")
     columns = worst.where(c("missing_rate") >= s.missing_moderate).select(*finding(
         "missing_data", F.concat(F.lit("Column "), c("column"), F.lit(" is "), percent_text(c("missing_rate")),
                                  F.lit(" empty")),

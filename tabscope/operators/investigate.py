@@ -102,7 +102,7 @@ def investigate(df: DataFrame, options: Options | None = None) -> Investigation:
     deviations = None
     if found.available:
         t["anomaly_records"] = anomalies.with_percentile_rank(
-            found.records, "anomaly_score", "anomaly_percentile", source=found.scores, settings=s)
+            found.records, "anomaly_score", "anomaly_percentile", settings=s)
         deviations = t["feature_deviations"] = fixed(anomalies.feature_deviations(
             found.records, found.features, settings=s, facts=facts))
 

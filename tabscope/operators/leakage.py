@@ -203,7 +203,7 @@ def separation(df: DataFrame, target: str, *, settings: Settings = DEFAULT,
     value = {f.name: (finite(f) if kinds[f.name] == "numeric" else
                       col(f.name).cast("int").cast("double") if kinds[f.name] == "boolean" else
                       col(f.name).cast("string")) for f in features}
-    kept = _varying(df.where(goal.isNotNull()), features, value, s)[:s.separation_features]
+    kept = _varying(df.where(goal.isNotNull()), features, value, s)
     levels = {}
     if facts is not None and known == rows:  # then overall counts are the counts that matter
         levels = {r["column"]: r["n_unique"] for r in facts.select("column", "n_unique").collect()}
@@ -261,8 +261,6 @@ def _varying(df, features, value, s):
         row = df.agg(*[e for i, f in enumerate(part) for e in (
             F.count(value[f.name]).alias(f"n{i}"), (F.min(value[f.name]) < F.max(value[f.name])).alias(f"v{i}"))]).first()
         kept += [f for i, f in enumerate(part) if row[f"n{i}"] >= s.separation_rows and row[f"v{i}"]]
-        if len(kept) >= s.separation_features:
-            break
     return kept
 
 

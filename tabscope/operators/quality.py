@@ -135,16 +135,14 @@ def missing_map(df: DataFrame, columns: Sequence[str] | None = None, *, id_colum
                 rows: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """0/1 flags of missing cells for a seeded sample of rows.
 
-    Rows are drawn by the hash of their id (or of all their values), not by position; the
-    hash threshold keeps what reaches the final sort near twice the sample size.
+    Rows are drawn by the md5 of the seed and their ids (or all their values), not by position: those of the smallest
+    digests, and of equal ones the smallest values, so that repeated rows are drawn as often as they are smallest.
     """
     rows = settings.map_rows if rows is None else rows
     wanted = fields(df, columns)
     keys = [col(c) for c in (id_columns or groupable(df))]
-    picked = df.withColumn("__pick", F.pmod(F.xxhash64(F.lit(settings.seed), *keys), F.lit(1 << 40)))
-    total = df.count()
-    if total > 4 * rows:
-        picked = picked.where(F.col("__pick") < int((1 << 40) * min(1.0, 4.0 * rows / total)))
-    return (picked.orderBy("__pick", *keys).limit(rows)
-            .select(*[col(c) for c in id_columns],
-                    *[(~present(f)).cast("int").alias(f"missing_{f.name}") for f in wanted]))
+    text = F.concat_ws("|", F.lit(str(settings.seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
+    # a bounded heap per task
+    picked = df.withColumn("__pick", F.md5(text.cast("binary"))).orderBy("__pick", *keys).limit(rows)
+    return picked.select(*[col(c) for c in id_columns],
+                         *[(~present(f)).cast("int").alias(f"missing_{f.name}") for f in wanted])

@@ -46,48 +46,37 @@ def running_totals(
 
 def average_ranks(
     df: DataFrame, value: Column, settings: Settings = DEFAULT
-) -> tuple[DataFrame, int]:
-    """(value, n, rank) per distinct non-null value, and a bound on how many rows that is."""
-    counts = (df.select(value.alias("value")).where("value is not null")
-              .groupBy("value").agg(F.count("*").alias("n")))
-    rows = df.count()
-    if rows > settings.broadcast_rows:
-        counts = stored(counts, "counts")
-        rows = counts.count()
-    ranked = running_totals(counts, "value", ["n"], settings, rows).select(
-        "value", "n", (F.col("upto_n") - (F.col("n") - 1) / 2).alias("rank"))
-    return ranked, rows
-
-
-def attach(
-    df: DataFrame, key: str, lookup: DataFrame, out: str, rows: int, settings: Settings = DEFAULT
 ) -> DataFrame:
+    """(value, n, rank) per distinct non-null value, stored, so that its size is known to Spark."""
+    counts = stored(df.select(value.alias("value")).where("value is not null")
+                    .groupBy("value").agg(F.count("*").alias("n")), "counts")
+    ranked = running_totals(counts, "value", ["n"], settings)
+    return stored(ranked.select("value", "n", (F.col("upto_n") - (F.col("n") - 1) / 2).alias("rank")), "ranks")
+
+
+def attach(df: DataFrame, key: str, lookup: DataFrame, out: str) -> DataFrame:
     """Add ``out`` from lookup(value, n, <out>) where value equals ``key``; NULL keys get NULL.
 
-    A lookup of checked small size is broadcast.  A large one is joined by shuffle, with the
-    few values that hold many rows looked up by broadcast so that no join key is hot.
+    A stored lookup that Spark finds small is broadcast.  A large one is joined by shuffle; values that hold many
+    rows are hot on the left side only, whose partitions adaptive execution splits.
     """
-    small = lookup.select(F.col("value").alias("__value"), F.col(out), "n")
-    same = col(key) == F.col("__value")
-    if rows <= settings.broadcast_rows:
-        return df.join(F.broadcast(small.drop("n")), same, "left").drop("__value")
-    small = stored(small, "lookup")
-    total = small.agg(F.sum("n")).first()[0]
-    # at most 10,000 values can hold a ten-thousandth of the rows each
-    hot = small.where(F.col("n") >= total / 10_000).select(F.col("__value"), F.col(out))
-    cold = small.where(F.col("n") < total / 10_000).drop("n")
-    marked = df.join(F.broadcast(hot), same, "left")
-    unmatched = F.col(out).isNull() & col(key).isNotNull()
-    done = marked.where(~unmatched).drop("__value")
-    rest = marked.where(unmatched).drop("__value", out)
-    return done.unionByName(rest.join(cold, same, "left").drop("__value"))
-
-
-def with_rank(
-    df: DataFrame, value: Column, out: str, settings: Settings = DEFAULT
-) -> DataFrame:
+    small = lookup.select(F.col("value").alias("__value"), F.col(out))
+    return df.join(small, col(key) == F.col("__value"), "left").drop("__value")
+
+
+def with_ranks(df: DataFrame, source: DataFrame, ranks: dict[str, str], settings: Settings = DEFAULT) -> DataFrame:
+    """Add the average rank of each column in ``ranks`` (column: name of the rank) among the rows of ``source``.
+
+    Each rank is looked up by one join with a stored table made from ``source`` alone, so the plan grows by one join
+    and one scan per column.
+    """
+    for column, out in ranks.items():
+        df = attach(df, column, average_ranks(source, col(column), settings).withColumnRenamed("rank", out), out)
+    return df
+
+
+def with_rank(df: DataFrame, value: Column, out: str, settings: Settings = DEFAULT) -> DataFrame:
     """Add the average rank of ``value`` among all rows of ``df`` (NULL for NULL)."""
-    ranked, rows = average_ranks(df, value, settings)
     key = f"__{out}_key"
-    return attach(df.withColumn(key, value), key, ranked.withColumnRenamed("rank", out), out,
-                  rows, settings).drop(key)
+    ranks = average_ranks(df, value, settings).withColumnRenamed("rank", out)
+    return attach(df.withColumn(key, value), key, ranks, out).drop(key)

@@ -53,10 +53,10 @@ class Settings:
     r_multicollinear: float = 0.80
     r_near_duplicate: float = 0.995
     min_pair_rows: int = 10
-    p_value_pairs: int = 5_000
+    #: p-values are given from this absolute coefficient on
+    p_value_from: float = 0.0
     v_strong: float = 0.50
     v_very_strong: float = 0.70
-    association_columns: int = 15
     association_levels: int = 40
 
     # categorical
@@ -85,7 +85,6 @@ class Settings:
     separation_purity: float = 0.999
     separation_rows: int = 50
     separation_class_rows: int = 5
-    separation_features: int = 25
     separation_levels: int = 200
     copy_min_rows: int = 10
     copy_min_overlap: float = 0.5
@@ -115,10 +114,8 @@ class Settings:
 
     # scale switches: below these sizes a single task may hold a whole group
     small_group_rows: int = 2_000_000
-    broadcast_rows: int = 1_000_000
     # aggregation buffer fields per scan: beyond 100 Spark gives up whole-stage code generation
     fields_per_pass: int = 96
-    gram_columns: int = 16
 
 
 DEFAULT = Settings()

@@ -13,7 +13,7 @@ from tabscope import settings as S
 from tabscope.functions.columns import as_rows, col
 
 NOTE_SCHEMA = "note_code string, column string, n bigint, message string"
-CORRUPT = "__malformed"
+CORRUPT, LONG, SHORT = "__malformed", "__long", "__short"
 WHOLE = r"^[+-]?[0-9]{1,18}$"
 
 
@@ -72,9 +72,53 @@ def _check_text(lines: DataFrame, path) -> None:
         raise LoadError(f"{path} is binary, not text")
 
 
+@dataclass
+class _HeaderGroup:
+    """Files with one header: its fields, clean names, and the names of the columns that are kept, by position."""
+
+    files: list[str]
+    raw: list[str | None]
+    names: list[str]
+    dropped: bool
+
+    @property
+    def kept(self) -> list[str]:
+        # an empty first header is a written-out row index
+        return clean_names(self.raw[1:]) if self.dropped else self.names
+
+
+def _files_by_header(lines: DataFrame) -> list[list[str]]:
+    """Files in groups that share their first line that is not blank; groups and files in the order of paths."""
+    first = (lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                          F.monotonically_increasing_id().alias("place"))
+             .where((F.col("start") == 0) & (F.trim("value") != ""))
+             .groupBy("file").agg(F.min_by("value", "place").alias("header")))
+    found = first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).collect()
+    return sorted(list(r["files"]) for r in found)
+
+
+def _header_group(plain, files: list[str]) -> _HeaderGroup:
+    raw = list(plain.csv(files[0]).first())
+    return _HeaderGroup(files, raw, clean_names(raw), len(raw) > 1 and not (raw[0] or "").strip())
+
+
+def _group_rows(reader, group: _HeaderGroup, codes: dict[str, str], delimiter: str) -> DataFrame:
+    """Rows of a group's files, values by the codes of their columns, and whether a row is too long or too short."""
+    n = len(group.raw)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*(f"f{i}" for i in range(n)), CORRUPT]])
+    rows = (reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(group.files))
+    outside_quotes = F.regexp_replace(F.col(CORRUPT), '"[^"]*"', "")
+    n_fields = F.regexp_count(outside_quotes, F.lit(re.escape(delimiter))) + 1
+    bad = F.col(CORRUPT).isNotNull()
+    place = {name: i + group.dropped for i, name in enumerate(group.kept)}
+    return rows.select(
+        *[(F.col(f"f{place[name]}") if name in place else F.lit(None).cast("string")).alias(c) for name, c in codes.items()],
+        F.coalesce(bad & (n_fields > n), F.lit(False)).alias(LONG), F.coalesce(bad & (n_fields < n), F.lit(False)).alias(SHORT))
+
+
 def read_delimited(spark: SparkSession, path, delimiter: str | None = None, *, encoding: str = "UTF-8",
                    max_rows: int | None = None, multiline: bool = False) -> Loaded:
-    """Read one file or a folder of files with a header each.
+    """Read one file or a folder of files with a header each; columns of several files are matched by name.
 
     All values are read as text; one pass then finds types and everything worth a note, and
     the returned frame applies trimming, missing tokens and types lazily.
@@ -95,24 +139,15 @@ def read_delimited(spark: SparkSession, path, delimiter: str | None = None, *, e
                 .option("quote", '"').option("escape", '"').option("multiLine", multiline)
                 .option("ignoreLeadingWhiteSpace", True).option("columnPruning", False))
 
-    raw_names = list(reader(False).csv(path).first())
-    names = clean_names(raw_names)
-    codes = [f"c{i}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in codes + [CORRUPT]])
-    rows = (reader(True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-            .schema(schema).csv(path))
-    outside_quotes = F.regexp_replace(F.col(CORRUPT), '"[^"]*"', "")
-    n_fields = F.regexp_count(outside_quotes, F.lit(re.escape(delimiter))) + 1
-    bad = F.col(CORRUPT).isNotNull()
-    too_long = F.coalesce(bad & (n_fields > len(codes)), F.lit(False))
-    short = F.coalesce(bad & (n_fields < len(codes)), F.lit(False))
-
-    # an empty first header is a written-out row index
-    dropped = len(codes) > 1 and not (raw_names[0] or "").strip()
-    kept = [(c, n) for c, n in zip(codes, names) if not (dropped and c == codes[0])]
-    if dropped:
-        renamed = clean_names(raw_names[1:])
-        kept = [(c, n) for (c, _), n in zip(kept, renamed)]
+    groups = [_header_group(reader(False), files) for files in _files_by_header(lines)]
+    # columns of all files by name, in the order of the first file that has them
+    order = list(dict.fromkeys(name for g in groups for name in g.kept))
+    kept = [(f"c{i}", name) for i, name in enumerate(order)]
+    rows = None
+    for g in groups:
+        own = _group_rows(reader(True), g, dict(zip(order, (c for c, _ in kept))), delimiter)
+        rows = own if rows is None else rows.unionByName(own)
+    too_long, short = F.col(LONG), F.col(SHORT)
 
     value = {c: F.when(~F.trim(c).isin(*S.READ_MISSING_TOKENS), F.trim(c)) for c, _ in kept}
     empty = F.lit(True)
@@ -150,9 +185,11 @@ def read_delimited(spark: SparkSession, path, delimiter: str | None = None, *, e
     notes = []
     if not sure:
         notes.append(("delimiter_guessed", None, None, f"The delimiter was not certain; {delimiter!r} was used."))
-    if names != [n or "" for n in raw_names]:
+    if len(groups) > 1:
+        notes.append(("headers_differ", None, len(groups), f"The files have {len(groups)} different headers; columns were matched by name."))
+    if any(g.names != [n or "" for n in g.raw] for g in groups):
         notes.append(("headers_normalised", None, None, "Headers were trimmed, or repeated or blank ones renamed."))
-    if dropped:
+    if any(g.dropped for g in groups):
         notes.append(("index_column_dropped", None, None, "The first column had no name and was dropped as a row index."))
     for code, n, text in (("rows_too_long", row["long"], "row(s) with more fields than the header were skipped."),
                           ("rows_too_short", row["short"], "row(s) with fewer fields than the header were padded."),

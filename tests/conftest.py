@@ -19,7 +19,7 @@ def spark():
 @pytest.fixture(scope="session")
 def scaled():
     """Limits so low that small fixtures take the paths meant for large tables."""
-    return Settings(small_group_rows=7, broadcast_rows=5)
+    return Settings(small_group_rows=7)
 
 
 def rows(df, *keys):

@@ -45,7 +45,7 @@ def test_rows_with_gaps_are_scored(spark):
     pdf = pd.DataFrame(np.random.default_rng(10).normal(size=(200, 2)), columns=["a", "b"])
     pdf.loc[::10, "a"] = np.nan
     found = anomalies.detect_anomalies(spark.createDataFrame(pdf.assign(i=range(200))), ["a", "b"], id_columns=["i"], trees=10)
-    assert found.scores.count() == 200
+    assert found.records.where("anomaly_score is not null").count() == 200
 
 
 def test_large_draws_are_dealt_out_without_overlap(spark, planted):
@@ -62,3 +62,18 @@ def test_tree_isolates_every_point():
     depth = mean_path([points[:, 0]], arrays, 8)
     assert depth[2] == depth.min() == 1.0
     assert expected_path(2) == 1.0 and expected_path(1) == 0.0
+
+
+def test_repeated_ids_and_rows_are_drawn(spark):
+    """A constant id, and many copies of few rows, still give every tree a sample."""
+    df = spark.createDataFrame(pd.DataFrame({"i": 5, "a": [1.0, 2.0, 3.0, 4.0] * 500, "b": [4.0, 1.0, 3.0, 2.0] * 500}))
+    forest = anomalies.grow_forest(df, ["a", "b"], id_columns=["i"], trees=4)
+    assert len(forest.trees["path"]) == 4 and all(len(p) > 1 for p in forest.trees["path"])
+    found = anomalies.detect_anomalies(df, ["a", "b"], id_columns=["i"], trees=4)
+    assert found.available and found.records.count() == 2000
+    assert found.records.where("anomaly_percentile is null").count() == 0
+
+
+def test_rows_are_scored_once(spark, planted):
+    found = anomalies.detect_anomalies(planted, ["a", "b", "c"], id_columns=["i"], trees=5)
+    assert "ArrowEvalPython" not in found.records._jdf.queryExecution().toString()

@@ -124,3 +124,12 @@ def test_sinks_and_fingerprint(spark, tmp_path):
     assert rows(sinks.fingerprint(df)) == rows(sinks.fingerprint(df.repartition(3)))
     assert rows(sinks.fingerprint(df)) != rows(sinks.fingerprint(df.union(df)))
     assert sinks.preview(df, 1).count() == 1
+
+
+def test_files_with_reordered_headers_are_matched_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,price,qty\n1,12.5,3\n2,10.0,4\n")
+    (tmp_path / "b.csv").write_text("id,qty,price,extra\n3,5,7.5,x\n")
+    loaded = delimited.read_delimited(spark, str(tmp_path))
+    got = {r["id"]: r for r in loaded.frame.collect()}
+    assert (got[3]["price"], got[3]["qty"], got[3]["extra"]) == (7.5, 5, "x") and got[1]["price"] == 12.5 and got[1]["extra"] is None
+    assert "headers_differ" in {r["note_code"] for r in loaded.notes.collect()}

@@ -87,3 +87,8 @@ def test_nested_columns_are_profiled_but_not_counted(spark):
     assert rows(quality.low_variance(df)) == []
     assert rows(quality.missing_summary(df))[0]["missing_cells"] == 5
     assert rows(quality.duplicate_summary(df.union(df)))[0]["duplicate_rows"] == 5
+
+
+def test_missing_map_holds_rows_of_repeated_values(spark):
+    df = spark.createDataFrame([(i % 3, None if i % 3 else 1) for i in range(9_000)], "a int, b int")
+    assert quality.missing_map(df, rows=400).count() == 400

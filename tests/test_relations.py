@@ -7,8 +7,11 @@ import pandas as pd
 import pytest
 from conftest import rows
 
+from pyspark.sql import functions as F
+
 from tabscope.functions import pvalues
 from tabscope.operators import association, correlation
+from tabscope.plans.running import with_ranks
 from tabscope.settings import Settings
 
 
@@ -26,7 +29,7 @@ def table(spark):
 
 
 @pytest.mark.parametrize("method", ["pearson", "spearman"])
-@pytest.mark.parametrize("limits", [Settings(), Settings(small_group_rows=7, broadcast_rows=5)])
+@pytest.mark.parametrize("limits", [Settings(), Settings(small_group_rows=7)])
 def test_matches_pandas(table, method, limits):
     pdf, df = table
     want = pdf.corr(method=method)
@@ -44,7 +47,7 @@ def brute_tau(a, b):
     return s.sum() / 2 / math.sqrt((pairs - ties[0]) * (pairs - ties[1]))
 
 
-@pytest.mark.parametrize("limits", [Settings(), Settings(small_group_rows=7, broadcast_rows=5)])
+@pytest.mark.parametrize("limits", [Settings(), Settings(small_group_rows=7)])
 def test_kendall_matches_brute_force(spark, table, limits):
     pdf, _ = table
     df = spark.createDataFrame(pdf[["x", "y"]])
@@ -55,7 +58,7 @@ def test_kendall_matches_brute_force(spark, table, limits):
 def test_many_full_columns_take_the_matrix_path(spark):
     pdf = pd.DataFrame(np.random.default_rng(6).normal(size=(60, 6)), columns=list("abcdef"))
     pdf.loc[3, "f"] = np.nan
-    got = pair_values(correlation.correlation_pairs(spark.createDataFrame(pdf), settings=Settings(gram_columns=3), with_p=False))
+    got = pair_values(correlation.correlation_pairs(spark.createDataFrame(pdf), with_p=False))
     want = pdf.corr()
     assert len(got) == 15 and all(r["r"] == pytest.approx(want.loc[k], abs=1e-12) for k, r in got.items())
 
@@ -67,7 +70,9 @@ def test_labels_sets_and_p_values(spark):
     pairs = correlation.correlation_pairs(df)
     got = pair_values(pairs)
     assert got["x", "strong"]["strength"] == "near-perfect" and got["x", "strong"]["p_value"] < 1e-6
-    assert got["x", "weak"]["p_value"] is None and got["x", "down"]["direction"] == "negative"
+    assert got["x", "weak"]["p_value"] > 1e-4 and got["x", "down"]["direction"] == "negative"
+    filtered = pair_values(correlation.correlation_pairs(df, settings=Settings(p_value_from=0.5)))
+    assert filtered["x", "weak"]["p_value"] is None and filtered["x", "strong"]["p_value"] is not None
     sets = {r["pair_set"] for r in rows(correlation.strong_pairs(pairs))}
     assert sets == {"strong_positive", "strong_negative", "multicollinear", "near_duplicate"}
 
@@ -92,3 +97,24 @@ def test_cramers_v(spark):
                                "a string, b string, c string, k string")
     got = rows(association.associations(df))
     assert (got[0]["column_a"], got[0]["column_b"]) == ("a", "b") and got[0]["cramers_v"] > 0.9 and len(got) == 3
+
+
+def test_every_categorical_column_is_compared(spark):
+    """No limit on columns; those without a suitable number of levels are named with a reason."""
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({f"k{i:02d}": rng.integers(0, 3, 80).astype(str) for i in range(18)}).assign(one="x", many=[str(i) for i in range(80)])
+    df = spark.createDataFrame(pdf)
+    assert association.associations(df, list(pdf.columns)).count() == 18 * 17 // 2
+    left = {r["column"]: r["reason"] for r in association.association_levels(df, list(pdf.columns)).where("not available").collect()}
+    assert left == {"one": "fewer than two levels", "many": "more than 40 levels"}
+
+
+def test_rank_plans_grow_by_one_scan_per_column(spark):
+    pdf = pd.DataFrame(np.random.default_rng(13).normal(size=(50, 6)), columns=list("abcdef"))
+    df = spark.createDataFrame(pdf)
+    scans = []
+    for n in (2, 4, 6):
+        table = df.select(*[F.col(c).alias(f"v{i}") for i, c in enumerate("abcdef"[:n])])
+        ranked = with_ranks(table, table, {f"v{i}": f"r{i}" for i in range(n)}, Settings(small_group_rows=7))
+        scans.append(ranked._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+    assert scans == [3, 5, 7]
