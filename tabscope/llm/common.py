@@ -33,8 +33,12 @@ def in_order_of(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[col(c) for c in like.columns])
 
 
+#: Bytes of a batch that a function is given at a time, so that a task's memory does not follow the batch.
+PART_BYTES = 4 << 20
+
+
 def add_columns(df: DataFrame, added: str, function: Callable[..., list], *inputs: Column) -> DataFrame:
-    """Append columns that ``function`` makes of the Arrow arrays of ``inputs``, batch by batch."""
+    """Append columns that ``function`` makes of the Arrow arrays of ``inputs``, part by part."""
     fields = T.StructType.fromDDL(added)
     kept = others(df, fields.names)
     base = df.select(*kept, *[c.alias(f"__input_{i}") for i, c in enumerate(inputs)])
@@ -42,8 +46,11 @@ def add_columns(df: DataFrame, added: str, function: Callable[..., list], *input
     first, last, names = len(kept), len(kept) + len(inputs), schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = function(*[batch.column(i) for i in range(first, last)])
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(first)], *[pa.array(x) if not isinstance(x, pa.Array) else x for x in made]], names=names)
+        for whole in batches:
+            rows = max(1, whole.num_rows * PART_BYTES // max(1, whole.nbytes))
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in function(*[batch.column(i) for i in range(first, last)])]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(first)], *made], names=names)
 
     return base.mapInArrow(run, schema)

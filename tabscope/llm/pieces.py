@@ -43,7 +43,7 @@ MASK = (1 << 64) - 1
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 #: Words longer than this are segmented one by one; segmentations kept, beyond which a variant's are forgotten;
 #: words segmented, and bytes of text encoded, at a time.
-LONG_WORD, KEPT_WORDS, ROUND, SLICE = 48, 600_000, 1 << 13, 1 << 20
+LONG_WORD, KEPT_WORDS, ROUND, SLICE = 48, 400_000, 1 << 13, 1 << 20
 
 
 @dataclass
