@@ -48,9 +48,9 @@ def shuffled(df: DataFrame, key: str = "doc_id", shards: int = 16, seed: int = 0
     rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("own"), shard_of(col(key), shards, seed).alias("shard"),
                      shard_of(col(key), shards + 1, seed).alias("grown_shard"),
                      F.xxhash64(F.lit(seed), *hashable).alias("row_hash"), _row_bytes(df).alias("row_bytes"))
-    sums = stored(rows.groupBy("shard", "row_hash").agg(F.sum("row_bytes").alias("bytes")), "row-hashes")
+    sums = stored(rows.groupBy("shard", "row_hash").agg(F.sum("row_bytes").alias("bytes"), F.count("*").alias("n")), "row-hashes")
     # stored, so that Spark knows its size: one row per bucket's worth of equal rows at most
-    hot = stored(sums.where(F.col("bytes") > bucket_bytes).select(F.col("row_hash").alias("hot_hash")).distinct(), "copied-rows")
+    hot = stored(sums.where((F.col("bytes") > bucket_bytes) & (F.col("n") > 1)).select(F.col("row_hash").alias("hot_hash")).distinct(), "copied-rows")
     bytes_of = {r["shard"]: r["bytes"] for r in sums.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}
     buckets_of = [max(1, -(-bytes_of.get(s, 0) // bucket_bytes)) for s in range(shards)]
     first_of = [sum(buckets_of[:s]) for s in range(shards)]
