@@ -50,6 +50,8 @@ NEVER = frozenset((
     "optgroup option script select style svg template textarea title video"
 ).split())
 ARTICLE = frozenset(("article", "main"))
+#: What a page is called by, the first that it has; a page without one is called by all its text.
+HEADINGS = ("h1", "h2", "h3", "title")
 #: Start tags that end an open element of the same group.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Words of a class, id or role that call an element something else than content.
@@ -91,17 +93,17 @@ def parsed(html: str) -> tuple[str, list[tuple[str, str]], list[tuple[str, str]]
     stack = [Element("", "", False, False, True)]
     blocks: list[tuple[Element, str]] = []
     buffer: list[str] = []
-    heading, at = "", 0
+    headings: dict[str, str] = {}
+    at = 0
 
     def flush() -> None:
-        nonlocal heading
         text = " ".join(unescape("".join(buffer)).split()) if buffer else ""
         buffer.clear()
         if text and not stack[-1].dropped:
             around = next(e for e in reversed(stack) if e.block)
             blocks.append((around, text))
-            if around.tag == "h1" and not heading:
-                heading = text
+            if around.tag in HEADINGS:
+                headings.setdefault(around.tag, text)
 
     def close(depth: int) -> None:
         if any(e.block for e in stack[depth:]):
@@ -128,6 +130,8 @@ def parsed(html: str) -> tuple[str, list[tuple[str, str]], list[tuple[str, str]]
         block = tag in BLOCKS
         if tag in RAW:
             stop = re.compile(f"</{tag}", re.IGNORECASE).search(html, at)
+            if tag == "title":
+                headings.setdefault(tag, " ".join(unescape(html[at:stop.start() if stop else len(html)]).split()))
             at = stop.start() if stop else len(html)
             stop = html.find(">", at)
             at = stop + 1 if stop >= 0 else len(html)
@@ -158,7 +162,8 @@ def parsed(html: str) -> tuple[str, list[tuple[str, str]], list[tuple[str, str]]
     if any(e.article for e, _ in blocks):
         blocks = [(e, t) for e, t in blocks if e.article]
     styles = {e.path: " ".join(e.children) for e, _ in blocks}
-    return heading or (blocks[0][1] if blocks else ""), [(e.path, t) for e, t in blocks], list(styles.items())
+    heading = next((headings[h] for h in HEADINGS if headings.get(h)), "") or " ".join(t for _, t in blocks)
+    return heading, [(e.path, t) for e, t in blocks], list(styles.items())
 
 
 def _hash(text: str) -> int:
