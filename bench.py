@@ -12,6 +12,7 @@ import sys
 import time
 
 from tabscope import catalog
+from tabscope.plans.stored import cleanup
 from tabscope.session import local_session
 
 HEADLINE = (
@@ -32,6 +33,7 @@ def main() -> None:
         start = time.perf_counter()
         catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        cleanup(spark)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     rows = catalog.table(spark, folder, "lineitem").count()
     print(json.dumps({

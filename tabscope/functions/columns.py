@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -140,14 +141,30 @@ def date_hinted(text: Column) -> Column:
     return text.rlike(S.DATE_HINT)
 
 
+def layout_shape(layout: str) -> str:
+    """A pattern that every text of a date layout fits."""
+    def one(run: re.Match) -> str:
+        letter, n = run.group()[0], len(run.group())
+        if not letter.isalpha():
+            return re.escape(run.group())
+        if letter == "a":
+            return "[AaPp][Mm]"
+        if letter in "ME" and n >= 3:
+            return r"\p{L}+\.?"
+        return "[0-9]{2}" if n == 2 and letter == "y" else "[+-]?[0-9]{4,}" if letter == "y" else "[0-9]{1,9}"
+
+    return "^" + re.sub(r"([A-Za-z])\1*|[^A-Za-z]+", one, layout) + "$"
+
+
 def parse_date(text: Column) -> Column:
     """Text as a timestamp under the first layout that fits, else NULL."""
     t = F.trim(text)
     iso = F.regexp_replace(t, r"(?<=[0-9])T(?=[0-9])", " ")
     iso = F.regexp_replace(iso, r"(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?$", "")
-    tries = [F.try_to_timestamp(t, F.lit(p)) for p in S.DATE_FORMATS]
-    tries.append(F.try_to_timestamp(iso, F.lit("yyyy-M-d H:m:s")))
-    return F.when(date_hinted(t), F.coalesce(*tries))
+    # a layout is tried only on text of its shape, since a failed attempt costs an exception
+    tries = [F.when(t.rlike(layout_shape(p)), F.try_to_timestamp(t, F.lit(p))) for p in S.DATE_FORMATS]
+    tries.append(F.when(iso.rlike(layout_shape("yyyy-M-d H:m:s")), F.try_to_timestamp(iso, F.lit("yyyy-M-d H:m:s"))))
+    return F.when((F.length(t) <= 64) & date_hinted(t), F.coalesce(*tries))
 
 
 def name_tokens(name: Column) -> Column:

@@ -97,7 +97,8 @@ def duplicate_findings(summary: DataFrame, *, settings: Settings = DEFAULT) -> D
 
 def variance_findings(low: DataFrame, n_columns: int, *, settings: Settings = DEFAULT) -> DataFrame:
     s, c = settings, F.col
-    totals = low.agg(F.count_if("is_constant").alias("n_constant"), F.count_if("is_near_constant").alias("n_near"))
+    # an empty column is constant and near-constant: it counts once
+    totals = low.agg(F.count_if("is_constant").alias("n_constant"), F.count_if(c("is_near_constant") & ~c("is_constant")).alias("n_near"))
     none = totals.where("n_constant = 0 and n_near = 0").select(*finding(
         "low_variance", F.lit("No constant columns"), F.lit("Every column varies."), "info", F.struct("n_constant")))
     def listed(flag, title, severity, advice, seq):

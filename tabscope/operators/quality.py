@@ -11,6 +11,7 @@ from tabscope.functions.columns import (
     col, fields, groupable, in_passes, missing_band, percent_text, present, share, stored_kind,
 )
 from tabscope.plans.counts import countable, value_counts
+from tabscope.plans.stored import stored
 from tabscope.settings import DEFAULT, Settings
 
 
@@ -56,20 +57,17 @@ def duplicate_groups(df: DataFrame, subset: Sequence[str] | None = None, *,
 
     Wide or text keys are not shuffled whole: rows are first counted by a 64-bit hash, and
     only rows whose hash repeats are grouped by the real keys, so the answer stays exact.
-    Hashes that hold many rows are looked up by broadcast, which leaves no hot join key.
     """
     wanted = fields(df, subset or groupable(df))
     cols = [col(f.name) for f in wanted]
     rows = df.select(*cols)
     width = sum(64 if stored_kind(f.dataType) in ("text", "other") else 8 for f in wanted)
     if width > 48:
-        hot = max(2, df.count() // 10_000)  # at most 10,000 hashes reach this many rows
         hashed = rows.withColumn("__hash", F.xxhash64(*cols))
-        repeated = hashed.groupBy("__hash").agg(F.count("*").alias("__n")).where("__n > 1")
-        often = F.broadcast(repeated.where(F.col("__n") >= hot).select("__hash"))
-        seldom = repeated.where(F.col("__n") < hot).select("__hash")
-        rows = (hashed.join(often, "__hash", "left_semi")
-                .unionByName(hashed.join(seldom, "__hash", "left_semi")).drop("__hash"))
+        # stored, so that Spark knows the size: few hashes are broadcast, many joined by a shuffle whose hot keys
+        # lie on the left side only, where adaptive execution splits them
+        repeated = stored(hashed.groupBy("__hash").agg(F.count("*").alias("__n")).where("__n > 1").select("__hash"), "repeated")
+        rows = hashed.join(repeated, "__hash", "left_semi").drop("__hash")
     return rows.groupBy(*cols).agg(F.count("*").alias("copies")).where("copies > 1")
 
 

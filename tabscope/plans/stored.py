@@ -2,34 +2,46 @@
 
 A written table survives lost executors, cuts lineage, and fixes rows whose content
 depends on a physical layout.  The folder is the one the cluster names in
-``spark.checkpoint.dir``; only a local session without one gets a folder of its own.
+``spark.checkpoint.dir``; a session on one machine that has none (a test) gets one in its
+warehouse folder.  What this process has written is deleted by ``cleanup``, once no result
+is read any more.
 """
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_local_folders: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="tabscope-")
-    return _local_folders[app]
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return f"{warehouse}/checkpoints-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/tabscope/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tabscope/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete the intermediates this process has written, and say how many; results read from them end with them."""
+    jvm = spark.sparkContext._jvm
+    n = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

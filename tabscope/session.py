@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g", checkpoints: str | None = None) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName("tabscope")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -17,6 +19,8 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # one machine only, so its own folder is the shared one
+        .config("spark.checkpoint.dir", checkpoints or tempfile.mkdtemp(prefix="tabscope-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

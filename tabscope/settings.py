@@ -203,7 +203,11 @@ TARGET_PREFIXES = ("is_", "has_", "will_", "did_", "was_")
 TARGET_SUFFIXES = ("_flag", "_target", "_label", "_class", "_outcome")
 
 # Characters dropped from number text: separators, blanks, currency signs.
-NUMBER_DECORATION = ", \t\n\r\f\u000b\u00a0\u202f$€£¥₹"
+# Separators, currency signs and every white space.
+NUMBER_DECORATION = (
+    ",$€£¥₹ \t\n\r\f\u000b\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 DATE_HINT = (
     r"(?i)[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}"

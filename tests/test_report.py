@@ -90,3 +90,13 @@ def test_all_null_column(spark):
     found = investigate(df, Options())
     assert rows(found["missing_summary"])[0]["missing_rate"] == 1.0
     assert not rows(found["anomaly_summary"])[0]["available"]
+
+
+def test_cleanup_deletes_what_was_written(spark, tmp_path):
+    from tabscope.plans import stored
+    df = stored.stored(spark.range(3), "mine")
+    path = stored._written[-1]
+    assert df.count() == 3
+    kept, stored._written[:] = stored._written[:-1], [path]
+    assert stored.cleanup(spark) == 1 and not stored._written
+    stored._written[:] = kept
