@@ -188,6 +188,34 @@ def anomaly_summary(spark, folder):
     return anomalies.anomaly_summary(_detect(spark, folder, with_percentile=False), spark)
 
 
+@query("anomaly_checks", f"""SELECT true AS available, 0.05::DOUBLE AS contamination, count(*) AS n_rows_scored, count(*) AS n_records, true AS labels_fit,
+  0::BIGINT AS n_without_percentile, count(*) AS histogram_total, '{','.join(FOREST_COLUMNS)}' AS features FROM lineitem""")
+def anomaly_checks(spark, folder):
+    """What SQL can know of a forest: rows scored and kept, labels within one of the contamination, totals, features."""
+    found = _detect(spark, folder)
+    summary = anomalies.anomaly_summary(found, spark)
+    fits = F.abs(F.col("n_anomalies") - F.col("contamination") * F.col("n_rows_scored")) <= 1 + 1e-9
+    kept = found.records.agg(F.count("*").alias("n_records"), F.count_if(F.col("anomaly_percentile").isNull()).alias("n_without_percentile"))
+    total = anomalies.score_distribution(found.records).agg(F.sum("n").alias("histogram_total"))
+    return rounded(summary.crossJoin(F.broadcast(kept)).crossJoin(F.broadcast(total)).select(  # one row each
+        "available", "contamination", "n_rows_scored", "n_records", fits.alias("labels_fit"), "n_without_percentile", "histogram_total",
+        F.array_join("features_used", ",").alias("features")))
+
+
+@query("anomaly_record_rows", f"SELECT {', '.join(LINE_KEY)} FROM lineitem")
+def anomaly_record_rows(spark, folder):
+    return _detect(spark, folder, with_percentile=False).records.select(*LINE_KEY)
+
+
+@query("anomaly_gates", "SELECT column0 AS name, false AS available, 0::BIGINT AS n_rows_scored FROM (VALUES ('one feature'), ('few rows')) v(column0)")
+def anomaly_gates(spark, folder):
+    """Tables that are not suitable give a reason instead of scores."""
+    df = table(spark, folder, "lineitem")
+    results = {"one feature": anomalies.detect_anomalies(df, ["l_tax"]), "few rows": anomalies.detect_anomalies(table(spark, folder, "region"))}
+    rows = [anomalies.anomaly_summary(r, spark).select(F.lit(n).alias("name"), "available", "n_rows_scored") for n, r in results.items()]
+    return rows[0].unionByName(rows[1])
+
+
 @query("anomaly_records")
 def anomaly_records(spark, folder):
     return _detect(spark, folder).records

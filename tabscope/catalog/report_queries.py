@@ -243,6 +243,22 @@ def investigation_findings(spark, folder):
     return found["findings"]
 
 
+@query("investigation_quality_findings", f"{WITH}, {INPUTS}, f AS ({ALL_QUALITY}) SELECT category, title, severity FROM f")
+def investigation_quality_findings(spark, folder):
+    """The findings on quality of a whole run without the forest."""
+    found = investigate.investigate(messy(spark, folder), Options(enable_anomalies=False, enable_leakage=False))
+    return _short(found["findings"].where(F.col("category").isin("missing_data", "duplicates", "low_variance", "dtypes")))
+
+
+@query("findings_without_anomalies", "SELECT 'anomalies' AS category, 'No anomaly detection' AS title, 'info' AS severity, count(*) > 0 AS any_rows FROM region")
+def findings_without_anomalies(spark, folder):
+    """Too few rows for a forest are a finding of their own."""
+    from tabscope.operators import anomalies
+    df = table(spark, folder, "region")
+    found = findings.anomaly_findings(anomalies.anomaly_summary(anomalies.detect_anomalies(df), spark), None)
+    return _short(found).withColumn("any_rows", F.lit(df.count() > 0))
+
+
 @query("investigation_health", f"{WITH}, {INPUTS}, p AS ({COMPONENTS}) SELECT {rnd('sum(weighted_score)', 1)} AS score FROM p")
 def investigation_health(spark, folder):
     found = investigate.investigate(messy(spark, folder), Options(enable_anomalies=False, enable_leakage=False))

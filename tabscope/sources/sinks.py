@@ -27,12 +27,13 @@ def write_tables(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row that identifies the content whatever the row order: rows, hash sum, digest."""
-    names = groupable(df)
-    h = F.xxhash64(*[col(n) for n in names]).cast("decimal(20,0)")
+    """One row that identifies the content whatever the row order: rows, sum of row digests, digest."""
+    row = F.concat_ws("\u001f", *[F.coalesce(col(n).cast("string"), F.lit("\u0000")) for n in groupable(df)])
+    # the first 60 bits of each row's md5
+    h = F.conv(F.substr(F.md5(row.cast("binary")), F.lit(1), F.lit(15)), 16, 10).cast("decimal(38,0)")
     schema = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
-    row = df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("hash_sum"))
-    return row.select("n_rows", "hash_sum", F.substr(F.sha2(F.concat_ws(
+    found = df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("hash_sum"))
+    return found.select("n_rows", "hash_sum", F.substr(F.sha2(F.concat_ws(
         "|", F.lit(schema), F.col("n_rows").cast("string"), F.col("hash_sum")), 256), F.lit(1), F.lit(16)).alias("fingerprint"))
 
 
