@@ -63,11 +63,11 @@ def investigate(df: DataFrame, options: Options | None = None) -> Investigation:
     t["missing_summary"] = fixed(quality.missing_summary(df))
     low = quality.low_variance(df, settings=s, counts=counts)
     t["low_variance"] = fixed(low)
-    t["dtype_issues"] = fixed(profile.dtype_issues(df, settings=s, probe=probe))
+    t["dtype_issues"] = fixed(profile.dtype_issues(df, settings=s, probe=probe, counts=counts))
 
     # numbers
     facts = number_facts(df, number_columns, settings=s)
-    t["numeric_stats"] = fixed(numeric.numeric_stats(df, number_columns, settings=s, facts=facts)
+    t["numeric_stats"] = fixed(numeric.numeric_stats(df, number_columns, settings=s, facts=facts, counts=counts)
                               if number_columns else spark.createDataFrame([], numeric.NUMERIC_SCHEMA))
     whole = profile.integer_valued(df, number_columns) if number_columns else None
     t["numeric_flags"] = fixed(numeric.numeric_flags(t["numeric_stats"], whole, settings=s))

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabscope import settings as S
 from tabscope.functions.columns import fields, finite, in_passes, name_tokens, of_kind, share, words
 from tabscope.plans.facts import NumberFacts, number_facts
 from tabscope.settings import DEFAULT, Settings
 
-def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, n_unique): distinct finite values, compared as doubles."""
+def distinct_values(df: DataFrame, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
+    """(column, n_unique): distinct finite values, compared as doubles; from the value counts if there are any."""
+    if counts is not None and not any(isinstance(f.dataType, T.DecimalType) for f in fields(df, columns)):
+        value = F.coalesce(F.col("number").cast("double"), F.col("real"))
+        usable = counts.where(F.col("column").isin(list(columns)) & value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))
+        return usable.select("column", value.alias("value")).distinct().groupBy("column").agg(F.count("*").alias("n_unique"))
     wanted = fields(df, columns)
     packed = [(finite(f) + F.lit(0.0)).alias(str(i)) for i, f in enumerate(wanted)]
     names = F.array(*[F.lit(f.name) for f in wanted])
@@ -23,7 +27,7 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None, *, settings: Settings = DEFAULT,
-                  facts: dict[str, NumberFacts] | None = None) -> DataFrame:
+                  facts: dict[str, NumberFacts] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Count, moments, quartiles, shape, distinct values and zero share per numeric column.
 
     Infinities count as missing here.  Skewness and kurtosis are the bias-corrected ones.
@@ -35,7 +39,7 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None, *, settin
     wanted = fields(df, names)
     values = df.select(F.lit(1).alias("row"), *[finite(f).alias(f"v{k}") for k, f in enumerate(wanted)])
     rows = in_passes(values, list(enumerate(names)), 11, lambda i, item: _shape(i, *item, facts), settings.fields_per_pass)
-    return (rows.join(distinct_values(df, names), "column", "left")
+    return (rows.join(distinct_values(df, names, counts), "column", "left")
             .withColumn("n_unique", F.coalesce("n_unique", F.lit(0)).cast("long"))
             .select(*[c.split()[0] for c in NUMERIC_SCHEMA.split(", ")]))
 

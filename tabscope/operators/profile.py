@@ -107,7 +107,7 @@ def dtype_issues(df: DataFrame, columns: Sequence[str] | None = None, *, setting
         return issues.select("column", "issue", F.lit("string").alias("stored_dtype"),
                              F.lit("").alias("suggested_dtype"), F.lit("").alias("detail"),
                              "affected_rate", F.array(F.lit("")).alias("example_values"))
-    examples = smallest_values(df, [r["column"] for r in flagged], 5)
+    examples = smallest_values(df, [r["column"] for r in flagged], 5, counts)
     pct = F.format_string("%.0f%%", F.col("affected_rate") * 100)
     kind = F.col("issue")
     return issues.join(examples, "column").select(
@@ -127,21 +127,15 @@ def dtype_issues(df: DataFrame, columns: Sequence[str] | None = None, *, setting
         .otherwise(F.slice("smallest", 1, 3)).alias("example_values"))
 
 
-def smallest_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
-    """(column, smallest): the k smallest distinct texts per column, by k rounds of ``min``."""
-    found: dict[str, list[str]] = {c: [] for c in columns}
-    for _ in range(k):
-        exprs = []
-        for i, c in enumerate(columns):
-            text = col(c)
-            if found[c]:
-                text = F.when(text > found[c][-1], text)
-            exprs.append(F.min(text).alias(f"m{i}"))
-        row = df.agg(*exprs).first()
-        for i, c in enumerate(columns):
-            if row[f"m{i}"] is not None:
-                found[c].append(row[f"m{i}"])
-    return df.sparkSession.createDataFrame(list(found.items()), "column string, smallest array<string>")
+def smallest_values(df: DataFrame, columns: Sequence[str], k: int, counts: DataFrame | None = None) -> DataFrame:
+    """(column, smallest): the k smallest distinct texts per column, each by a bounded sort of its distinct values."""
+    parts = None
+    for c in columns:
+        values = df.select(col(c).alias("value")).groupBy("value") if counts is None else counts.where(
+            F.col("column") == c).select(F.col("text").alias("value")).groupBy("value")
+        part = values.agg(F.lit(c).alias("column")).where("value is not null").orderBy("value").limit(k)
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("smallest"))
 
 
 def number_text_columns(df: DataFrame, columns: Sequence[str] | None = None, *,

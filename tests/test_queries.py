@@ -1,4 +1,4 @@
-"""A part of the named queries against DuckDB; tools/check_queries.py runs all of them."""
+"""All named queries of the library against DuckDB, on the smallest tables; tools/check_queries.py takes any folder."""
 
 from __future__ import annotations
 
@@ -11,19 +11,22 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
 import check_queries  # noqa: E402
+from tabscope import catalog  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["missing_columns", "duplicate_texts", "low_variance", "column_profile", "numeric_stats", "categorical_stats", "outlier_stats",
-         "modified_zscore", "correlation_pearson", "correlation_kendall", "associations", "separation_accuracy", "cleaned_table",
-         "text_to_numbers", "dtype_issues", "delimited_table", "percentile_rank"]
+catalog.load()
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="benchmark tables are not here")
 
 
-@pytest.mark.parametrize("name", NAMES)
-def test_query_equals_sql(spark, name):
-    con = check_queries.connect(FOLDER)
-    ok, message, _ = check_queries.compare(spark, con, FOLDER, name, entry.queries()[name], entry.oracle_sql()[name])
+@pytest.fixture(scope="module")
+def con():
+    return check_queries.connect(FOLDER)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_query_equals_sql(spark, con, name):
+    ok, message, _ = check_queries.compare(spark, con, FOLDER, name, catalog.QUERIES[name], catalog.ORACLES.get(name))
     assert ok, message
 
 
