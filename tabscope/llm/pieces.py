@@ -281,31 +281,52 @@ def _read(path: str) -> bytes:
         return file.read()
 
 
+def _encoded(codec: Codec, texts: pa.Array, docs: pa.Array) -> list[bytes]:
+    """Ids of texts, some at a time."""
+    made, part, size = [], ([], []), 0
+    for text, name in zip(as_bytes(texts), docs.to_pylist(), strict=True):
+        part[0].append(text.decode("utf-8", "replace"))
+        part[1].append(name or "")
+        size += len(text)
+        if size >= SLICE:
+            made += codec.encode(*part)
+            part, size = ([], []), 0
+    return made + codec.encode(*part)
+
+
+def _lists(made: list[bytes], texts: pa.Array) -> pa.Array:
+    """Ids as an array of lists, null for null texts."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in made])])
+    values = pa.array(np.frombuffer(b"".join(made), np.int32))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(~np.array(texts.is_valid())))
+
+
 def encode(df: DataFrame, doc: str = "doc_id", text: str = "text", ids: str = "ids", model: str = MODEL, dropout: float = 0.1,
            seed: int = 0, variants: int = 4) -> DataFrame:
     """``df`` with the ids of its texts."""
     shared = df.sparkSession.sparkContext.broadcast(_read(model))
 
     def run(texts, docs):
-        codec = _codec(shared.value, dropout, seed, variants)
-        made, part, size = [], ([], []), 0
-        for text, name in zip(as_bytes(texts), docs.to_pylist(), strict=True):
-            part[0].append(text.decode("utf-8", "replace"))
-            part[1].append(name or "")
-            size += len(text)
-            if size >= SLICE:
-                made += codec.encode(*part)
-                part, size = ([], []), 0
-        made += codec.encode(*part)
-        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in made])])
-        if offsets[-1] >= 1 << 31:
-            raise ValueError("a batch of more than 2^31 ids; set spark.sql.execution.arrow.maxRecordsPerBatch lower")
-        values = pa.array(np.frombuffer(b"".join(made), np.int32))
-        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(~np.array(texts.is_valid())))]
+        return [_lists(_encoded(_codec(shared.value, dropout, seed, variants), texts, docs), texts)]
 
     return add_columns(df, f"`{ids}` array<int>", run, col(text), col(doc).cast("string"))
 
 
+def round_trip(df: DataFrame, doc: str = "doc_id", text: str = "text", ids: str = "ids", decoded: str = "decoded", model: str = MODEL,
+               dropout: float = 0.1, seed: int = 0, variants: int = 4) -> DataFrame:
+    """``df`` with the ids of its texts and the texts these ids decode to, in one pass."""
+    shared = df.sparkSession.sparkContext.broadcast(_read(model))
+
+    def run(texts, docs):
+        codec = _codec(shared.value, dropout, seed, variants)
+        made = _encoded(codec, texts, docs)
+        back = [codec.decode(np.frombuffer(x, np.int32).tolist()) if known else None
+                for x, known in zip(made, texts.is_valid().to_pylist(), strict=True)]
+        return [_lists(made, texts), pa.array(back, pa.string())]
+
+    return add_columns(df, f"`{ids}` array<int>, `{decoded}` string", run, col(text), col(doc).cast("string"))
+
+
 def decode(df: DataFrame, ids: str = "ids", text: str = "text", model: str = MODEL) -> DataFrame:
     """``df`` with the texts of its ids."""
     shared = df.sparkSession.sparkContext.broadcast(_read(model))

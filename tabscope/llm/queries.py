@@ -113,7 +113,7 @@ def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 def op6_sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and digests of the ids and of the text they decode to, and whether it is the document's."""
     documents = table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"), "text")
-    decoded = pieces.decode(pieces.encode(documents).drop("text"))
+    decoded = pieces.round_trip(documents, decoded="text")
     return decoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
         F.length("text").cast("bigint").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"),

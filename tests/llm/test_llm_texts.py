@@ -301,6 +301,9 @@ def test_pieces_round_trip(documents, nothing):
     got = pieces.encode(clashing, dropout=0.3, seed=2)
     back = pieces.decode(got.withColumnRenamed("text", "original"))
     assert back.where("not (text <=> original)").count() == 0 and back.count() == documents.count()
+    both = pieces.round_trip(clashing, dropout=0.3, seed=2)
+    assert both.where("not (text <=> decoded)").count() == 0
+    assert both.select("doc_id", "ids").exceptAll(got.select("doc_id", "ids")).isEmpty()
     assert got.where("text is null").where("ids is not null").count() == 0 and got.where("text = '' and size(ids) = 0").count() == 1
     assert pieces.decode(pieces.encode(nothing)).count() == 0
 
