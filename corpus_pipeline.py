@@ -31,8 +31,8 @@ def without_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of all documents by merge-dropout, and the texts these decode to."""
-    encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text")).drop("text")
-    return pieces.decode(encoded).withColumn("n_pieces", F.size("ids").cast("bigint"))
+    encoded = pieces.round_trip(docs.select("doc_id", "lang", "source", "text"), decoded="text")
+    return encoded.withColumn("n_pieces", F.size("ids").cast("bigint"))
 
 
 STAGES = [
