@@ -48,6 +48,11 @@ def union_all(parts) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def sql_list(values) -> str:
+    """Texts of ``settings`` as the inside of an SQL list."""
+    return ", ".join(f"'{v}'" for v in values)
+
+
 def load() -> None:
     """Import the modules that register queries."""
     from tabscope.catalog import (  # noqa: F401

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from tabscope.catalog import query, rnd, rounded, table
+from tabscope.catalog import query, rnd, rounded, sql_list, table
 from tabscope.catalog.derived import derived, sql
 from tabscope.operators import cleaning
+from tabscope.settings import CLEAN_MISSING_MARKERS
 
 MARKED = [
     "event_id",
     "case when value > 150 then ' N/A ' when value > 120 then 'null' when value > 110 then '' else event_type end as event_type",
     "case when user_id < 20 then 'None' when user_id < 40 then 'nan' else concat('user ', cast(user_id as varchar(9))) end as who",
 ]
-MARKER = "lower(trim({0})) IN ('', 'na', 'n/a', 'nan', 'null', 'none')"
+MARKER = "lower(trim({0})) IN (" + sql_list(CLEAN_MISSING_MARKERS) + ")"
 AMOUNTS = [
     "event_id", "event_type",
     "case when value > 120 then 'unknown' when user_id < 30 then concat('$', cast(value as varchar(20))) "

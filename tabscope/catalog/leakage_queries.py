@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tabscope.catalog import query, rnd, rounded, union_all
+from tabscope import settings as S
+from tabscope.catalog import query, rnd, rounded, sql_list, union_all
 from tabscope.catalog.derived import LABELLED_ORDERS, derived, names, sql
 from tabscope.operators import leakage
 
@@ -38,10 +39,9 @@ TOKENS = "list_filter(string_split(lower(\"column\"), '_'), lambda t: t <> '')"
 
 @query("target_candidates", f"""{WITH}, f AS ({FACTS}),
 s AS (SELECT position, "column", n_unique, numeric, role,
-  CASE WHEN "column" IN ('target','label','outcome','class','y','result','response','label_encoded','target_encoded') THEN 3
+  CASE WHEN "column" IN ({sql_list(S.TARGET_EXACT)}) THEN 3
        WHEN regexp_matches("column", '^(is_|has_|will_|did_|was_)|(_flag|_target|_label|_class|_outcome)$') THEN 2
-       WHEN list_has_any({TOKENS}, ['churn','default','fraud','converted','conversion','survived','survival','purchased','diagnosis',
-            'attrition','approved','cancelled','canceled','churned','is_active']) THEN 2 ELSE 0 END AS base FROM f),
+       WHEN list_has_any({TOKENS}, [{sql_list(S.TARGET_TOKENS)}]) THEN 2 ELSE 0 END AS base FROM f),
 g AS (SELECT position, "column", (CASE WHEN n_unique > 50 AND NOT numeric THEN base - 1 ELSE base END)::BIGINT AS score FROM s
       WHERE n_unique >= 2 AND role <> 'datetime' AND base > 0)
 SELECT position, "column", score, row_number() OVER (ORDER BY score DESC, position DESC) = 1 AS chosen FROM g WHERE score > 0""")
@@ -49,9 +49,7 @@ def target_candidates(spark, folder):
     return rounded(leakage.target_candidates(leakage.column_facts(labelled(spark, folder))))
 
 
-IDS = ("['id','uuid','guid','index','row','key','identifier','record','pid','serial','ref','reference','number','no','num','code',"
-       "'customer','patient','student','user','account','email','phone','mobile','ssn','passport','national','address','name','hash',"
-       "'token','roll','reg']")
+IDS = f"[{sql_list(S.ID_TOKENS)}]"
 
 
 IDENTIFIER = f"""WITH s AS (SELECT *, n_unique / n_present AS ratio, list_has_any({TOKENS}, {IDS}) AS named FROM f),
@@ -69,11 +67,10 @@ def identifier_signals(spark, folder):
 
 OUTCOME = f"""WITH s AS (SELECT "column", role = 'datetime' OR n_unique <= 2 AS status, {TOKENS} AS t FROM f WHERE "column" <> 'is_big'),
 m AS (SELECT "column", status,
-  list_filter(t, lambda x: x IN ('after','post','final','end','exit','close','closed','resolved','followup','closure','next')
-    OR (status AND x IN ('completion','completed','graduated','survival','survived','settled'))
-    OR x IN ('target','label','outcome','result','final','after','post','resolved','closed','approved','decision','converted','churned',
-             'repaid','default','survived','diagnosis','response','winner','outcome_flag')) AS strong,
-  list_filter(t, lambda x: x IN ('score','grade','status','class','rank','total','amount','value')) AS weak FROM s)
+  list_filter(t, lambda x: x IN ({sql_list(S.POST_OUTCOME_TOKENS)})
+    OR (status AND x IN ({sql_list(S.CONDITIONAL_OUTCOME_TOKENS)}))
+    OR x IN ({sql_list(S.OUTCOME_TOKENS)})) AS strong,
+  list_filter(t, lambda x: x IN ({sql_list(S.WEAK_OUTCOME_TOKENS)})) AS weak FROM s)
 SELECT "column", CASE WHEN len(strong) = 0 THEN 'info' ELSE 'low' END AS severity, status AS status_like FROM m WHERE len(strong) + len(weak) > 0"""
 
 

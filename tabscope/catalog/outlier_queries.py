@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabscope.catalog import query, rnd, rounded, table, union_all
 from tabscope.catalog.derived import CODED_EVENTS, derived, sql
 from tabscope.operators import anomalies, outliers
+from tabscope.settings import SENTINELS
 
 EVENTS = f"e AS ({sql('events', CODED_EVENTS)})"
 COLUMNS = ["reading", "spend", "value"]
@@ -113,7 +114,7 @@ def method_disagreement(spark, folder):
     return rounded(outliers.method_disagreement(outliers.outlier_stats(coded(spark, folder), COLUMNS)))
 
 
-_CODES = "(VALUES (-1.0), (-9.0), (-99.0), (-999.0), (-9999.0), (999.0), (9999.0), (99999.0), (999999.0)) AS c(code)"
+_CODES = f"(VALUES {', '.join(f'({c})' for c in SENTINELS)}) AS c(code)"
 
 
 @query("sentinel_suspects", f"WITH {EVENTS}, s AS (" + union_all(f"""

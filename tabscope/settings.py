@@ -7,7 +7,10 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Settings:
-    """Every tunable number of the library. Rates are fractions of one."""
+    """Every tunable number of the library. Rates are fractions of one.
+
+    The thresholds are fixed values: they decide results, so they are given as they must be.
+    """
 
     # missing values: lower edges of the severity bands
     missing_low: float = 0.05
