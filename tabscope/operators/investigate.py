@@ -12,7 +12,7 @@ from tabscope.operators import (
 )
 from tabscope.plans.counts import distinct_counts, value_counts
 from tabscope.plans.facts import number_facts
-from tabscope.plans.stored import fixed, stored
+from tabscope.plans.stored import fixed, stored, together
 from tabscope.settings import Options
 
 
@@ -42,9 +42,9 @@ def investigate(df: DataFrame, options: Options | None = None) -> Investigation:
     spark = df.sparkSession
 
     # structure; what follows reads the counts many times
-    counts = stored(value_counts(df), "value_counts")
+    first = together(counts=lambda: stored(value_counts(df), "value_counts"), probe=lambda: fixed(profile.text_probe(df)))
+    counts, probe = first["counts"], first["probe"]
     distinct = fixed(distinct_counts(counts))
-    probe = fixed(profile.text_probe(df))
     roles = fixed(profile.column_roles(df, settings=s, probe=probe, distinct=distinct))
     by_role: dict[str, list[str]] = {}
     for r in roles.orderBy("position").collect():  # one row per column
@@ -52,64 +52,68 @@ def investigate(df: DataFrame, options: Options | None = None) -> Investigation:
     number_columns = by_role.get("numeric", [])
     texts = set(by_role.get("categorical", []) + by_role.get("text-like", []))
     label_columns = [c for c in df.columns if c in texts] + by_role.get("boolean", [])
-    duplicates = fixed(quality.duplicate_summary(without_nan(df), settings=s))
-    columns = fixed(profile.column_profile(df, settings=s, counts=counts, roles=roles))
-    t: dict[str, DataFrame] = {"column_profile": columns.orderBy("position"), "roles": roles,
-                               "duplicate_summary": duplicates}
-    t["overview"] = fixed(profile.overview(df, settings=s, profile=columns, duplicates=duplicates))
-
-    # quality
-    t["missing_columns"] = fixed(quality.missing_columns(df, settings=s))
-    t["missing_summary"] = fixed(quality.missing_summary(df))
-    low = quality.low_variance(df, settings=s, counts=counts)
-    t["low_variance"] = fixed(low)
-    t["dtype_issues"] = fixed(profile.dtype_issues(df, settings=s, probe=probe, counts=counts))
-
-    # numbers
-    facts = number_facts(df, number_columns, settings=s)
-    t["numeric_stats"] = fixed(numeric.numeric_stats(df, number_columns, settings=s, facts=facts, counts=counts)
-                              if number_columns else spark.createDataFrame([], numeric.NUMERIC_SCHEMA))
-    whole = profile.integer_valued(df, number_columns) if number_columns else None
-    t["numeric_flags"] = fixed(numeric.numeric_flags(t["numeric_stats"], whole, settings=s))
-    t["scale_spread"] = numeric.scale_spread(t["numeric_stats"], settings=s)
-    t["categorical_stats"] = fixed(categorical.categorical_stats(
-        df, label_columns, settings=s, counts=counts) if label_columns else
-        categorical.categorical_stats(df, [], settings=s, counts=counts).where("false"))
-
-    # outliers
-    rules = outliers.outlier_rules(df, number_columns, settings=s, modified=o.include_modified_zscore,
-                                   facts=facts)
-    t["outlier_stats"] = fixed(outliers.outlier_stats(df, settings=s, rules=rules))
-    t["rows_flagged"] = fixed(outliers.rows_flagged(df, rules=rules, settings=s))
-    t["sentinels"] = fixed(outliers.sentinel_suspects(df, settings=s, rules=rules))
-    t["method_disagreement"] = outliers.method_disagreement(t["outlier_stats"], settings=s)
+    t: dict[str, DataFrame] = {"roles": roles}
+
+    # quality, and what the numbers need
+    second = together(
+        duplicate_summary=lambda: fixed(quality.duplicate_summary(without_nan(df), settings=s)),
+        column_profile=lambda: fixed(profile.column_profile(df, settings=s, counts=counts, roles=roles)).orderBy("position"),
+        missing_columns=lambda: fixed(quality.missing_columns(df, settings=s)),
+        missing_summary=lambda: fixed(quality.missing_summary(df)),
+        low_variance=lambda: fixed(quality.low_variance(df, settings=s, counts=counts)),
+        dtype_issues=lambda: fixed(profile.dtype_issues(df, settings=s, probe=probe, counts=counts)),
+        facts=lambda: number_facts(df, number_columns, settings=s))
+    facts = second.pop("facts")
+    t |= second
+    duplicates = t["duplicate_summary"]
+    rules = outliers.outlier_rules(df, number_columns, settings=s, modified=o.include_modified_zscore, facts=facts)
+
+    def numbers() -> dict[str, DataFrame]:
+        stats = fixed(numeric.numeric_stats(df, number_columns, settings=s, facts=facts, counts=counts)
+                      if number_columns else spark.createDataFrame([], numeric.NUMERIC_SCHEMA))
+        whole = profile.integer_valued(df, number_columns) if number_columns else None
+        return {"numeric_stats": stats, "numeric_flags": fixed(numeric.numeric_flags(stats, whole, settings=s)),
+                "scale_spread": numeric.scale_spread(stats, settings=s)}
+
+    def forest() -> dict[str, DataFrame]:
+        if o.enable_anomalies:
+            found = anomalies.detect_anomalies(df, number_columns, contamination=o.contamination, trees=o.trees,
+                                               id_columns=o.id_columns, with_percentile=False, settings=s, facts=facts)
+        else:
+            found = anomalies.AnomalyResult(False, "Anomaly detection was switched off.", o.contamination, [])
+        out = {"anomaly_summary": fixed(anomalies.anomaly_summary(found, spark))}
+        if found.available:
+            out["anomaly_records"] = anomalies.with_percentile_rank(
+                found.records, "anomaly_score", "anomaly_percentile", settings=s)
+            out["feature_deviations"] = fixed(anomalies.feature_deviations(
+                found.records, found.features, settings=s, facts=facts))
+        return out
+
+    def leaks() -> dict[str, DataFrame]:
+        if not o.enable_leakage:
+            return {}
+        named = fixed(leakage.column_facts(df, settings=s, roles=roles, probe=probe, distinct=distinct))
+        return {"leakage_signals": fixed(leakage.leakage_signals(df, o.leakage_target, settings=s, facts=named))}
 
-    # relations
     eligible = correlation.eligible_columns(df, number_columns, facts=facts)
-    t["correlation_pairs"] = fixed(correlation.correlation_pairs(
-        df, method=o.correlation_method, settings=s, eligible=eligible))
-    t["associations"] = fixed(association.associations(
-        df, label_columns, settings=s, counts=counts) if label_columns else
-        spark.createDataFrame([], association.ASSOCIATION_SCHEMA))
-
-    # anomalies
-    if o.enable_anomalies:
-        found = anomalies.detect_anomalies(df, number_columns, contamination=o.contamination, trees=o.trees,
-                                           id_columns=o.id_columns, with_percentile=False, settings=s, facts=facts)
-    else:
-        found = anomalies.AnomalyResult(False, "Anomaly detection was switched off.", o.contamination, [])
-    t["anomaly_summary"] = fixed(anomalies.anomaly_summary(found, spark))
-    deviations = None
-    if found.available:
-        t["anomaly_records"] = anomalies.with_percentile_rank(
-            found.records, "anomaly_score", "anomaly_percentile", settings=s)
-        deviations = t["feature_deviations"] = fixed(anomalies.feature_deviations(
-            found.records, found.features, settings=s, facts=facts))
-
-    # leakage
-    if o.enable_leakage:
-        named = fixed(leakage.column_facts(df, settings=s, roles=roles, probe=probe, distinct=distinct))
-        t["leakage_signals"] = fixed(leakage.leakage_signals(df, o.leakage_target, settings=s, facts=named))
+    third = together(
+        numbers=numbers, forest=forest, leaks=leaks,
+        overview=lambda: fixed(profile.overview(df, settings=s, profile=t["column_profile"], duplicates=duplicates)),
+        categorical_stats=lambda: fixed(
+            categorical.categorical_stats(df, label_columns, settings=s, counts=counts) if label_columns else
+            categorical.categorical_stats(df, [], settings=s, counts=counts).where("false")),
+        outlier_stats=lambda: fixed(outliers.outlier_stats(df, settings=s, rules=rules)),
+        rows_flagged=lambda: fixed(outliers.rows_flagged(df, rules=rules, settings=s)),
+        sentinels=lambda: fixed(outliers.sentinel_suspects(df, settings=s, rules=rules)),
+        correlation_pairs=lambda: fixed(correlation.correlation_pairs(
+            df, method=o.correlation_method, settings=s, eligible=eligible)),
+        associations=lambda: fixed(association.associations(df, label_columns, settings=s, counts=counts) if label_columns else
+                                   spark.createDataFrame([], association.ASSOCIATION_SCHEMA)))
+    for part in ("numbers", "forest", "leaks"):
+        t |= third.pop(part)
+    t |= third
+    t["method_disagreement"] = outliers.method_disagreement(t["outlier_stats"], settings=s)
+    deviations = t.get("feature_deviations")
 
     # health
     n_columns = len(df.columns)

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +60,10 @@ def fixed(df: DataFrame) -> DataFrame:
     For metric tables only: their size depends on the number of columns, never of rows.
     """
     return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)
+
+
+def together(**steps: Callable[[], object]) -> dict[str, object]:
+    """Results by name of independent steps, whose Spark jobs run side by side."""
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        started = {name: pool.submit(step) for name, step in steps.items()}
+        return {name: step.result() for name, step in started.items()}
