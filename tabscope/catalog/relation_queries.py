@@ -72,22 +72,21 @@ def correlation_kendall(spark, folder):
     return rounded(correlation.correlation_pairs(wide(spark, folder), _FEW, "kendall", with_p=False).drop("p_value"))
 
 
-# for an even number of degrees of freedom (here, rows) Student's t tail is a finite sum
-T_TAIL = """greatest(0.0, 1 - abs(r) * list_sum(list_transform(range(0, ((n - 2) // 2)::BIGINT),
-  lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * pow(1 - r * r, k))))"""
+# Student's t tail is a finite sum for whole degrees of freedom, of one form for even and one for odd ones
+T_TAIL = """greatest(0.0, 1 - CASE WHEN n % 2 = 0 THEN abs(r) * list_sum(list_transform(range(0, ((n - 2) // 2)::BIGINT),
+    lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * pow(1 - r * r, k)))
+  ELSE 2 / pi() * (asin(abs(r)) + abs(r) * sqrt(1 - r * r) * coalesce(list_sum(list_transform(range(0, ((n - 3) // 2)::BIGINT),
+    lambda k: exp(lgamma(k + 1.0) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * pow(1 - r * r, k))), 0)) END)"""
 _TAILS = ["s_suppkey", "s_acctbal", "s_acctbal * (1 + s_nationkey % 5) as scaled", "s_acctbal * s_acctbal as squared",
           "s_suppkey * (7 + s_nationkey % 7) as mixed"]
 
 
-@query("correlation_p_values", f"""WITH d AS ({sql('(SELECT * FROM supplier ORDER BY s_suppkey LIMIT (SELECT count(*) // 2 * 2 FROM supplier)) u', _TAILS)}),
-p AS ({pearson_sql('d', names(_TAILS))}), t AS ({labelled('p')})
-SELECT l.*, {rnd(T_TAIL.replace('n -', 'p.n -').replace('abs(r)', 'abs(p.r)').replace('r * r', 'p.r * p.r'))} AS p_value
-FROM t l JOIN p ON l.column_a = p.column_a AND l.column_b = p.column_b""")
+@query("correlation_p_values", f"""WITH d AS ({sql('supplier', _TAILS)}), p AS ({pearson_sql('d', names(_TAILS))}),
+v AS (SELECT *, {T_TAIL} AS tail FROM p), t AS ({labelled('p')})
+SELECT t.*, {rnd('v.tail')} AS p_value FROM t JOIN v ON t.column_a = v.column_a AND t.column_b = v.column_b""")
 def correlation_p_values(spark, folder):
-    """Student's t tail of every pair; of an odd number of suppliers the last one is left out, for SQL's finite sum."""
-    suppliers = table(spark, folder, "supplier")
-    even = suppliers.count() // 2 * 2
-    return rounded(correlation.correlation_pairs(suppliers.orderBy("s_suppkey").limit(even).selectExpr(*_TAILS)))
+    """Student's t tail of every pair."""
+    return rounded(correlation.correlation_pairs(derived(spark, folder, "supplier", _TAILS)))
 
 
 @query("correlation_strong_pairs", f"""{WITH}, p AS ({pearson_sql('d', WIDE)})
