@@ -41,6 +41,17 @@ def numeric_stats_with_gaps(spark, folder):
     return rounded(numeric.numeric_stats(derived(spark, folder, "lineitem", GAPPY_LINEITEM)), 4)
 
 
+_NOT_FINITE = ["case when l_quantity > 45 then cast('NaN' as double) when l_quantity < 3 then cast('Infinity' as double) "
+               "when l_quantity < 5 then cast('-Infinity' as double) else l_quantity end as q", "l_tax"]
+
+
+@query("numeric_stats_not_finite", """WITH g AS (SELECT CASE WHEN l_quantity <= 45 AND l_quantity >= 5 THEN l_quantity END AS q, l_tax FROM lineitem) """
+       + stats_sql("g", ["q", "l_tax"]))
+def numeric_stats_not_finite(spark, folder):
+    """NaN and infinities count as missing."""
+    return rounded(numeric.numeric_stats(derived(spark, folder, "lineitem", _NOT_FINITE)), 4)
+
+
 _CODED_NUMBERS = ["event_id", "user_id", "reading", "spend", "value"]
 _CODED = f"WITH e AS ({sql('events', CODED_EVENTS)}) "
 _coded_stats = union_all(
@@ -179,6 +190,18 @@ def rare_levels(spark, folder):
     return rounded(categorical.rare_heavy_columns(stats))
 
 
+_RARE = ["cast(o_orderkey * 7 % 300 as varchar(9)) as many", "case when o_custkey % 50 = 0 then cast(o_custkey as varchar(9)) else 'usual' end as few", "o_orderpriority"]
+_RARE_SQL = union_all(f"""SELECT {i}::BIGINT AS position, '{c}' AS "column", count(*) AS n_unique, count(*) FILTER (WHERE n / total < 0.01) AS rare_categories
+  FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS total FROM r GROUP BY {c}) x""" for i, c in enumerate(names(_RARE)))
+
+
+@query("rare_levels_found", f"""WITH r AS ({sql('orders', _RARE)}), s AS ({_RARE_SQL})
+SELECT position, "column", rare_categories, n_unique FROM s WHERE rare_categories >= greatest(5, 0.3 * n_unique)""")
+def rare_levels_found(spark, folder):
+    """Columns that do have many rare levels."""
+    return rounded(categorical.rare_heavy_columns(categorical.categorical_stats(derived(spark, folder, "orders", _RARE))))
+
+
 @query("frequency_table", f"""
 WITH c AS (SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1),
 k AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS place FROM c), t AS (SELECT sum(n) AS total, count(*) AS levels FROM c)

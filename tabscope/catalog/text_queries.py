@@ -155,6 +155,30 @@ def delimited_reordered(spark, folder):
     return delimited.read_delimited(spark, path, ",").frame
 
 
+@query("delimited_undecodable", "SELECT 'undecodable' AS note_code, count(*) AS n FROM part WHERE p_size <= 25")
+def delimited_undecodable(spark, folder):
+    """Rows written in another encoding than they are read in."""
+    path = new_path(spark, "latin")
+    name = F.when(F.col("p_size") <= 25, F.concat("p_name", F.lit(" caf\u00e9"))).otherwise(F.col("p_name"))
+    table(spark, folder, "part").select("p_partkey", name.alias("name")).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return delimited.read_delimited(spark, path, ",").notes.where("note_code = 'undecodable'").select("note_code", "n")
+
+
+@query("delimited_index_column", "SELECT p_size::BIGINT AS p_size, p_brand FROM part")
+def delimited_index_column(spark, folder):
+    """A first column without a name is a row index and goes."""
+    path, comma = new_path(spark, "index"), F.lit(",")
+    line = F.concat(F.col("p_partkey").cast("string"), comma, F.col("p_size").cast("string"), comma, F.col("p_brand"))
+    (table(spark, folder, "part").select(line.alias(",p_size,p_brand")).write.option("header", True).option("sep", "\u0001")
+     .option("quote", "\u0000").csv(path))
+    return delimited.read_delimited(spark, path, ",").frame
+
+
+@query("preview_rows", "SELECT least(count(*), 7) AS n_rows FROM part")
+def preview_rows(spark, folder):
+    return sinks.preview(table(spark, folder, "part"), 7).agg(F.count("*").alias("n_rows"))
+
+
 @query("delimited_limited", "SELECT least(count(*), 50) AS n_rows, max(CASE WHEN total > 50 THEN 50 END) AS limited FROM (SELECT *, count(*) OVER () AS total FROM part) p")
 def delimited_limited(spark, folder):
     """The optional limit on rows, and its note."""
