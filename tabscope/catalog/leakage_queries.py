@@ -144,6 +144,15 @@ def separation_many_columns(spark, folder):
     return rounded(leakage.separation(derived(spark, folder, "orders", _WIDE), "is_big"))
 
 
+_LEVELS = [c for c in COLUMNS if c not in NUMERIC and c not in ("is_big", "o_orderdate")]
+
+
+@query("separation_levels", f"{WITH} " + union_all(f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_unique, count(DISTINCT {c}) <= 200 AS available,
+  CASE WHEN count(DISTINCT {c}) > 200 THEN 'more than 200 levels' ELSE '' END AS reason FROM d WHERE is_big IS NOT NULL""" for c in _LEVELS))
+def separation_levels(spark, folder):
+    return leakage.separation_levels(labelled(spark, folder), "is_big")
+
+
 @query("leakage_signals", f"""{WITH}, f AS ({FACTS}), every AS (
   SELECT "column", signal, severity, confidence FROM ({IDENTIFIER}) a
   UNION ALL SELECT CASE WHEN column_b = 'is_big' THEN column_a ELSE column_b END,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabscope import settings as S
 from tabscope.functions.columns import (
-    col, count_text, fields, finite, groupable, name_list, name_tokens, percent_text, plain_number, present,
+    col, count_text, fields, finite, groupable, name_list, name_tokens, of_kind, percent_text, plain_number, present,
     severity_rank, share, stored_kind, words,
 )
 from tabscope.operators.correlation import spearman
@@ -248,6 +248,18 @@ def separation(df: DataFrame, target: str, *, settings: Settings = DEFAULT,
     return out
 
 
+def separation_levels(df: DataFrame, target: str, *, settings: Settings = DEFAULT) -> DataFrame:
+    """(column, n_unique, available, reason) of every text feature: those of too many levels are not tested for separation."""
+    rows = df.where(present(fields(df, [target])[0]))
+    names = [n for n in of_kind(df, "text") if n != target]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, n_unique bigint, available boolean, reason string")
+    many = F.col("n_unique") > settings.separation_levels
+    return distinct_counts(value_counts(rows, names)).select(
+        "column", "n_unique", (~many).alias("available"),
+        F.when(many, f"more than {settings.separation_levels} levels").otherwise("").alias("reason"))
+
+
 def _accuracy() -> Column:
     right = (F.col("upto_n") - F.col("upto_pos") + F.col("all_pos") - F.col("upto_pos")) / F.col("all_n")
     return F.greatest(right, 1 - right)
