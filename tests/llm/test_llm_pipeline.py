@@ -11,6 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 
 import check_queries  # noqa: E402
 import corpus_pipeline  # noqa: E402
+from llm_fixtures import documents, nothing, texts  # noqa: E402, F401
 from pyspark.sql import functions as F  # noqa: E402
 from tabscope.llm import queries  # noqa: E402
 from test_llm_texts import listed, plain_components, plain_fingerprint, plain_line_dedup, plain_scan  # noqa: E402

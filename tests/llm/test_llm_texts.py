@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
+from llm_fixtures import documents, nothing, texts  # noqa: F401
 from pyspark.sql import functions as F
 
 from tabscope.llm import decontaminate, line_dedup, pieces, quality_rules, sharding, simhash, toxicity
