@@ -160,9 +160,9 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if held:
             yield flushed(held)
 
-    # each fingerprint becomes 64 rows, so a small table of them is spread first
+    # each fingerprint becomes 64 rows, so a small table of them is spread first, by another hash than it is grouped by
     n = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    indexed = values.repartition(n, "value").mapInArrow(index, "key bigint, value bigint")
+    indexed = values.repartition(n, F.xxhash64("value")).mapInArrow(index, "key bigint, value bigint")
     # neighbours by key: a count that follows spark.sql.shuffle.partitions, sorted so that keys come one after another
     return indexed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a bigint, b bigint").distinct()
 
