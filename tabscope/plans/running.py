@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabscope.functions.columns import col
-from tabscope.plans.stored import stored
+from tabscope.plans.stored import stored, together
 from tabscope.settings import DEFAULT, Settings
 
 
@@ -70,8 +70,9 @@ def with_ranks(df: DataFrame, source: DataFrame, ranks: dict[str, str], settings
     Each rank is looked up by one join with a stored table made from ``source`` alone, so the plan grows by one join
     and one scan per column.
     """
+    tables = together(**{out: (lambda c=column: average_ranks(source, col(c), settings)) for column, out in ranks.items()})
     for column, out in ranks.items():
-        df = attach(df, column, average_ranks(source, col(column), settings).withColumnRenamed("rank", out), out)
+        df = attach(df, column, tables[out].withColumnRenamed("rank", out), out)
     return df
 
 
