@@ -2,13 +2,14 @@
 
 Text is segmented by merges from single characters upward, the best-scored adjacent pair first, the left one of
 equals.  Each candidate merge that comes up is skipped for good with probability ``dropout``, decided by a keyed hash
-of the seed, the word, its variant and the place of the pair in it; so a seed gives the same segmentation on every
-run and every executor, and dropout 0 gives the library's own.  An occurrence of a word takes one of ``variants``
-segmentations, chosen by a hash of the document id and the word's number in the document.
+of the seed, the word, the document id, the word's number in the document and the place of the pair in the word; so a
+seed gives the same segmentation on every run and every executor, and dropout 0 gives the library's own.  Each occurrence
+of a word is segmented by hashes of its own; ``variants`` above 0 would give all of them that many segmentations instead.
 
 Words (a run of blanks with what follows) are segmented one by one, which is exact since no piece of the model
-continues from a character into a blank or across a line feed; models with such pieces are refused.  Segmentations
-are kept in a bounded memory, so that frequent words cost a look-up.
+continues from a character into a blank or across a line feed; models with such pieces are refused.  A word's
+segmentations are kept as a tree, in a bounded memory: a node holds what comes out if exactly its candidates are skipped,
+and the merges after the last of these; an occurrence goes on to the child of the first of them that its hashes skip.
 
 Any segmentation decodes to its text: characters without a piece, and a literal block character that the model
 would read as a blank, are written as bytes.  The model file is read by the driver and sent to the tasks.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,11 +43,41 @@ LITERAL = ""
 MASK = (1 << 64) - 1
 #: Odd multipliers of the keyed hash.
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
-#: Words longer than this are segmented one by one; segmentations kept, beyond which a variant's are forgotten;
+#: Words longer than this are segmented one by one; segmentations kept, beyond which all are forgotten;
 #: words segmented, and bytes of text encoded, at a time.
 LONG_WORD, KEPT_WORDS, ROUND, SLICE = 48, 400_000, 1 << 13, 1 << 20
 
 
+class Tree:
+    """Segmentations by what is skipped: a word's first node skips nothing, a child one of the merges of its parent too."""
+
+    def __init__(self):
+        self.first: dict[str, int] = {}
+        self.child: dict[int, int] = {}  # by node * 64 + number of the merge that is skipped
+        self.ids: list[bytes] = []
+        self.words: list[str] = []
+        self.skips: list[tuple[int, ...]] = []
+        self.own = np.zeros(1 << 12, np.uint64)  # hash of the word
+        self.at = np.zeros(1 << 12, np.int64)  # its merges, from here in ``merges``
+        self.count = np.zeros(1 << 12, np.int64)
+        self.merges = np.zeros(1 << 14, np.int32)  # start, middle and end, 6 bits each
+        self.used = 0
+
+    def add(self, words: list[str], skips: list[tuple[int, ...]], own: np.ndarray, ids: list[bytes], counts: np.ndarray, merges: np.ndarray) -> None:
+        n = len(self.ids)
+        while len(self.own) < n + len(words):
+            self.own, self.at, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.own, self.at, self.count))
+        while len(self.merges) < self.used + len(merges):
+            self.merges = np.concatenate([self.merges, np.zeros_like(self.merges)])
+        new = slice(n, n + len(words))
+        self.own[new], self.count[new], self.at[new] = own, counts, self.used + np.cumsum(counts) - counts
+        self.merges[self.used:self.used + len(merges)] = merges
+        self.used += len(merges)
+        self.ids += ids
+        self.words += words
+        self.skips += skips
+
+
 @dataclass
 class Codec:
     """A byte-pair model with byte fallback, and one setting of dropout."""
@@ -53,7 +85,7 @@ class Codec:
     model: bytes
     dropout: float = 0.1
     seed: int = 0
-    variants: int = 4
+    variants: int = 8
     kept: list[dict[str, bytes]] = field(default_factory=list, repr=False)
 
     def __post_init__(self):
@@ -79,6 +111,7 @@ class Codec:
             self.bytes_of[i] = bytes([b])
         self.limit = int(self.dropout * (1 << 53))
         self.kept = [{} for _ in range(self.variants)]
+        self.tree = Tree()
         # the same merges as arrays: ids of characters, and of each pair of ids that makes a piece, that piece
         self.char_id = np.full(0x110000, -1, np.int32)
         for p, i in normal.items():
@@ -92,11 +125,20 @@ class Codec:
         self.pair_piece = np.array([i for _, i in pairs], np.int32)
 
     def word_keys(self, codes: np.ndarray, places: np.ndarray, heads: np.ndarray, variants: np.ndarray) -> np.ndarray:
-        """A hash of each word's characters and their places, keyed by the seed and the word's variant."""
+        """A hash of each word's characters and their places, keyed by the seed and the word's number."""
+        return self.keyed(self.char_keys(codes, places, heads), variants)
+
+    def char_keys(self, codes: np.ndarray, places: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """A hash of each word's characters and their places."""
         with np.errstate(over="ignore"):
             own = (codes.astype(np.uint64) + np.uint64(1)) * B
             own = (own ^ (own >> np.uint64(31))) * (places.astype(np.uint64) * A + C)
-            return np.add.reduceat(own, heads) ^ ((variants.astype(np.uint64) + np.uint64(self.seed & MASK) * B) * D)
+            return np.add.reduceat(own, heads)
+
+    def keyed(self, own: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Hashes of words keyed by the seed and a number of each occurrence or variant."""
+        with np.errstate(over="ignore"):
+            return own ^ ((numbers.astype(np.uint64) + np.uint64(self.seed & MASK) * B) * D)
 
     def skipped(self, key, start, middle, end):
         """Whether the candidate of two symbols, [start, middle) and [middle, end), is skipped; of numbers or arrays."""
@@ -114,28 +156,90 @@ class Codec:
         return np.where(self.pair_key[at] == keys, self.pair_piece[at], n)
 
     def _learn(self, wanted: list[tuple[str, int]]) -> None:
-        """Segment many words at once: a round takes each word's best candidate."""
+        """Segment many words at once, each by its variant."""
         words = [w for w, _ in wanted]
+        codes, places, heads = self._characters(words)
+        keys = self.word_keys(codes, places, heads, np.array([v for _, v in wanted]))
+
+        def skip(of, start, middle, stop):
+            return self.skipped(keys[of], *(x.astype(np.uint64) for x in (start, middle, stop)))
+
+        for (word, variant), ids in zip(wanted, self._merged(words, codes, places, skip), strict=True):
+            self.kept[variant][word] = ids
+
+    def _grow(self, words: list[str], skips: list[tuple[int, ...]]) -> range:
+        """Add nodes to the tree: each word segmented with exactly the given merges skipped."""
+        for at in range(0, len(words), ROUND):
+            some, own = words[at:at + ROUND], skips[at:at + ROUND]
+            size = np.fromiter(map(len, own), np.int64, len(own))
+            table = np.full((len(own), max(1, size.max())), -1, np.int32)
+            table[np.repeat(np.arange(len(own)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = [x for y in own for x in y]
+            self._segmented(some, own, size, lambda of, merge, table=table: (table[of] == merge[:, None]).any(axis=1))
+        return range(len(self.tree.ids) - len(words), len(self.tree.ids))
+
+    def _try(self, words: list[str], skips: list[tuple[int, ...]], numbers: np.ndarray) -> tuple[list[bytes], dict[int, int]]:
+        """Ids of occurrences that skip the given merges and maybe more, and new nodes, of those that skip no more."""
+        ids, nodes = [], {}
+        for at in range(0, len(words), ROUND):
+            some, own = words[at:at + ROUND], skips[at:at + ROUND]
+            keys = self.word_keys(*self._characters(some), numbers[at:at + ROUND])
+            six, low = np.uint64(6), np.uint64(63)
+
+            def skip(of, merge, keys=keys):
+                x = merge.astype(np.uint64)
+                return self.skipped(keys[of], x >> (six + six), (x >> six) & low, x & low)
+
+            first = len(self.tree.ids)
+            part, full = self._segmented(some, own, np.fromiter(map(len, own), np.int64, len(own)), skip)
+            ids += part
+            nodes.update(zip((at + np.flatnonzero(full)).tolist(), range(first, len(self.tree.ids)), strict=True))
+        return ids, nodes
+
+    def _segmented(self, words: list[str], skips: list[tuple[int, ...]], size: np.ndarray, out_of) -> tuple[list[bytes], np.ndarray]:
+        """Ids of words, and which of them skipped no more than ``size`` merges; these become nodes of the tree."""
+        codes, places, heads = self._characters(words)
+        met = np.zeros(len(words), np.int64)
+        taken_of, taken = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+
+        def skip(of, start, middle, stop):  # a word has one candidate at a time
+            merge = (start << 12) | (middle << 6) | stop
+            out = out_of(of, merge)
+            after = ~out & (met[of] == size[of])
+            taken_of.append(of[after])
+            taken.append(merge[after])
+            met[of[out]] += 1
+            return out
+
+        ids = self._merged(words, codes, places, skip)
+        full = met == size
+        owners, merges = np.concatenate(taken_of), np.concatenate(taken)
+        order = np.argsort(owners, kind="stable")
+        order = order[full[owners[order]]]
+        which = np.flatnonzero(full)
+        counts = np.bincount(owners, minlength=len(words))[which]
+        some = which.tolist()
+        self.tree.add([words[i] for i in some], [skips[i] for i in some], self.char_keys(codes, places, heads)[which], [ids[i] for i in some], counts, merges[order])
+        return ids, full
+
+    def _characters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Characters of the words, their places in the words, and where each word begins."""
         lengths = np.fromiter(map(len, words), np.int32, len(words))
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        symbol = self.char_id[codes]
         first = np.cumsum(lengths) - lengths
-        strange = np.flatnonzero(np.minimum.reduceat(symbol, first) < 0)
-        if len(strange):  # words with characters that have no piece
-            for i in strange.tolist():
-                self.kept[wanted[i][1]][words[i]] = self.word_ids(*wanted[i])
-            strange = set(strange.tolist())
-            rest = [x for i, x in enumerate(wanted) if i not in strange]
-            return self._learn(rest) if rest else None
-        of = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-        start = np.arange(len(symbol), dtype=np.int32) - np.repeat(first, lengths).astype(np.int32)
+        return codes, np.arange(len(codes), dtype=np.int32) - np.repeat(first, lengths).astype(np.int32), first
+
+    def _merged(self, words: list[str], codes: np.ndarray, start: np.ndarray, skip) -> list[bytes]:
+        """Ids of many words: a round takes each word's best candidate, unless ``skip`` says otherwise."""
+        of = (np.cumsum(start == 0) - 1).astype(np.int32)
+        symbol = self.char_id[codes]
+        strange = frozenset(np.unique(of[symbol < 0]).tolist())  # words with characters that have no piece
         stop = start + 1
-        keys = self.word_keys(codes, start, first, np.array([v for _, v in wanted]))
         none = len(self.ids)
         made = np.full(len(symbol), len(self.bytes_of), np.int32)  # the piece a symbol makes with the next one of its word
-        inside = np.flatnonzero(of[:-1] == of[1:])
+        inside = np.flatnonzero((of[:-1] == of[1:]) & (symbol[:-1] >= 0) & (symbol[1:] >= 0))
         made[inside] = self._pieces(symbol[inside], symbol[inside + 1])
         rank = self.rank_of[made]
+        out = [b""] * len(words)
         while True:
             ends = np.flatnonzero(of[1:] != of[:-1])
             heads = np.concatenate([[0], ends + 1])
@@ -147,22 +251,20 @@ class Codec:
                 ids = symbol[ended].tobytes()
                 at = 0
                 for word, beyond in zip(of[heads[done]].tolist(), np.cumsum(4 * counts[done]).tolist(), strict=True):
-                    text, variant = wanted[word]
-                    self.kept[variant][text] = ids[at:beyond]
+                    out[word] = self._with_bytes(words[word], ids[at:beyond]) if word in strange else ids[at:beyond]
                     at = beyond
                 if len(ids) == 4 * len(of):
-                    return None
+                    return out
                 symbol, of, start, stop, made, rank = (x[~ended] for x in (symbol, of, start, stop, made, rank))
                 best, counts = best[~done], counts[~done]
             at = np.flatnonzero(rank == np.repeat(best, counts))
             own = of[at]
             at = at[np.concatenate([[True], own[1:] != own[:-1]])]
-            if self.limit:
-                skip = self.skipped(keys[of[at]], *(x.astype(np.uint64) for x in (start[at], start[at + 1], stop[at + 1])))
-                rank[at[skip]] = none
-                at = at[~skip]
-                if not len(at):
-                    continue
+            skips = skip(of[at], start[at], start[at + 1], stop[at + 1])
+            rank[at[skips]] = none
+            at = at[~skips]
+            if not len(at):
+                continue
             symbol[at], stop[at] = made[at], stop[at + 1]
             left = np.ones(len(of), bool)
             left[at + 1] = False
@@ -170,12 +272,72 @@ class Codec:
             at = at - np.arange(len(at))  # where the merged symbols stand now
             pair = np.concatenate([at, at[at > 0] - 1])
             last = pair + 1 == len(of)
-            alone = last | (of[np.where(last, pair, pair + 1)] != of[pair])
+            after = np.where(last, pair, pair + 1)
+            alone = last | (of[after] != of[pair]) | (symbol[pair] < 0) | (symbol[after] < 0)
             rank[pair[alone]] = none
             pair = pair[~alone]
             made[pair] = self._pieces(symbol[pair], symbol[pair + 1])
             rank[pair] = self.rank_of[made[pair]]
 
+    def _with_bytes(self, word: str, ids: bytes) -> bytes:
+        """Ids with the bytes of each character that has no piece, -1 so far."""
+        known, strange = np.frombuffer(ids, np.int32).tolist(), (c for c in word if self.char_id[ord(c)] < 0)
+        return np.array([x for i in known for x in ([i] if i >= 0 else [self.byte_ids[b] for b in next(strange).encode()])], np.int32).tobytes()
+
+    def _nodes(self, known: dict, names: list, words, skips, numbers: np.ndarray, places: np.ndarray, ids: dict[int, bytes]) -> np.ndarray:
+        """Nodes by name; new ones that are asked for once are tried with the occurrence itself, whose ids go to ``ids`` if it skips more."""
+        found = list(map(known.get, names))
+        if None in found:
+            missing = [i for i, x in enumerate(found) if x is None]
+            times = Counter([names[i] for i in missing])
+            often = [x for x, n in times.items() if n > 1]
+            if often:
+                known.update(zip(often, self._grow(list(map(words, often)), list(map(skips, often))), strict=True))
+            once = []
+            for i in missing:
+                if times[names[i]] == 1:
+                    once.append(i)
+                else:
+                    found[i] = known[names[i]]
+            if once:
+                made, nodes = self._try([words(names[i]) for i in once], [skips(names[i]) for i in once], numbers[once])
+                for at, i in enumerate(once):
+                    if at in nodes:
+                        found[i] = known[names[i]] = nodes[at]
+                    else:
+                        found[i] = -1
+                        ids[int(places[i])] = made[at]
+        return np.array(found, np.int64)
+
+    def _each(self, words: list[str], numbers: np.ndarray) -> list[bytes]:
+        """Ids of occurrences of words, none of them long, each segmented by the hashes of its own number."""
+        tree, ids = self.tree, {}
+        open_ = np.arange(len(words))
+        node = self._nodes(tree.first, words, lambda w: w, lambda w: (), numbers, open_, ids)
+        keys = self.keyed(tree.own[node], numbers)
+        open_ = open_[node >= 0] if self.limit else open_[:0]
+        while len(open_):
+            own = node[open_]
+            counts = tree.count[own]
+            heads = np.cumsum(counts) - counts
+            owner = np.repeat(np.arange(len(open_)), counts)
+            number = np.arange(len(owner)) - heads[owner]
+            merge = tree.merges[tree.at[own][owner] + number].astype(np.uint64)
+            six, low = np.uint64(6), np.uint64(63)
+            at = np.flatnonzero(self.skipped(keys[open_][owner], merge >> (six + six), (merge >> six) & low, merge & low))
+            if not len(at):
+                break
+            at = at[np.concatenate([[True], owner[at][1:] != owner[at][:-1]])]
+            open_ = open_[owner[at]]
+            children = (own[owner[at]] * 64 + number[at]).tolist()
+            node[open_] = self._nodes(tree.child, children, lambda c: tree.words[c >> 6],
+                                      lambda c: (*tree.skips[c >> 6], int(tree.merges[tree.at[c >> 6] + (c & 63)])), numbers[open_], open_, ids)
+            open_ = open_[node[open_] >= 0]
+        out = [tree.ids[i] for i in node.tolist()] if tree.ids else [b""] * len(words)
+        for i, own in ids.items():
+            out[i] = own
+        return out
+
     def segment(self, word: str, variant: int) -> list[int]:
         """Bounds of the symbols of ``word`` (blocks for blanks) when no candidate is left, by an agenda."""
         codes = np.frombuffer(word.encode("utf-32-le"), np.uint32)
@@ -220,10 +382,10 @@ class Codec:
             out += [found] if found is not None else [self.byte_ids[x] for x in word[a:b].encode()]
         return np.array(out, np.int32).tobytes()
 
-    def _words(self, text: str, doc: str) -> tuple[list[str], list[int]]:
-        """The words of a text, blocks for blanks and a literal block as a word of its own, and their variants."""
+    def _words(self, text: str, doc: str) -> tuple[list[str], np.ndarray]:
+        """The words of a text, blocks for blanks and a literal block as a word of its own, and their numbers."""
         if not text:
-            return [], []
+            return [], np.zeros(0, np.uint64)
         if BLOCK not in text and "  " not in text and text[0] != " ":  # single blanks: a word each
             words = list(filter(None, (BLOCK + text.replace(" ", " " + BLOCK).replace("\n", " \n ")).split(" ")))
         else:
@@ -231,17 +393,43 @@ class Codec:
             for i, part in enumerate((" " + text).split(BLOCK)):
                 words += ([LITERAL] if i else []) + WORD.findall(part.replace(" ", BLOCK))
         which = np.arange(len(words), dtype=np.uint64) * A + np.uint64(xxh64_intdigest(doc.encode(), self.seed & MASK))
-        which = ((which ^ (which >> np.uint64(31))) * D) >> np.uint64(33)
-        return words, (which % np.uint64(self.variants)).tolist()
+        which = (which ^ (which >> np.uint64(31))) * D
+        return words, which ^ (which >> np.uint64(33))
 
     def encode(self, texts: list[str], docs: list[str]) -> list[bytes]:
         """Ids of the texts as 32-bit numbers, one after another."""
+        return self._by_variant(texts, docs) if self.variants else self._by_occurrence(texts, docs)
+
+    def _by_occurrence(self, texts: list[str], docs: list[str]) -> list[bytes]:
+        if len(self.tree.ids) > KEPT_WORDS:
+            self.tree = Tree()
+        split = [self._words(text, doc) for text, doc in zip(texts, docs, strict=True)]
+        words = [w for own, _ in split for w in own]
+        numbers = np.concatenate([np.zeros(0, np.uint64), *[own for _, own in split]])
+        odd = [i for i, w in enumerate(words) if not 0 < len(w) <= LONG_WORD]
+        if odd:
+            ids: list[bytes] = [b""] * len(words)
+            for i in odd:
+                ids[i] = self.word_ids(words[i], numbers[i])
+            plain = np.delete(np.arange(len(words)), odd).tolist()
+            for i, own in zip(plain, self._each([words[i] for i in plain], numbers[plain]) if plain else [], strict=True):
+                ids[i] = own
+        else:
+            ids = self._each(words, numbers) if words else []
+        out, at = [], 0
+        for own, _ in split:
+            out.append(b"".join(ids[at:at + len(own)]))
+            at += len(own)
+        return out
+
+    def _by_variant(self, texts: list[str], docs: list[str]) -> list[bytes]:
         if sum(map(len, self.kept)) > KEPT_WORDS:
             for known in self.kept:
                 known.clear()
         kept, found, missing = self.kept, [], {}
         for text, doc in zip(texts, docs, strict=True):
-            words, which = self._words(text, doc)
+            words, numbers = self._words(text, doc)
+            which = (numbers % np.uint64(self.variants)).tolist()
             ids = [kept[v].get(w) for w, v in zip(words, which, strict=True)]
             if None in ids:
                 holes = [(i, words[i], which[i]) for i, x in enumerate(ids) if x is None]
@@ -302,7 +490,7 @@ def _lists(made: list[bytes], texts: pa.Array) -> pa.Array:
 
 
 def encode(df: DataFrame, doc: str = "doc_id", text: str = "text", ids: str = "ids", model: str = MODEL, dropout: float = 0.1,
-           seed: int = 0, variants: int = 4) -> DataFrame:
+           seed: int = 0, variants: int = 0) -> DataFrame:
     """``df`` with the ids of its texts."""
     shared = df.sparkSession.sparkContext.broadcast(_read(model))
 
@@ -313,7 +501,7 @@ def encode(df: DataFrame, doc: str = "doc_id", text: str = "text", ids: str = "i
 
 
 def round_trip(df: DataFrame, doc: str = "doc_id", text: str = "text", ids: str = "ids", decoded: str = "decoded", model: str = MODEL,
-               dropout: float = 0.1, seed: int = 0, variants: int = 4) -> DataFrame:
+               dropout: float = 0.1, seed: int = 0, variants: int = 0) -> DataFrame:
     """``df`` with the ids of its texts and the texts these ids decode to, in one pass."""
     shared = df.sparkSession.sparkContext.broadcast(_read(model))
 

@@ -297,6 +297,24 @@ def test_merge_dropout_follows_the_agenda(model, texts, dropout):
     assert len({w for w, _ in varied}) < len(varied)
 
 
+def test_each_occurrence_is_segmented_by_its_own_hashes(model, spark):
+    words = ["garden", "stone", "winter", "überall", "x☃y", "ab" * 40]
+    text = " ".join(words * 300)
+    for times in (1, 2):  # of a new codec, and of one that knows the words
+        codec = pieces.Codec(model, dropout=0.1, seed=7, variants=0) if times == 1 else codec
+        ids, split = codec.encode([text, text], ["a", "b"]), []
+        for doc in ("a", "b"):
+            own = []
+            for word, number in zip(*codec._words(text, doc), strict=True):
+                bounds = plain_agenda(codec, word, number)
+                own.append(tuple(i for x, y in zip(bounds, bounds[1:]) for i in ([codec.ids[word[x:y]]] if word[x:y] in codec.ids else [codec.byte_ids[b] for b in word[x:y].encode()])))
+            split.append(own)
+        assert [np.frombuffer(x, np.int32).tolist() for x in ids] == [[i for w in own for i in w] for own in split]
+        assert len(set(split[0][3::6])) > 8 and split[0] != split[1]
+    got = pieces.encode(spark.createDataFrame([("a", text)], "doc_id string, text string"), seed=7).first()["ids"]
+    assert got == np.frombuffer(ids[0], np.int32).tolist()
+
+
 def test_pieces_round_trip(documents, nothing):
     clashing = documents.withColumn("ids", F.lit("mine"))
     got = pieces.encode(clashing, dropout=0.3, seed=2)
