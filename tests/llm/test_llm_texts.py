@@ -415,6 +415,44 @@ def test_expressions(texts):
         assert n == len(words) and Counter(int(x).to_bytes(8, "big") for x in got.view(np.uint64)) == want
 
 
+def test_expressions_hold_short_words_pairs_and_characters():
+    def of(text):
+        own, shorter, n = toxicity.grams(text.encode())
+        return Counter(own.tolist()), dict(zip(own.tolist(), shorter.tolist(), strict=True)), n
+
+    assert (of("go on, go")[0] & of("GO")[0]).total() == 1 and of("")[0].total() == 0
+    for a, b in (("to go", "go to"), ("kill yourself now", "now kill yourself please"), ("aaaaaaaab", "aaaaaaaac"), ("原来如此他是坏人", "原来如此他是好人"), ("собаками", "собаковый")):
+        assert of(a)[0] != of(b)[0], (a, b)
+    pairs = {g for g in of("kill yourself now")[0] if g & 15 == toxicity.PAIR}
+    assert len(pairs) == 2 and len(pairs & set(of("now kill yourself please")[0])) == 1 and {of("kill yourself now")[1][g] for g in pairs} < set(of("yourself now")[0])
+    three = Counter(g for g in of("他是坏人。")[0].elements() if g & 15 == toxicity.THREE)
+    assert three.total() == 3 and len(three - of("x他是坏y")[0]) == 2 and of("aé bé")[0].total() == 2 + 1
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        text = "".join(rng.choice(list("ab é坏人  .Z9😀"), 30))
+        words = plain_words(text)
+        runs = re.findall(r"[^\x00-\x7f]+", text)
+        want = Counter({toxicity.WORD: len(words), toxicity.PAIR: max(0, len(words) - 1), toxicity.TWO: sum(len(r) - 1 for r in runs), toxicity.THREE: sum(max(0, len(r) - 2) for r in runs)})
+        got = Counter(g & 15 for g in of(text)[0].elements() if g & 15 not in toxicity.SIZES)
+        assert got == +want and of(text)[2] == len(words)
+
+
+@pytest.mark.parametrize("bad,harmless", [("oaf", "elm"), ("go away", "away go"), ("他是坏人", "人坏是他")])
+def test_toxicity_of_short_words_pairs_and_texts_without_blanks(spark, bad, harmless):
+    rng = np.random.default_rng(1)
+    blank = "" if bad > "z" else " "
+    fill = list("天地玄黄宇宙洪荒日月盈昃辰宿列张") if not blank else ["river", "stone", "house", "light", "on", "by"]
+    rows = []
+    for i in range(800):
+        own = [str(x) for x in rng.choice(fill, 30)]
+        for _ in range(3):
+            own.insert(int(rng.integers(len(own))), bad if i % 4 == 0 else harmless)
+        rows.append((i, blank.join(own), int(i % 4 == 0)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    got = [r for r in listed(toxicity.scored(df.select("doc_id", "text"), df.select("doc_id", "toxic"))) if r["held_out"]]
+    assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in got) / len(got) > 0.95
+
+
 def test_toxicity_without_labels(spark, documents, nothing):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert {r["score"] for r in listed(toxicity.scored(documents.select("doc_id", "text"), none))} == {0.0}
