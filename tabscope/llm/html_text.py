@@ -11,9 +11,11 @@ and a block goes if that is at most ``importance`` and its content stands on at
 Pages under one heading count as one, so that copies of an article don't make it a template; hosts of fewer than
 ``least_pages`` such pages have no tree.
 
-Elements that are never content whatever their entropy (scripts, menus, forms, and what its class, id or role calls
+Elements that are never content whatever their entropy (scripts, menus, forms, and what a whole class, id or role calls
 an advert, a notice or a comment) differ from page to page on many sites; they are removed by name, and where a page
-has an article or main element, text outside is not its article.
+has an article or main element, text outside is not its article.  A name or a form does not remove the article or main
+element inside of it, unless it is one for comments or other articles; inside of an article, headings and paragraphs
+are not removed by name; and where nothing else is left, what stands in the fewest elements removed by name is kept.
 
 Defined results: null, empty or textless pages give an empty text; a null url belongs to the host ""; broken markup is
 read as far as it goes (unclosed paragraphs end at the next block, end tags without a start are ignored); repeated rows
@@ -50,17 +52,22 @@ NEVER = frozenset((
     "optgroup option script select style svg template textarea title video"
 ).split())
 ARTICLE = frozenset(("article", "main"))
+MAIN = frozenset(("main", "main-content", "maincontent"))
 #: What a page is called by, the first that it has; a page without one is called by all its text.
 HEADINGS = ("h1", "h2", "h3", "title")
 #: Start tags that end an open element of the same group.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-#: Words of a class, id or role that call an element something else than content.
+#: Classes, ids or roles that call an element something else than content.
 NAMED = frozenset((
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar widget widgets related recommended "
     "recommendations share sharing social menu nav navbar navigation breadcrumb breadcrumbs topbar footer copyright comment comments "
     "reply replies respond disqus login search toolbar pagination pager complementary contentinfo dialog alertdialog menubar form"
 ).split())
+#: Names and elements whose articles are not the page's own.
+OTHERS = frozenset("comment comments reply replies respond disqus related recommended recommendations sidebar".split())
+#: Elements that a name doesn't remove inside of an article.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: The same outside of an article only; inside it is the article's own head.
 NAMED_OUTSIDE = frozenset(("header", "masthead", "banner"))
 
@@ -73,6 +80,8 @@ class Element:
     tag: str
     path: str
     dropped: bool
+    named: int  # elements around, this one too, that are removed by name or are forms
+    others: bool  # one of them is for comments or other articles
     article: bool
     block: bool
     children: list[str] = field(default_factory=list)
@@ -80,17 +89,17 @@ class Element:
 
 @lru_cache(maxsize=4096)
 def _named(attributes: str) -> tuple[str, frozenset[str], bool]:
-    """Classes as written in a path, words of class, id and role, and whether the element is hidden."""
+    """Classes as written in a path, classes, id and roles, and whether the element is hidden."""
     found = {k.lower(): unescape(v.strip("\"'")).lower() for k, v in ATTRIBUTE.findall(attributes)}
     classes = ".".join(sorted(found.get("class", "").split()))
-    words = frozenset(re.findall(r"[a-z]+", " ".join(found.get(k, "") for k in ("class", "id", "role"))))
+    words = frozenset(" ".join(found.get(k, "") for k in ("class", "id", "role")).split())
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     return classes, words, hidden
 
 
 def parsed(html: str) -> tuple[str, list[tuple[str, str]], list[tuple[str, str]]]:
     """Heading, blocks (path, text) of the article, and styles (path, child elements) of the elements around blocks."""
-    stack = [Element("", "", False, False, True)]
+    stack = [Element("", "", False, 0, False, False, True)]
     blocks: list[tuple[Element, str]] = []
     buffer: list[str] = []
     headings: dict[str, str] = {}
@@ -149,16 +158,24 @@ def parsed(html: str) -> tuple[str, list[tuple[str, str]], list[tuple[str, str]]
         if tag in VOID or attributes.endswith("/") and not block:
             continue
         above = stack[-1]
-        named = bool(words & NAMED) or hidden
-        if not above.article:
+        named = bool(words & NAMED)
+        if above.article:
+            named &= tag not in PROSE
+        else:
             named |= bool(words & NAMED_OUTSIDE) or tag == "header"
-        never = tag in NEVER or named and tag not in ("html", "body") and not (tag in ARTICLE and not words & {"comment", "comments", "reply"})
-        if not block and not never:
+        named = (named and tag not in ("html", "body") and not (tag in ARTICLE and not words & {"comment", "comments", "reply"})) or tag == "form"
+        never = tag in NEVER and tag != "form" or hidden and tag not in ("html", "body", *ARTICLE)
+        if not block and not never and not named:
             continue  # markup inside a block
+        article = tag in ARTICLE or bool(words & MAIN)
+        own = article and not above.article and (tag == "main" or not above.others)  # the page's own, whatever it stands in
         if block:
             above.children.append(f"{tag}.{classes}")
-        stack.append(Element(tag, f"{above.path}/{tag}.{classes}", above.dropped or never, above.article or tag in ARTICLE or "main" in words, block))
+        stack.append(Element(tag, f"{above.path}/{tag}.{classes}", above.dropped or never, (0 if own else above.named) + named,
+                             above.others or named and bool(words & OTHERS), above.article or article, block))
     flush()
+    least = min((e.named for e, _ in blocks), default=0)
+    blocks = [(e, t) for e, t in blocks if e.named == least]
     if any(e.article for e, _ in blocks):
         blocks = [(e, t) for e, t in blocks if e.article]
     styles = {e.path: " ".join(e.children) for e, _ in blocks}

@@ -37,6 +37,20 @@ def test_blocks_of_a_page(html, want):
     assert "\n\n".join(t for _, t in html_text.parsed(html)[1]) == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<div class='content-sidebar-wrap'><article><p>x</p></article></div><p>out</p>", "x"),
+    ("<form id='aspnetForm'><div><p>x</p><div class='ad'>buy</div></div></form>", "x"),
+    ("<form id='aspnetForm'><nav>menu</nav><main><p>x</p><form><p>search</p></form></main></form><p>out</p>", "x"),
+    ("<div class='widget'><article><p>x</p></article></div><p>out</p>", "x"),
+    ("<p>x</p><div class='comments'><article><p>nice</p></article></div>", "x"),
+    ("<article><p>a</p><section class='comments'><article><p>nice</p></article></section></article>", "a"),
+    ("<article><h2 id='related-work'>Related</h2><section id='social-history'><p class='notice'>n</p></section>"
+     "<table class='comment-stats'><tr><td>7</table><div class='ad'>buy</div></article>", "Related\n\nn\n\n7"),
+])
+def test_names_are_whole_and_leave_the_article(html, want):
+    assert "\n\n".join(t for _, t in html_text.parsed(html)[1]) == want
+
+
 def plain_templates(pages, importance, share, least):
     """The importance of each block of a site by its definition, from the parsed pages."""
     import math
