@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscope.llm import chat, decontaminate, html_text, line_dedup, phrases, pieces, quality_rules, sharding, simhash, toxicity, url_filter
+from tabscope.llm import chat, decontaminate, html_text, line_dedup, phrases, pieces, quality_rules, quality_trees, sharding, simhash, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,3 +192,9 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) JOIN totals USING (lang) WHERE rank <= 2000""")
 def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
+@query("op13_quality_classifier")
+def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    return quality_trees.scored(documents, labels.select("doc_id", "quality")).drop("text")
