@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscope.llm import chat, decontaminate, html_text, line_dedup, phrases, pieces, quality_rules, quality_trees, sharding, simhash, toxicity, url_filter
+from tabscope.llm import chat, decontaminate, html_text, line_dedup, phrases, pieces, quality_rules, quality_trees, repair, sharding, simhash, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -198,3 +198,90 @@ def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
 def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     documents, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
     return quality_trees.scored(documents, labels.select("doc_id", "quality")).drop("text")
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with one row in twenty dropped, emptied, without its sentence marks, repeated, or called user's."""
+    def part(name: str):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    rows = turns.select("conv_id", "turn", part("role").alias("role"), part("text").alias("text"),
+                        F.pmod(F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn")).cast("binary")), F.lit(20)).alias("damage"))
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.when(F.col("damage") == 3, 2).otherwise(1)
+    return rows.where("damage <> 0").select(
+        "conv_id", "turn", F.when(F.col("damage") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.sequence(F.lit(1), times)).alias("time")).drop("time")
+
+
+@query("op12_conversation_repair", r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, x: CASE WHEN (c & 1) = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(n))
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, t,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT) AS codes
+  FROM conversations, crc_table
+), marked AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295, codes),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS damage FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE damage WHEN 3 THEN 2 ELSE 1 END)) AS again FROM marked WHERE damage <> 0
+), placed AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id) AS c, conv_id, turn, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), faults AS (
+  SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS seen, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut_off, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS before FROM placed
+), symbols AS (
+  SELECT *, blank OR seen AS gone, CASE WHEN cut_off THEN 5 ELSE 0 END AS extra FROM faults
+), counts AS (
+  SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (NOT blank AND seen) AS duplicate, count(*) FILTER (NOT gone AND cut_off) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM symbols GROUP BY c
+), back(c, i, w0, w1, w2, w3) AS (
+  SELECT c, n, {'v': 0, 's': ''}, {'v': 10, 's': 'II'}, {'v': 5, 's': 'I'}, {'v': 0, 's': ''} FROM counts
+  UNION ALL
+  SELECT c, i, list_min([p0, {'v': p2.v + 5, 's': 'I' || p2.s}, {'v': p3.v + 10, 's': 'II' || p3.s}]),
+         list_min([p1, {'v': p2.v + 5, 's': 'I' || p2.s}, {'v': p3.v + 10, 's': 'II' || p3.s}]),
+         list_min([p2, {'v': p3.v + 5, 's': 'I' || p3.s}]), list_min([p3, {'v': p2.v + 5, 's': 'I' || p2.s}])
+  FROM (
+    SELECT b.c, b.i - 1 AS i,
+      list_min([{'v': 2 + w0.v, 's': 'D' || w0.s}, {'v': CASE WHEN gone THEN 99 ELSE 1 END + extra + w2.v, 's': 'R' || w2.s},
+                {'v': CASE WHEN gone OR initial <> 's' THEN 99 ELSE 0 END + extra + w1.v, 's': 'K' || w1.s},
+                {'v': CASE WHEN gone OR initial <> 'u' THEN 99 ELSE 0 END + extra + w2.v, 's': 'K' || w2.s}]) AS p0,
+      list_min([{'v': 2 + w1.v, 's': 'D' || w1.s}, {'v': CASE WHEN gone THEN 99 ELSE 1 END + extra + w2.v, 's': 'R' || w2.s},
+                {'v': CASE WHEN gone OR initial <> 'u' THEN 99 ELSE 0 END + extra + w2.v, 's': 'K' || w2.s}]) AS p1,
+      list_min([{'v': 2 + w2.v, 's': 'D' || w2.s}, {'v': CASE WHEN gone THEN 99 ELSE 1 END + extra + w3.v, 's': 'R' || w3.s},
+                {'v': CASE WHEN gone OR initial <> 'a' THEN 99 ELSE 0 END + extra + w3.v, 's': 'K' || w3.s}]) AS p2,
+      list_min([{'v': 2 + w3.v, 's': 'D' || w3.s}, {'v': CASE WHEN gone THEN 99 ELSE 1 END + extra + w2.v, 's': 'R' || w2.s},
+                {'v': CASE WHEN gone OR initial <> 'u' THEN 99 ELSE 0 END + extra + w2.v, 's': 'K' || w2.s}]) AS p3
+    FROM back b JOIN symbols s ON b.c = s.c AND b.i = s.i)
+), audits AS (
+  SELECT c, w0.v AS cost, w0.s AS audit FROM back WHERE i = 0
+), letters AS (
+  SELECT c, k, substr(audit, k, 1) AS letter FROM (SELECT c, audit, unnest(range(1, length(audit) + 1)) AS k FROM audits)
+), aligned AS (
+  SELECT c, k, letter, count(*) FILTER (letter <> 'I') OVER (PARTITION BY c ORDER BY k) AS i,
+         count(*) FILTER (letter <> 'D') OVER (PARTITION BY c ORDER BY k) AS place FROM letters
+), turns AS (
+  SELECT a.c, k, letter, place, CASE letter WHEN 'I' THEN '' ELSE text END AS text, role,
+         coalesce(bool_or(place = 1 AND letter = 'K' AND initial = 's') OVER (PARTITION BY a.c), false) AS system
+  FROM aligned a LEFT JOIN symbols s ON a.c = s.c AND a.i = s.i WHERE letter <> 'D'
+), repaired AS (
+  SELECT c, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - system::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS turns
+  FROM turns GROUP BY c
+)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(turns, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM d.conv_id
+  LEFT JOIN audits a ON a.c = n.c LEFT JOIN repaired r ON r.c = n.c""")
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.Repair(damaged(turns))
+    every = turns.select("conv_id").distinct().withColumn("conv", F.to_json(F.struct(F.col("conv_id").alias("id"))))
+    zero = [F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found.counts(), "conv", "left").join(found.audits(), "conv", "left").select(
+        "conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
