@@ -89,6 +89,56 @@ def correlation_p_values(spark, folder):
     return rounded(correlation.correlation_pairs(derived(spark, folder, "supplier", _TAILS)))
 
 
+#: Thirty columns, all but the first few with gaps of their own.
+GAPPED = [f"case when (l_orderkey + l_linenumber * {i + 1}) % {9 - i % 7} <> {i % 2} or {i} < 4 then l_quantity * {i % 5} + (l_partkey * {i + 3}) % {11 + 2 * i} "
+          f"+ l_extendedprice * {i % 3} / 1000 end as g{i:02d}" for i in range(30)]
+
+
+@query("correlation_pearson_gaps", f"WITH d AS ({sql('lineitem', GAPPED)}), p AS ({pearson_sql('d', names(GAPPED))}) {labelled('p')}")
+def correlation_pearson_gaps(spark, folder):
+    """All pairs of thirty columns with gaps, from one scan of products."""
+    return rounded(correlation.correlation_pairs(derived(spark, folder, "lineitem", GAPPED), with_p=False).drop("p_value"))
+
+
+#: Ten columns of some ten to a hundred values, with gaps and ties.
+TIED = [f"case when (l_orderkey + {i}) % {4 + i} > 0 then (l_quantity * {1 + i % 3} + l_linenumber * {i} + l_partkey % {3 + i}) % {12 + 9 * i} end as t{i}" for i in range(10)]
+
+
+@query("correlation_spearman_gaps", f"WITH d AS ({sql('lineitem', TIED)}), p AS ({spearman_sql('d', names(TIED))}) {labelled('p')}")
+def correlation_spearman_gaps(spark, folder):
+    """Ranks within the rows of each pair."""
+    return rounded(correlation.correlation_pairs(derived(spark, folder, "lineitem", TIED), method="spearman", with_p=False).drop("p_value"))
+
+
+@query("correlation_kendall_gaps", f"WITH d AS ({sql('lineitem', TIED)}), p AS ({kendall_sql('d', names(TIED))}) {labelled('p')}")
+def correlation_kendall_gaps(spark, folder):
+    """Discordant pairs of all pairs of ten columns together."""
+    return rounded(correlation.correlation_pairs(derived(spark, folder, "lineitem", TIED), method="kendall", with_p=False).drop("p_value"))
+
+
+_NATIONS = "SELECT avg(c_acctbal) AS mean, max(c_acctbal) AS high, sum(c_acctbal * c_custkey) AS mixed, min(c_custkey + c_acctbal) AS low FROM customer GROUP BY c_nationkey"
+_NATION_NAMES = ["mean", "high", "mixed", "low"]
+
+
+@query("kendall_exact_p_values", f"""WITH RECURSIVE d AS ({_NATIONS}), orders(size, ways) AS (
+  SELECT 1, [1.0::DOUBLE] UNION ALL
+  SELECT size + 1, list_transform(range(0, len(ways) + size), lambda k: list_sum(ways[greatest(1, k - size + 1):least(len(ways), k + 1)])) FROM orders WHERE size < 33
+), counted AS ({union_all(f"SELECT '{a}' AS column_a, '{b}' AS column_b, count(*) FILTER (x.{a} < y.{a} AND x.{b} > y.{b}) AS dis, (SELECT count(*) FROM d) AS n FROM d x, d y" for a, b in combinations(_NATION_NAMES, 2))}
+), told AS (
+  SELECT *, least(dis, n * (n - 1) / 2 - dis)::BIGINT AS fewest, 1 - 4 * dis / (n * (n - 1)) AS r FROM counted
+)
+SELECT column_a, column_b, {rnd('r')} AS r, n AS n_observations,
+  {rnd('CASE WHEN 4 * fewest = n * (n - 1) THEN 1.0 ELSE least(1.0, 2 * list_sum(ways[1:fewest + 1]) / list_sum(ways)) END')} AS p_value
+FROM told JOIN orders ON size = n""")
+def kendall_exact_p_values(spark, folder):
+    """Kendall's tau between a few numbers of each nation's customers, none of them tied: p-values by counting orders."""
+    customer = table(spark, folder, "customer")
+    nations = customer.groupBy("c_nationkey").agg(
+        F.avg("c_acctbal").alias("mean"), F.max("c_acctbal").alias("high"), F.sum(F.col("c_acctbal") * F.col("c_custkey")).alias("mixed"),
+        F.min(F.col("c_custkey") + F.col("c_acctbal")).alias("low")).drop("c_nationkey")
+    return rounded(correlation.correlation_pairs(nations, _NATION_NAMES, "kendall")).select("column_a", "column_b", "r", "n_observations", "p_value")
+
+
 @query("correlation_strong_pairs", f"""{WITH}, p AS ({pearson_sql('d', WIDE)})
 SELECT pair_set, column_a, column_b, {rnd('r')} AS r, {rnd('abs(r)')} AS abs_r, n AS n_observations FROM (
   SELECT 'strong_positive' AS pair_set, * FROM p WHERE r >= 0.7 UNION ALL SELECT 'strong_negative', * FROM p WHERE r <= -0.7

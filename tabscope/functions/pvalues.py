@@ -7,6 +7,9 @@ from __future__ import annotations
 
 import math
 import sys
+from fractions import Fraction
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F, types as T
 # executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+EXACT_ROWS = 33  # rows up to which Kendall's tau without ties has its exact distribution
 NORMAL_FROM = 1_000_000  # degrees of freedom beyond which Student's t is taken as normal
 
 
@@ -86,6 +90,33 @@ def correlation_p(r: float, n: int) -> float | None:
     return min(1.0, regularized_beta(left, (n - 2) / 2.0, 0.5))
 
 
+@lru_cache(maxsize=64)
+def orders_by_discordance(n: int) -> tuple[int, ...]:
+    """How many orders of n things have at most 0, 1, 2 ... discordant pairs."""
+    ways = [1]
+    for size in range(2, n + 1):
+        # the thing put in last stands behind 0 to size - 1 of those it should precede
+        longer = [0] * (len(ways) + size - 1)
+        for shift in range(size):
+            for k, w in enumerate(ways):
+                longer[k + shift] += w
+        ways = longer
+    return tuple(accumulate(ways))
+
+
+def kendall_p(discordant: int, n: int) -> float | None:
+    """Two-sided p-value of Kendall's tau without ties, by counting the orders that are as far from chance."""
+    if n < 2:
+        return None
+    total = n * (n - 1) // 2
+    fewest = min(discordant, total - discordant)
+    if 2 * fewest == total:
+        return 1.0
+    # one order has no discordant pair, n - 1 have one
+    orders = (1, n)[fewest] if fewest < 2 else orders_by_discordance(n)[fewest]
+    return min(1.0, float(Fraction(2 * orders, math.factorial(n)))) if n <= 1000 else 0.0
+
+
 def chi_square_p(statistic: float, dof: int) -> float:
     """Upper tail of the chi-square distribution."""
     return 1.0 if dof <= 0 else min(1.0, upper_gamma(dof / 2.0, statistic / 2.0))
@@ -101,6 +132,12 @@ def normal_p_value(z: pd.Series) -> pd.Series:
     return pd.Series([math.erfc(abs(v) / math.sqrt(2.0)) for v in z], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def kendall_p_value(discordant: pd.Series, n: pd.Series) -> pd.Series:
+    """None where the number of discordant pairs is not given."""
+    return pd.Series([None if pd.isna(d) else kendall_p(int(d), int(m)) for d, m in zip(discordant, n)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def chi_square_p_value(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi_square_p(a, b) for a, b in zip(statistic, dof)], dtype="float64")

@@ -195,7 +195,7 @@ def with_percentile_rank(df: DataFrame, column: str, out: str, *, source: DataFr
                          settings: Settings = DEFAULT) -> DataFrame:
     """Add the average rank of a column as a percentage of the number of values."""
     table = df if source is None else source
-    ranked = average_ranks(table, col(column), settings)
+    ranked = average_ranks(table, col(column))
     total = table.agg(F.count(col(column))).first()[0]
     lookup = ranked.select("value", "n", (F.col("rank") / F.lit(total) * 100).alias(out))
     return attach(df, column, lookup, out)

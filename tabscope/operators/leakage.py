@@ -16,7 +16,8 @@ from tabscope.operators.correlation import spearman
 from tabscope.operators.profile import column_roles, is_number_text, text_probe
 from tabscope.plans.counts import distinct_counts, value_counts
 from tabscope.plans.facts import number_facts
-from tabscope.plans.running import running_totals
+from tabscope.plans.running import grouped_totals, long_counts
+from tabscope.plans.stored import stored
 from tabscope.settings import DEFAULT, Settings
 
 SIGNAL_SCHEMA = ("column string, signal string, severity string, reasoning string, recommendation string, "
@@ -223,23 +224,15 @@ def separation(df: DataFrame, target: str, *, settings: Settings = DEFAULT,
             F.sum(F.greatest(F.col("pos"), F.col("n") - F.col("pos"))).alias("right"))
             .where(F.col("levels") <= s.separation_levels)
             .select(label.alias("column"), (F.col("right") / F.col("n")).alias("accuracy"), "n"))
-    if numbers and rows <= s.small_group_rows:
-        w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        cumulated = long(numbers).select("feature", "n", "pos", F.sum("n").over(w).alias("upto_n"),
-                                         F.sum("pos").over(w).alias("upto_pos"))
-        totals = cumulated.groupBy("feature").agg(F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"))
-        parts.append(cumulated.join(F.broadcast(totals), "feature").groupBy("feature").agg(
+    if numbers:
+        columns = [f"f{place[f.name]}" for f in numbers]
+        counts = stored(long_counts(labelled, columns, F.sum("pos").alias("pos")), "separation-counts")
+        totals = counts.groupBy("feature").agg(F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"))
+        names = F.array(*[F.lit(f.name) for f in numbers])
+        # one row per feature
+        parts.append(grouped_totals(counts, ["feature"], "value", ["n", "pos"]).join(F.broadcast(totals), "feature").groupBy("feature").agg(
             F.max(_accuracy()).alias("accuracy"), F.max("all_n").alias("n"))
-            .select(label.alias("column"), "accuracy", "n"))
-    elif numbers:
-        for f in numbers:
-            counts = (labelled.select(F.col(f"f{place[f.name]}").alias("value"), "pos").where("value is not null")
-                      .groupBy("value").agg(F.count("*").alias("n"), F.sum("pos").alias("pos")))
-            all_n, all_pos = counts.agg(F.sum("n"), F.sum("pos")).first()
-            parts.append(running_totals(counts, "value", ["n", "pos"], s)
-                         .withColumn("all_n", F.lit(all_n)).withColumn("all_pos", F.lit(all_pos))
-                         .agg(F.max(_accuracy()).alias("accuracy"), F.max("all_n").alias("n"))
-                         .select(F.lit(f.name).alias("column"), "accuracy", "n"))
+            .select(F.element_at(names, F.col("feature") + 1).alias("column"), "accuracy", "n"))
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]

@@ -46,11 +46,11 @@ def cleanup(spark: SparkSession) -> int:
     return n
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and read it back."""
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once and read it back; ``by``: in a folder for each value of a column of few, read alone where only that is asked for."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -117,6 +117,8 @@ class Settings:
 
     # scale switches: below these sizes a single task may hold a whole group
     small_group_rows: int = 2_000_000
+    # distinct value pairs that a task holds when discordant pairs are counted
+    inversion_block: int = 1 << 18
     # aggregation buffer fields per scan: beyond 100 Spark gives up whole-stage code generation
     fields_per_pass: int = 96
 

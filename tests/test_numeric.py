@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabscope.operators import categorical, numeric, outliers, profile
 from tabscope.plans.quantiles import exact_quantiles
-from tabscope.plans.running import running_totals, with_rank
+from tabscope.plans.running import grouped_totals, with_rank
 from tabscope.settings import Settings
 
 
@@ -61,18 +61,28 @@ def test_quantiles_with_a_third_of_all_rows_at_one_value(spark, scaled):
     assert got == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.99])))
 
 
-def test_running_totals_over_ranges(spark, scaled):
+def test_running_totals_over_ranges(spark):
     df = spark.range(50).select(F.col("id").cast("double").alias("v"), (F.col("id") % 4 + 1).alias("n"))
     want = np.cumsum(np.arange(50) % 4 + 1)
-    got = rows(running_totals(df, "v", ["n"], scaled), "v")
+    got = rows(grouped_totals(df, [], "v", ["n"]), "v")
     assert [got[float(i)]["upto_n"] for i in range(50)] == list(want)
 
 
-@pytest.mark.parametrize("limits", [Settings(), Settings(small_group_rows=7)])
-def test_average_ranks(spark, limits):
+def test_running_totals_by_group(spark):
+    """One group holds most rows, some hold one; all share one range partitioning."""
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": np.where(rng.random(3000) < 0.6, 0, rng.integers(1, 300, 3000)), "v": rng.permutation(3000).astype(float),
+                        "n": rng.integers(1, 9, 3000)})
+    want = pdf.sort_values("v").assign(upto=lambda d: d.groupby("g")["n"].cumsum()).set_index(["g", "v"])["upto"]
+    totals = grouped_totals(spark.createDataFrame(pdf), ["g"], "v", ["n"])
+    assert {(r["g"], r["v"]): r["upto_n"] for r in rows(totals)} == want.to_dict()
+    assert grouped_totals(spark.createDataFrame(pdf).limit(0), ["g"], "v", ["n"]).count() == 0
+
+
+def test_average_ranks(spark):
     values = pd.Series([4, 4, 4, 4, 1, 2, 2, 9, 8, 7, 6, None, 11, 12, 4], dtype=float)
     df = spark.createDataFrame([(i, None if pd.isna(v) else v) for i, v in enumerate(values)], "i int, x double")
-    got = rows(with_rank(df, F.col("x"), "r", limits), "i")
+    got = rows(with_rank(df, F.col("x"), "r"), "i")
     assert len(got) == len(values)
     assert [got[i]["r"] for i in range(len(values))] == [None if pd.isna(r) else r for r in values.rank()]
 

@@ -29,11 +29,10 @@ def table(spark):
 
 
 @pytest.mark.parametrize("method", ["pearson", "spearman"])
-@pytest.mark.parametrize("limits", [Settings(), Settings(small_group_rows=7)])
-def test_matches_pandas(table, method, limits):
+def test_matches_pandas(table, method):
     pdf, df = table
     want = pdf.corr(method=method)
-    got = pair_values(correlation.correlation_pairs(df, method=method, settings=limits, with_p=False))
+    got = pair_values(correlation.correlation_pairs(df, method=method, with_p=False))
     assert len(got) == 6 and not any("flat" in k for k in got)
     for (a, b), r in got.items():
         assert r["r"] == pytest.approx(want.loc[a, b], abs=1e-12)
@@ -47,7 +46,7 @@ def brute_tau(a, b):
     return s.sum() / 2 / math.sqrt((pairs - ties[0]) * (pairs - ties[1]))
 
 
-@pytest.mark.parametrize("limits", [Settings(), Settings(small_group_rows=7)])
+@pytest.mark.parametrize("limits", [Settings(), Settings(inversion_block=7), Settings(inversion_block=1)])
 def test_kendall_matches_brute_force(spark, table, limits):
     pdf, _ = table
     df = spark.createDataFrame(pdf[["x", "y"]])
@@ -55,6 +54,91 @@ def test_kendall_matches_brute_force(spark, table, limits):
     assert got["r"] == pytest.approx(brute_tau(pdf["x"].to_numpy(), pdf["y"].to_numpy()), abs=1e-12)
 
 
+@pytest.fixture(scope="module")
+def gaps(spark):
+    """Ten columns with gaps, ties and one value in a third of the rows."""
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=400)
+    pdf = pd.DataFrame({f"c{i}": np.round(base * i + rng.normal(size=400) * 3, i % 4) for i in range(10)})
+    pdf.loc[rng.random(400) < 0.35, "c2"] = 1.5
+    for i in range(1, 10):
+        pdf.loc[rng.random(400) < i / 20, f"c{i}"] = np.nan
+    return pdf, spark.createDataFrame(pdf)
+
+
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_many_columns_with_gaps(gaps, method):
+    pdf, df = gaps
+    want = pdf.corr(method=method)
+    got = pair_values(correlation.correlation_pairs(df, method=method, with_p=False))
+    assert len(got) == 45
+    for (a, b), r in got.items():
+        assert r["r"] == pytest.approx(want.loc[a, b], abs=1e-12)
+        assert r["n_observations"] == len(pdf[[a, b]].dropna())
+
+
+@pytest.mark.parametrize("block", [1 << 18, 60, 9])
+def test_kendall_of_many_columns_with_gaps(gaps, block):
+    pdf, df = gaps
+    got = pair_values(correlation.correlation_pairs(df, method="kendall", settings=Settings(inversion_block=block), with_p=False))
+    assert len(got) == 45
+    for (a, b), r in got.items():
+        own = pdf[[a, b]].dropna().to_numpy()
+        assert r["r"] == pytest.approx(brute_tau(own[:, 0], own[:, 1]), abs=1e-12) and r["n_observations"] == len(own)
+
+
+def test_rank_plans_do_not_grow_with_pairs(gaps):
+    pdf, df = gaps
+    sizes = []
+    for n in (3, 6, 10):
+        table = df.select(*[F.col(f"c{i}").alias(f"v{i}") for i in range(n)]).where("v0 > -100").withColumn("v0", F.when(F.col("v0") > -1, F.col("v0")))
+        table = table.select(*[F.when(~F.isnan(f"v{i}"), F.col(f"v{i}")).alias(f"v{i}") for i in range(n)])
+        pairs = [(0, i) for i in range(1, n)]
+        sizes.append([f(table, pairs)._jdf.queryExecution().optimizedPlan().collectLeaves().size() for f in (correlation.spearman, correlation.kendall)])
+    assert sizes[0] == sizes[1] == sizes[2]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_inversions_match_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    x, y, n = rng.integers(0, 9, 80), rng.integers(0, 5 + 40 * seed, 80).astype(float), rng.integers(1, 6, 80)
+    want = sum(n[i] * n[j] for i in range(80) for j in range(80) if x[i] < x[j] and y[i] > y[j])
+    assert correlation.inversions(x, y, n) == want
+    assert correlation.inversions(x[:0], y[:0], n[:0]) == 0
+
+
+def test_exact_kendall_p_values(spark):
+    from itertools import permutations
+    for n in range(2, 8):
+        discordant = [sum(p[i] > p[j] for i in range(n) for j in range(i + 1, n)) for p in permutations(range(n))]
+        total = n * (n - 1) // 2
+        for d in range(total + 1):
+            fewest = min(d, total - d)
+            want = min(1.0, 2 * sum(x <= fewest for x in discordant) / len(discordant))
+            assert pvalues.kendall_p(d, n) == pytest.approx(want, rel=1e-12)
+    assert pvalues.kendall_p(1, 40) == pytest.approx(2 * 40 / math.factorial(40))
+    assert pvalues.orders_by_discordance(33)[-1] == math.factorial(33)
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame(pd.DataFrame({"x": np.arange(20.0), "y": np.arange(20.0) + rng.normal(size=20) * 4, "tied": np.arange(20.0) // 2}))
+    got = pair_values(correlation.correlation_pairs(df, method="kendall"))
+    tau = got["x", "y"]["r"]
+    assert got["x", "y"]["p_value"] == pytest.approx(pvalues.kendall_p(round((1 - tau) / 2 * 190), 20))
+    assert 0 < got["x", "tied"]["p_value"] < 1e-5
+
+
+def test_distant_values_keep_their_digits(spark):
+    """Columns far from zero, and one that is constant, or nearly, over a pair's rows but not over its own."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=300)
+    step = np.where(np.arange(300) < 150, 0.0, 1e6)
+    pdf = pd.DataFrame({"x": 1e12 + x, "big": 1e150 * (x + rng.normal(size=300)), "step": step, "slope": step + np.where(np.arange(300) < 150, x, 0.0) * 1e-3})
+    pdf["half"] = np.where(np.arange(300) < 150, x + rng.normal(size=300), np.nan)
+    got = pair_values(correlation.correlation_pairs(spark.createDataFrame(pdf), with_p=False))
+    assert got["x", "big"]["r"] == pytest.approx(np.corrcoef(x, pdf["big"] / 1e150)[0, 1], abs=1e-3)
+    assert ("step", "half") not in got and ("half", "step") not in got
+    assert got["slope", "half"]["r"] == pytest.approx(np.corrcoef(x[:150], pdf["half"][:150])[0, 1], abs=1e-6)
+
+
 def test_many_full_columns_take_the_matrix_path(spark):
     pdf = pd.DataFrame(np.random.default_rng(6).normal(size=(60, 6)), columns=list("abcdef"))
     pdf.loc[3, "f"] = np.nan
@@ -115,6 +199,6 @@ def test_rank_plans_grow_by_one_scan_per_column(spark):
     scans = []
     for n in (2, 4, 6):
         table = df.select(*[F.col(c).alias(f"v{i}") for i, c in enumerate("abcdef"[:n])])
-        ranked = with_ranks(table, table, {f"v{i}": f"r{i}" for i in range(n)}, Settings(small_group_rows=7))
+        ranked = with_ranks(table, table, {f"v{i}": f"r{i}" for i in range(n)})
         scans.append(ranked._jdf.queryExecution().optimizedPlan().collectLeaves().size())
     assert scans == [3, 5, 7]
