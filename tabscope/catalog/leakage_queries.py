@@ -6,6 +6,7 @@ from tabscope import settings as S
 from tabscope.catalog import query, rnd, rounded, sql_list, union_all
 from tabscope.catalog.derived import LABELLED_ORDERS, derived, names, sql
 from tabscope.operators import leakage
+from tabscope.settings import Settings
 
 WITH = f"WITH d AS ({sql('orders', LABELLED_ORDERS)})"
 COLUMNS = names(LABELLED_ORDERS)
@@ -153,6 +154,19 @@ def separation_levels(spark, folder):
     return leakage.separation_levels(labelled(spark, folder), "is_big")
 
 
+#: A feature of 300 levels, one of 250 that gives the target away, and one whose values hardly repeat.
+_ANY = ["CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END as is_big", "cast(o_custkey * 7 % 300 as varchar(9)) as plain",
+        "cast(cast(case when o_totalprice > 150000 then 1000 else 0 end + o_custkey % 250 as bigint) as varchar(9)) as telling", "cast(o_orderkey as varchar(20)) as own"]
+
+
+@query("separation_any_levels", f"""WITH d AS ({sql('orders', _ANY)}), s AS ({union_all(
+    f"""SELECT '{c}' AS "column", sum(greatest(p, n - p)) / sum(n) AS accuracy, sum(n)::BIGINT AS n FROM (SELECT {c}, count(*) AS n, sum(is_big) AS p
+    FROM d WHERE {c} IS NOT NULL GROUP BY {c}) x HAVING 2 * count(*) <= sum(n)""" for c in names(_ANY)[1:])})
+SELECT "column", {rnd('accuracy')} AS accuracy, n FROM s""")
+def separation_any_levels(spark, folder):
+    return rounded(leakage.separation(derived(spark, folder, "orders", _ANY), "is_big", settings=Settings(separation_levels=None)))
+
+
 @query("leakage_signals", f"""{WITH}, f AS ({FACTS}), every AS (
   SELECT "column", signal, severity, confidence FROM ({IDENTIFIER}) a
   UNION ALL SELECT CASE WHEN column_b = 'is_big' THEN column_a ELSE column_b END,

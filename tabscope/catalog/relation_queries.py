@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tabscope.catalog import query, rnd, rounded, table, union_all
 from tabscope.catalog.derived import WIDE_LINEITEM, derived, names, sql
-from tabscope.operators import association, correlation, outliers
+from tabscope.operators import association, correlation, findings, leakage, outliers
+from tabscope.settings import Settings
 
 WIDE = names(WIDE_LINEITEM)
 WITH = f"WITH d AS ({sql('lineitem', WIDE_LINEITEM)})"
@@ -238,6 +239,42 @@ def associations_many_columns(spark, folder):
     return rounded(association.associations(derived(spark, folder, "lineitem", MANY)).drop("p_value"), 4)
 
 
+#: Columns of 4, 45, 200 and nearly as many levels as rows, two of them with gaps.
+ANY = ["cast(l_linenumber % 4 as varchar(9)) as few", "cast((l_partkey * 7 + l_linenumber) % 45 as varchar(9)) as more",
+       "case when l_quantity > 3 then cast((l_orderkey * 3 + l_partkey) % 200 as varchar(9)) end as many",
+       "case when l_tax > 0 then cast((l_orderkey + l_linenumber) % 90 as varchar(9)) end as related", "cast(l_orderkey * 10 + l_linenumber as varchar(20)) as own"]
+_ANY = names(ANY)[:-1]
+ANY_LEVELS = Settings(association_levels=None)
+
+
+@query("associations_any_levels", f"""WITH d AS ({sql('lineitem', ANY)}), t AS ({association_sql('d', _ANY)})
+SELECT column_a, column_b, {rnd(V, 4)} AS cramers_v, n AS n_observations, lr AS levels_a, lk AS levels_b,
+  ((lr - 1) * (lk - 1))::BIGINT AS dof FROM t""")
+def associations_any_levels(spark, folder):
+    """Columns of any number of levels; only the nearly distinct one is left out."""
+    found = association.associations(derived(spark, folder, "lineitem", ANY), names(ANY), settings=ANY_LEVELS)
+    return rounded(found.drop("p_value"), 4)
+
+
+@query("findings_left_out", f"""WITH d AS ({sql('lineitem', ANY)}), o AS ({sql('orders', ["o_orderstatus", "o_orderpriority", "cast(o_custkey as varchar(20)) as customer", "case when o_totalprice > 150000 then 1 else 0 end as is_big"])}),
+a AS ({union_all(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS n FROM d" for c in names(ANY))}),
+s AS ({union_all(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS n FROM o" for c in ('o_orderstatus', 'o_orderpriority', 'customer'))}),
+w AS (SELECT 'associations' AS category, 'categorical column(s) not compared' AS title, name, n, 'more than 40 levels' AS reason,
+        'Group rare levels first if these columns matter.' AS recommendation FROM a WHERE n > 40
+  UNION ALL SELECT 'leakage', 'text feature(s) not tested for separation', name, n, 'more than 200 levels',
+        'Check by hand whether their values give the target away.' FROM s WHERE n > 200)
+SELECT category, count(*)::VARCHAR || ' ' || title AS title, string_agg(name || ' (' || reason || ')', ', ' ORDER BY name) || '.' AS detail,
+  'info' AS severity, '{{"columns":[' || string_agg('{{"column":"' || name || '","n_unique":' || n || ',"reason":"' || reason || '"}}', ',' ORDER BY name) || ']}}' AS evidence,
+  recommendation FROM w GROUP BY category, title, recommendation""")
+def findings_left_out(spark, folder):
+    """What a whole run says about columns it could not compare for their levels."""
+    columns = association.association_levels(derived(spark, folder, "lineitem", ANY), names(ANY))
+    orders = derived(spark, folder, "orders", ["o_orderstatus", "o_orderpriority", "cast(o_custkey as varchar(20)) as customer",
+                                               "case when o_totalprice > 150000 then 1 else 0 end as is_big"])
+    found = findings.left_out_findings(columns, leakage.separation_levels(orders, "is_big"))
+    return found.select("category", "title", "detail", "severity", "evidence", "recommendation")
+
+
 @query("association_levels", f"""WITH d AS ({sql('lineitem', LEVELS)}) """ + union_all(
     f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_unique, count(DISTINCT {c}) BETWEEN 2 AND 40 AS available,
   CASE WHEN count(DISTINCT {c}) < 2 THEN 'fewer than two levels' WHEN count(DISTINCT {c}) > 40 THEN 'more than 40 levels' ELSE '' END AS reason

@@ -278,7 +278,7 @@ def correlation_findings(pairs: DataFrame, n_eligible: int, method: str, *, sett
         return group.select(*finding(
             "correlations", F.concat(F.size("items").cast("string"), F.lit(f" {title}")),
             F.concat(named(F.col("items"), fmt), F.lit(".")), severity,
-            F.struct(F.transform(F.slice("items", 1, 5), lambda x: x.dropFields("neg")).alias("pairs")), advice, seq))
+            F.struct(F.transform("items", lambda x: x.dropFields("neg")).alias("pairs")), advice, seq))
     top = pairs.agg(F.max("abs_r").alias("max_abs_r"), F.count("*").alias("n"))
     quiet = top.where((c("n") == 0) | (c("max_abs_r") < s.r_weak)).select(*finding(
         "correlations", F.when(c("n") == 0, F.lit("No pair could be compared")).otherwise(F.lit("No notable correlation")),
@@ -311,10 +311,26 @@ def association_findings(associations: DataFrame, *, settings: Settings = DEFAUL
     return group.select(*finding(
         "associations", F.concat(F.size("items").cast("string"), F.lit(" strongly associated categorical pair(s)")),
         F.concat(text, F.lit(".")), F.when(c("very") > 0, F.lit("moderate")).otherwise(F.lit("low")),
-        F.struct(F.transform(F.slice("items", 1, 5), lambda x: x.dropFields("neg")).alias("pairs")),
+        F.struct(F.transform("items", lambda x: x.dropFields("neg")).alias("pairs")),
         "One column of a pair may be derived from the other."))
 
 
+def left_out_findings(associations: DataFrame | None, separation: DataFrame | None) -> DataFrame:
+    """A word on the columns that were not compared for the number of their levels, and why; None: not asked for."""
+    parts = []
+    for levels, category, title, advice, seq in (
+            (associations, "associations", "categorical column(s) not compared", "Group rare levels first if these columns matter.", 2),
+            (separation, "leakage", "text feature(s) not tested for separation", "Check by hand whether their values give the target away.", 90)):
+        if levels is None:
+            continue
+        item = F.struct("column", "n_unique", "reason")
+        group = levels.where("not available").agg(F.array_sort(F.collect_list(item)).alias("columns")).where(F.size("columns") > 0)
+        named = F.array_join(F.transform(F.col("columns"), lambda x: F.format_string("%s (%s)", x["column"], x["reason"])), ", ")
+        parts.append(group.select(*finding(
+            category, F.concat(F.size("columns").cast("string"), F.lit(f" {title}")), F.concat(named, F.lit(".")), "info", F.struct("columns"), advice, seq)))
+    return union(parts)
+
+
 def anomaly_findings(summary: DataFrame, deviations: DataFrame | None, *, settings: Settings = DEFAULT) -> DataFrame:
     c = F.col
     off = summary.where("not available").select(*finding(

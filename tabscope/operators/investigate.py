@@ -93,7 +93,11 @@ def investigate(df: DataFrame, options: Options | None = None) -> Investigation:
         if not o.enable_leakage:
             return {}
         named = fixed(leakage.column_facts(df, settings=s, roles=roles, probe=probe, distinct=distinct))
-        return {"leakage_signals": fixed(leakage.leakage_signals(df, o.leakage_target, settings=s, facts=named))}
+        out = {"leakage_signals": fixed(leakage.leakage_signals(df, o.leakage_target, settings=s, facts=named))}
+        target = leakage.chosen_target(out["leakage_signals"]) if o.leakage_target is None else o.leakage_target
+        if target in df.columns:
+            out["separation_levels"] = fixed(leakage.separation_levels(df, target, settings=s))
+        return out
 
     eligible = correlation.eligible_columns(df, number_columns, facts=facts)
     third = together(
@@ -107,6 +111,8 @@ def investigate(df: DataFrame, options: Options | None = None) -> Investigation:
         sentinels=lambda: fixed(outliers.sentinel_suspects(df, settings=s, rules=rules)),
         correlation_pairs=lambda: fixed(correlation.correlation_pairs(
             df, method=o.correlation_method, settings=s, eligible=eligible)),
+        association_levels=lambda: fixed(association.association_levels(df, label_columns, settings=s, counts=counts) if label_columns else
+                                         spark.createDataFrame([], association.SKIPPED_SCHEMA)),
         associations=lambda: fixed(association.associations(df, label_columns, settings=s, counts=counts) if label_columns else
                                    spark.createDataFrame([], association.ASSOCIATION_SCHEMA)))
     for part in ("numbers", "forest", "leaks"):
@@ -138,6 +144,7 @@ def investigate(df: DataFrame, options: Options | None = None) -> Investigation:
     ]
     if o.enable_leakage:
         parts.append(findings.leakage_findings(t["leakage_signals"]))
+    parts.append(findings.left_out_findings(t["association_levels"], t.get("separation_levels")))
     t["findings"] = fixed(findings.sort_findings(parts))
     n_rows = t["overview"].first()["n_rows"]
     t["recommendations"] = findings.recommendations(t["findings"], n_rows, n_columns, settings=s)

@@ -182,7 +182,8 @@ def separation(df: DataFrame, target: str, *, settings: Settings = DEFAULT,
     """(column, accuracy, n): how well one rule on the column reproduces a two-valued target.
 
     Numeric columns: the best single threshold in either direction, set only between
-    distinct values.  Others: majority class per level, up to 200 levels.
+    distinct values.  Others: majority class per level, up to ``separation_levels`` levels; without that limit, all
+    whose levels stand twice on average.
     """
     s, spark = settings, df.sparkSession
     schema = "column string, accuracy double, n bigint"
@@ -209,7 +210,8 @@ def separation(df: DataFrame, target: str, *, settings: Settings = DEFAULT,
     if facts is not None and known == rows:  # then overall counts are the counts that matter
         levels = {r["column"]: r["n_unique"] for r in facts.select("column", "n_unique").collect()}
     numbers = [f for f in kept if is_number(f)]
-    texts = [f for f in kept if not is_number(f) and levels.get(f.name, 0) <= s.separation_levels]
+    most = s.separation_levels
+    texts = [f for f in kept if not is_number(f) and (most is None or levels.get(f.name, 0) <= most)]
     labelled = df.where(goal.isNotNull()).select(
         positive.cast("long").alias("pos"), *[value[f.name].alias(f"f{i}") for i, f in enumerate(kept)])
     place = {f.name: i for i, f in enumerate(kept)}
@@ -222,7 +224,7 @@ def separation(df: DataFrame, target: str, *, settings: Settings = DEFAULT,
         parts.append(long(texts).groupBy("feature").agg(
             F.count("*").alias("levels"), F.sum("n").alias("n"),
             F.sum(F.greatest(F.col("pos"), F.col("n") - F.col("pos"))).alias("right"))
-            .where(F.col("levels") <= s.separation_levels)
+            .where(2 * F.col("levels") <= F.col("n") if most is None else F.col("levels") <= most)
             .select(label.alias("column"), (F.col("right") / F.col("n")).alias("accuracy"), "n"))
     if numbers:
         columns = [f"f{place[f.name]}" for f in numbers]
@@ -247,10 +249,11 @@ def separation_levels(df: DataFrame, target: str, *, settings: Settings = DEFAUL
     names = [n for n in of_kind(df, "text") if n != target]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, n_unique bigint, available boolean, reason string")
-    many = F.col("n_unique") > settings.separation_levels
+    most = settings.separation_levels
+    many = 2 * F.col("n_unique") > F.col("n_present") if most is None else F.col("n_unique") > most
+    reason = "nearly distinct values" if most is None else f"more than {most} levels"
     return distinct_counts(value_counts(rows, names)).select(
-        "column", "n_unique", (~many).alias("available"),
-        F.when(many, f"more than {settings.separation_levels} levels").otherwise("").alias("reason"))
+        "column", "n_unique", (~many).alias("available"), F.when(many, reason).otherwise("").alias("reason"))
 
 
 def _accuracy() -> Column:
@@ -303,14 +306,18 @@ def outcome_name_signals(facts: DataFrame, target: str | None = None) -> DataFra
         F.to_json(F.struct(every.alias("matched_tokens"), status.alias("status_like"))).alias("evidence"))
 
 
+def chosen_target(signals: DataFrame) -> str | None:
+    """The target that was guessed for want of a given one."""
+    row = signals.where("signal = 'target_selection' and column <> 'n/a'").select("column").first()
+    return row["column"] if row else None
+
+
 def leakage_signals(df: DataFrame, target: str | None = None, *, settings: Settings = DEFAULT,
                     facts: DataFrame | None = None) -> DataFrame:
     """All signals, one per column and kind (the most severe), worst first.
 
     Without a target one is guessed from the names; the choice is the last row.
     """
-    from tabscope.plans.stored import stored
-
     facts = column_facts(df, settings=settings) if facts is None else facts
     guessed, candidates = None, []
     if target is None:

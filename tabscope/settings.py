@@ -60,7 +60,7 @@ class Settings:
     p_value_from: float = 0.0
     v_strong: float = 0.50
     v_very_strong: float = 0.70
-    association_levels: int = 40
+    association_levels: int | None = 40  # None: any number
 
     # categorical
     dominant_share: float = 0.90
@@ -88,7 +88,7 @@ class Settings:
     separation_purity: float = 0.999
     separation_rows: int = 50
     separation_class_rows: int = 5
-    separation_levels: int = 200
+    separation_levels: int | None = 200  # None: any number
     copy_min_rows: int = 10
     copy_min_overlap: float = 0.5
 
