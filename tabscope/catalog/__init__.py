@@ -56,6 +56,6 @@ def sql_list(values) -> str:
 def load() -> None:
     """Import the modules that register queries."""
     from tabscope.catalog import (  # noqa: F401
-        cleaning_queries, distribution_queries, leakage_queries, outlier_queries, quality_queries, relation_queries,
+        cleaning_queries, distribution_queries, leakage_queries, outlier_queries, proof_queries, quality_queries, relation_queries,
         report_queries, text_queries,
     )

@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabscope.functions.columns import banded, col, fields, finite, in_passes, of_kind
 from tabscope.functions.pvalues import EXACT_ROWS, correlation_p_value, kendall_p_value, normal_p_value
@@ -97,12 +97,17 @@ def pearson(table: DataFrame, pairs: Sequence[tuple[int, int]], settings: Settin
     one, two = F.element_at(at, F.col("a") + 1), F.element_at(at, F.col("b") + 1)
     found = fixed(sums.select(
         F.when(F.col("turned"), two).otherwise(one).alias("a"), F.when(F.col("turned"), one).otherwise(two).alias("b"),
-        F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("r"), "n", F.lit(None).cast("double").alias("z"), flat.alias("flat")))
+        _limited(r).alias("r"), "n", F.lit(None).cast("double").alias("z"), flat.alias("flat")))
     again = [(row["a"], row["b"]) for row in found.where("flat").collect()]
     found = found.where("not flat").drop("flat")
     return found.unionByName(_pearson_alone(table, again, settings)) if again else found
 
 
+def _limited(r: Column) -> Column:
+    """Within -1 and 1; NULL where it is not defined, which least and greatest would pass over."""
+    return F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+
+
 def _moments(values: DataFrame, settings: Settings) -> tuple[list[float], list[float]]:
     """Means and deviations of all columns."""
     center, spread = [], []
@@ -124,9 +129,8 @@ def _pearson_alone(table: DataFrame, pairs: Sequence[tuple[int, int]], settings:
         x, y = F.when(both, F.col(f"v{a}")), F.when(both, F.col(f"v{b}"))
         exprs = [F.covar_pop(f"v{a}", f"v{b}").alias(f"c{i}"), F.stddev_pop(x).alias(f"x{i}"), F.stddev_pop(y).alias(f"y{i}")]
         r = F.try_divide(F.col(f"c{i}"), F.col(f"x{i}") * F.col(f"y{i}"))
-        limited = F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
         return [*exprs, F.count_if(both).alias(f"n{i}")], F.struct(
-            F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(r), limited).alias("r"),
+            F.lit(a).alias("a"), F.lit(b).alias("b"), _limited(r).alias("r"),
             F.col(f"n{i}").alias("n"), F.lit(None).cast("double").alias("z"))
 
     return in_passes(table, list(pairs), 11, build, settings.fields_per_pass)
@@ -160,7 +164,7 @@ def spearman(table: DataFrame, pairs: Sequence[tuple[int, int]], settings: Setti
         sums = both.join(F.broadcast(middle), "pair").groupBy("pair").agg(
             F.sum("n").alias("n"), F.sum(weight * x * y).alias("xy"), F.sum(weight * x * x).alias("xx"), F.sum(weight * y * y).alias("yy"))
         r = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
-        parts.append(_of_pair(sums, others).select("a", "b", F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("r"), "n",
+        parts.append(_of_pair(sums, others).select("a", "b", _limited(r).alias("r"), "n",
                                                    F.lit(None).cast("double").alias("z")))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
