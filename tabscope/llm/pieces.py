@@ -4,12 +4,13 @@ Text is segmented by merges from single characters upward, the best-scored adjac
 equals.  Each candidate merge that comes up is skipped for good with probability ``dropout``, decided by a keyed hash
 of the seed, the word, the document id, the word's number in the document and the place of the pair in the word; so a
 seed gives the same segmentation on every run and every executor, and dropout 0 gives the library's own.  Each occurrence
-of a word is segmented by hashes of its own; ``variants`` above 0 would give all of them that many segmentations instead.
+of a word is segmented by hashes of its own.
 
 Words (a run of blanks with what follows) are segmented one by one, which is exact since no piece of the model
-continues from a character into a blank or across a line feed; models with such pieces are refused.  A word's
-segmentations are kept as a tree, in a bounded memory: a node holds what comes out if exactly its candidates are skipped,
-and the merges after the last of these; an occurrence goes on to the child of the first of them that its hashes skip.
+continues from a character into a blank or across a line feed; models with such pieces are refused.  The words of a few
+megabytes of text are numbered, and their segmentations are grown as trees, level by level: a node holds what comes out if
+exactly its candidates are skipped, and the merges after the last of these; an occurrence goes on to the child of the first
+of them that its hashes skip.  The trees end with these megabytes, so that a process holds no more than they need.
 
 Any segmentation decodes to its text: characters without a piece, and a literal block character that the model
 would read as a blank, are written as bytes.  The model file is read by the driver and sent to the tasks.
@@ -21,10 +22,10 @@ encoded whole; input columns called as a result column are replaced; empty table
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
-from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,17 +44,14 @@ LITERAL = ""
 MASK = (1 << 64) - 1
 #: Odd multipliers of the keyed hash.
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
-#: Words longer than this are segmented one by one; segmentations kept, beyond which all are forgotten;
-#: words segmented, and bytes of text encoded, at a time.
-LONG_WORD, KEPT_WORDS, ROUND, SLICE = 48, 400_000, 1 << 13, 1 << 20
+#: Words longer than this are segmented one by one; words segmented, occurrences of words, and bytes of text, at a time.
+LONG_WORD, ROUND, TOGETHER, SLICE = 48, 1 << 13, 1 << 19, 4 << 20
 
 
 class Tree:
     """Segmentations by what is skipped: a word's first node skips nothing, a child one of the merges of its parent too."""
 
     def __init__(self):
-        self.first: dict[str, int] = {}
-        self.child: dict[int, int] = {}  # by node * 64 + number of the merge that is skipped
         self.ids: list[bytes] = []
         self.words: list[str] = []
         self.skips: list[tuple[int, ...]] = []
@@ -85,8 +83,6 @@ class Codec:
     model: bytes
     dropout: float = 0.1
     seed: int = 0
-    variants: int = 8
-    kept: list[dict[str, bytes]] = field(default_factory=list, repr=False)
 
     def __post_init__(self):
         processor = sentencepiece.SentencePieceProcessor(model_proto=self.model)
@@ -110,7 +106,6 @@ class Codec:
         for b, i in enumerate(byte_ids):
             self.bytes_of[i] = bytes([b])
         self.limit = int(self.dropout * (1 << 53))
-        self.kept = [{} for _ in range(self.variants)]
         self.tree = Tree()
         # the same merges as arrays: ids of characters, and of each pair of ids that makes a piece, that piece
         self.char_id = np.full(0x110000, -1, np.int32)
@@ -121,12 +116,30 @@ class Codec:
         for p, i in normal.items():
             self.rank_of[i] = self.rank[p]
         pairs = sorted((normal[p[:k]] * n + normal[p[k:]], i) for p, i in normal.items() for k in range(1, len(p)) if p[:k] in normal and p[k:] in normal)
-        self.pair_key = np.array([k for k, _ in pairs], np.int64)
-        self.pair_piece = np.array([i for _, i in pairs], np.int32)
+        self._hash_pairs(np.array([k for k, _ in pairs], np.int64), np.array([i for _, i in pairs], np.int32))
+
+    def _hash_pairs(self, keys: np.ndarray, pieces: np.ndarray) -> None:
+        """A table of pairs by hash, at most a quarter full; a pair stands in the first free slot from its own on."""
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.pair_shift = np.uint64(64 - bits)
+        self.pair_key, self.pair_piece = np.full(1 << bits, -1, np.int64), np.full(1 << bits, len(self.bytes_of), np.int32)
+        slot = self._slots(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.pair_key[slot[left]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            placed = free[first]
+            self.pair_key[slot[placed]], self.pair_piece[slot[placed]] = keys[placed], pieces[placed]
+            left = np.setdiff1d(left, placed)
+            slot[left] = (slot[left] + 1) & (len(self.pair_key) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * A) >> self.pair_shift).astype(np.int64)
 
-    def word_keys(self, codes: np.ndarray, places: np.ndarray, heads: np.ndarray, variants: np.ndarray) -> np.ndarray:
-        """A hash of each word's characters and their places, keyed by the seed and the word's number."""
-        return self.keyed(self.char_keys(codes, places, heads), variants)
+    def word_keys(self, codes: np.ndarray, places: np.ndarray, heads: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """A hash of each word's characters and their places, keyed by the seed and the occurrence's number."""
+        return self.keyed(self.char_keys(codes, places, heads), numbers)
 
     def char_keys(self, codes: np.ndarray, places: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """A hash of each word's characters and their places."""
@@ -136,7 +149,7 @@ class Codec:
             return np.add.reduceat(own, heads)
 
     def keyed(self, own: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-        """Hashes of words keyed by the seed and a number of each occurrence or variant."""
+        """Hashes of words keyed by the seed and a number of each occurrence."""
         with np.errstate(over="ignore"):
             return own ^ ((numbers.astype(np.uint64) + np.uint64(self.seed & MASK) * B) * D)
 
@@ -149,23 +162,17 @@ class Codec:
 
     def _pieces(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece each pair of ids makes, or one beyond the last."""
-        n = len(self.bytes_of)
-        keys = left.astype(np.int64) * n + right
-        at = np.searchsorted(self.pair_key, keys)
-        at[at == len(self.pair_key)] = 0
-        return np.where(self.pair_key[at] == keys, self.pair_piece[at], n)
-
-    def _learn(self, wanted: list[tuple[str, int]]) -> None:
-        """Segment many words at once, each by its variant."""
-        words = [w for w, _ in wanted]
-        codes, places, heads = self._characters(words)
-        keys = self.word_keys(codes, places, heads, np.array([v for _, v in wanted]))
-
-        def skip(of, start, middle, stop):
-            return self.skipped(keys[of], *(x.astype(np.uint64) for x in (start, middle, stop)))
-
-        for (word, variant), ids in zip(wanted, self._merged(words, codes, places, skip), strict=True):
-            self.kept[variant][word] = ids
+        keys = left.astype(np.int64) * len(self.bytes_of) + right
+        slot = self._slots(keys)
+        found = self.pair_key[slot]
+        out = self.pair_piece[slot]
+        other = np.flatnonzero((found != keys) & (found >= 0))
+        while len(other):  # another pair's slot
+            slot[other] = (slot[other] + 1) & (len(self.pair_key) - 1)
+            found = self.pair_key[slot[other]]
+            out[other] = self.pair_piece[slot[other]]
+            other = other[(found != keys[other]) & (found >= 0)]
+        return out
 
     def _grow(self, words: list[str], skips: list[tuple[int, ...]]) -> range:
         """Add nodes to the tree: each word segmented with exactly the given merges skipped."""
@@ -284,38 +291,38 @@ class Codec:
         known, strange = np.frombuffer(ids, np.int32).tolist(), (c for c in word if self.char_id[ord(c)] < 0)
         return np.array([x for i in known for x in ([i] if i >= 0 else [self.byte_ids[b] for b in next(strange).encode()])], np.int32).tobytes()
 
-    def _nodes(self, known: dict, names: list, words, skips, numbers: np.ndarray, places: np.ndarray, ids: dict[int, bytes]) -> np.ndarray:
-        """Nodes by name; new ones that are asked for once are tried with the occurrence itself, whose ids go to ``ids`` if it skips more."""
-        found = list(map(known.get, names))
-        if None in found:
-            missing = [i for i, x in enumerate(found) if x is None]
-            times = Counter([names[i] for i in missing])
-            often = [x for x, n in times.items() if n > 1]
-            if often:
-                known.update(zip(often, self._grow(list(map(words, often)), list(map(skips, often))), strict=True))
-            once = []
-            for i in missing:
-                if times[names[i]] == 1:
-                    once.append(i)
-                else:
-                    found[i] = known[names[i]]
-            if once:
-                made, nodes = self._try([words(names[i]) for i in once], [skips(names[i]) for i in once], numbers[once])
-                for at, i in enumerate(once):
-                    if at in nodes:
-                        found[i] = known[names[i]] = nodes[at]
-                    else:
-                        found[i] = -1
-                        ids[int(places[i])] = made[at]
-        return np.array(found, np.int64)
+    def _nodes(self, of: np.ndarray, times: np.ndarray, words, skips, numbers: np.ndarray, places: np.ndarray, ids: dict[int, bytes]) -> np.ndarray:
+        """Nodes of occurrences, ``of`` saying which of the wanted nodes each needs and ``times`` how often that is.
+
+        A node needed once is tried with the occurrence itself, whose ids go to ``ids`` (and -1 to the result) if it skips more.
+        """
+        made = np.full(len(times), -1, np.int64)
+        often, once = np.flatnonzero(times > 1), np.flatnonzero(times == 1)
+        if len(often):
+            made[often] = self._grow(words(often), skips(often))
+        if len(once):
+            at = np.zeros(len(times), np.int64)
+            at[of] = np.arange(len(of))
+            at = at[once]
+            tried, nodes = self._try(words(once), skips(once), numbers[at])
+            made[once[list(nodes)]] = list(nodes.values())
+            where = places[at].tolist()
+            ids.update((where[i], tried[i]) for i in np.flatnonzero(made[once] < 0).tolist())
+        return made[of]
 
     def _each(self, words: list[str], numbers: np.ndarray) -> list[bytes]:
         """Ids of occurrences of words, none of them long, each segmented by the hashes of its own number."""
-        tree, ids = self.tree, {}
+        tree = self.tree = Tree()
+        ids: dict[int, bytes] = {}
         open_ = np.arange(len(words))
-        node = self._nodes(tree.first, words, lambda w: w, lambda w: (), numbers, open_, ids)
+        number_of: dict[str, int] = {}
+        of = np.array([number_of.setdefault(w, len(number_of)) for w in words], np.int64)
+        distinct = list(number_of)
+        node = self._nodes(of, np.bincount(of, minlength=len(distinct)), lambda own: [distinct[i] for i in own.tolist()], lambda own: [()] * len(own),
+                           numbers, open_, ids)
         keys = self.keyed(tree.own[node], numbers)
         open_ = open_[node >= 0] if self.limit else open_[:0]
+        six, low = np.uint64(6), np.uint64(63)
         while len(open_):
             own = node[open_]
             counts = tree.count[own]
@@ -323,25 +330,28 @@ class Codec:
             owner = np.repeat(np.arange(len(open_)), counts)
             number = np.arange(len(owner)) - heads[owner]
             merge = tree.merges[tree.at[own][owner] + number].astype(np.uint64)
-            six, low = np.uint64(6), np.uint64(63)
             at = np.flatnonzero(self.skipped(keys[open_][owner], merge >> (six + six), (merge >> six) & low, merge & low))
             if not len(at):
                 break
             at = at[np.concatenate([[True], owner[at][1:] != owner[at][:-1]])]
             open_ = open_[owner[at]]
-            children = (own[owner[at]] * 64 + number[at]).tolist()
-            node[open_] = self._nodes(tree.child, children, lambda c: tree.words[c >> 6],
-                                      lambda c: (*tree.skips[c >> 6], int(tree.merges[tree.at[c >> 6] + (c & 63)])), numbers[open_], open_, ids)
+            children, of, times = np.unique(own[owner[at]] * 64 + number[at], return_inverse=True, return_counts=True)
+            parents = (children >> 6).tolist()
+            last = tree.merges[tree.at[children >> 6] + (children & 63)].tolist()
+            node[open_] = self._nodes(of, times, lambda own, parents=parents: [tree.words[parents[i]] for i in own.tolist()],
+                                      lambda own, parents=parents, last=last: [(*tree.skips[parents[i]], last[i]) for i in own.tolist()],
+                                      numbers[open_], open_, ids)
             open_ = open_[node[open_] >= 0]
         out = [tree.ids[i] for i in node.tolist()] if tree.ids else [b""] * len(words)
         for i, own in ids.items():
             out[i] = own
+        self.tree = Tree()
         return out
 
-    def segment(self, word: str, variant: int) -> list[int]:
+    def segment(self, word: str, number: int) -> list[int]:
         """Bounds of the symbols of ``word`` (blocks for blanks) when no candidate is left, by an agenda."""
         codes = np.frombuffer(word.encode("utf-32-le"), np.uint32)
-        return self._by_agenda(word, self.word_keys(codes, np.arange(len(codes)), np.zeros(1, int), np.array([variant]))[0])
+        return self._by_agenda(word, self.word_keys(codes, np.arange(len(codes)), np.zeros(1, int), np.array([number]))[0])
 
     def _by_agenda(self, word: str, key: np.uint64) -> list[int]:
         rank, n = self.rank.get, len(word)
@@ -371,11 +381,11 @@ class Codec:
             bounds.append(at)
         return bounds
 
-    def word_ids(self, word: str, variant: int) -> bytes:
+    def word_ids(self, word: str, number: int) -> bytes:
         """Ids of a word, blocks for blanks, as 32-bit numbers."""
         if word == LITERAL:
             return np.array([self.byte_ids[x] for x in BLOCK.encode()], np.int32).tobytes()
-        bounds = self.segment(word, variant)
+        bounds = self.segment(word, number)
         out: list[int] = []
         for a, b in zip(bounds, bounds[1:], strict=False):
             found = self.ids.get(word[a:b])
@@ -398,54 +408,35 @@ class Codec:
 
     def encode(self, texts: list[str], docs: list[str]) -> list[bytes]:
         """Ids of the texts as 32-bit numbers, one after another."""
-        return self._by_variant(texts, docs) if self.variants else self._by_occurrence(texts, docs)
-
-    def _by_occurrence(self, texts: list[str], docs: list[str]) -> list[bytes]:
-        if len(self.tree.ids) > KEPT_WORDS:
-            self.tree = Tree()
         split = [self._words(text, doc) for text, doc in zip(texts, docs, strict=True)]
         words = [w for own, _ in split for w in own]
         numbers = np.concatenate([np.zeros(0, np.uint64), *[own for _, own in split]])
-        odd = [i for i, w in enumerate(words) if not 0 < len(w) <= LONG_WORD]
-        if odd:
-            ids: list[bytes] = [b""] * len(words)
-            for i in odd:
-                ids[i] = self.word_ids(words[i], numbers[i])
-            plain = np.delete(np.arange(len(words)), odd).tolist()
-            for i, own in zip(plain, self._each([words[i] for i in plain], numbers[plain]) if plain else [], strict=True):
-                ids[i] = own
-        else:
-            ids = self._each(words, numbers) if words else []
+        ids: list[bytes] = []
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here refers back to itself, and searching so many small objects for that takes long
+        try:
+            for at in range(0, len(words), TOGETHER):
+                ids += self._occurrences(words[at:at + TOGETHER], numbers[at:at + TOGETHER])
+        finally:
+            if collecting:
+                gc.enable()
         out, at = [], 0
         for own, _ in split:
             out.append(b"".join(ids[at:at + len(own)]))
             at += len(own)
         return out
 
-    def _by_variant(self, texts: list[str], docs: list[str]) -> list[bytes]:
-        if sum(map(len, self.kept)) > KEPT_WORDS:
-            for known in self.kept:
-                known.clear()
-        kept, found, missing = self.kept, [], {}
-        for text, doc in zip(texts, docs, strict=True):
-            words, numbers = self._words(text, doc)
-            which = (numbers % np.uint64(self.variants)).tolist()
-            ids = [kept[v].get(w) for w, v in zip(words, which, strict=True)]
-            if None in ids:
-                holes = [(i, words[i], which[i]) for i, x in enumerate(ids) if x is None]
-                missing.update(((w, v), None) for _, w, v in holes)
-                found.append((ids, holes))
-            else:
-                found.append((ids, ()))
-        quick = [x for x in missing if 0 < len(x[0]) <= LONG_WORD]
-        for word, variant in () if len(quick) == len(missing) else set(missing).difference(quick):
-            kept[variant][word] = self.word_ids(word, variant)
-        for at in range(0, len(quick), ROUND):
-            self._learn(quick[at:at + ROUND])
-        for ids, holes in found:
-            for i, w, v in holes:
-                ids[i] = kept[v][w]
-        return [b"".join(ids) for ids, _ in found]
+    def _occurrences(self, words: list[str], numbers: np.ndarray) -> list[bytes]:
+        odd = [i for i, w in enumerate(words) if not 0 < len(w) <= LONG_WORD]
+        if not odd:
+            return self._each(words, numbers)
+        ids: list[bytes] = [b""] * len(words)
+        for i in odd:
+            ids[i] = self.word_ids(words[i], numbers[i])
+        plain = np.delete(np.arange(len(words)), odd).tolist()
+        for i, own in zip(plain, self._each([words[i] for i in plain], numbers[plain]) if plain else [], strict=True):
+            ids[i] = own
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         table = self.bytes_of
@@ -455,12 +446,12 @@ class Codec:
 _codecs: dict[tuple, Codec] = {}
 
 
-def _codec(model: bytes, dropout: float, seed: int, variants: int) -> Codec:
-    """One codec per Python process and setting, since it keeps segmentations."""
-    key = (xxh64_intdigest(model), dropout, seed, variants)
+def _codec(model: bytes, dropout: float = 0.0, seed: int = 0) -> Codec:
+    """The codec of a model and setting; a Python process holds one, without segmentations."""
+    key = (xxh64_intdigest(model), dropout, seed)
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(model, dropout, seed, variants)
+        _codecs[key] = Codec(model, dropout, seed)
     return _codecs[key]
 
 
@@ -490,23 +481,23 @@ def _lists(made: list[bytes], texts: pa.Array) -> pa.Array:
 
 
 def encode(df: DataFrame, doc: str = "doc_id", text: str = "text", ids: str = "ids", model: str = MODEL, dropout: float = 0.1,
-           seed: int = 0, variants: int = 0) -> DataFrame:
+           seed: int = 0) -> DataFrame:
     """``df`` with the ids of its texts."""
     shared = df.sparkSession.sparkContext.broadcast(_read(model))
 
     def run(texts, docs):
-        return [_lists(_encoded(_codec(shared.value, dropout, seed, variants), texts, docs), texts)]
+        return [_lists(_encoded(_codec(shared.value, dropout, seed), texts, docs), texts)]
 
     return add_columns(df, f"`{ids}` array<int>", run, col(text), col(doc).cast("string"))
 
 
 def round_trip(df: DataFrame, doc: str = "doc_id", text: str = "text", ids: str = "ids", decoded: str = "decoded", model: str = MODEL,
-               dropout: float = 0.1, seed: int = 0, variants: int = 0) -> DataFrame:
+               dropout: float = 0.1, seed: int = 0) -> DataFrame:
     """``df`` with the ids of its texts and the texts these ids decode to, in one pass."""
     shared = df.sparkSession.sparkContext.broadcast(_read(model))
 
     def run(texts, docs):
-        codec = _codec(shared.value, dropout, seed, variants)
+        codec = _codec(shared.value, dropout, seed)
         made = _encoded(codec, texts, docs)
         back = [codec.decode(np.frombuffer(x, np.int32).tolist()) if known else None
                 for x, known in zip(made, texts.is_valid().to_pylist(), strict=True)]
@@ -520,7 +511,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "text", model: str = MOD
     shared = df.sparkSession.sparkContext.broadcast(_read(model))
 
     def run(lists):
-        codec = _codec(shared.value, 0.0, 0, 1) if not _codecs else next(iter(_codecs.values()))
+        codec = _codec(shared.value)
         values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
         return [pa.array([codec.decode(values[a:b].tolist()) if known else None
                           for a, b, known in zip(offsets, offsets[1:], lists.is_valid().to_pylist(), strict=False)], pa.string())]

@@ -263,10 +263,10 @@ def test_without_dropout_pieces_are_the_librarys(model, texts):
         assert np.frombuffer(ids, np.int32).tolist() == library.encode(text)
 
 
-def plain_agenda(codec, word, variant):
+def plain_agenda(codec, word, number):
     """The agenda as a list that is searched anew for each merge; a pair that was skipped does not come up again."""
     codes = np.array([ord(c) for c in word])
-    key = codec.word_keys(codes, np.arange(len(codes)), np.zeros(1, int), np.array([variant]))[0]
+    key = codec.word_keys(codes, np.arange(len(codes)), np.zeros(1, int), np.array([number]))[0]
     bounds, skipped = list(range(len(word) + 1)), set()
     while True:
         open_ = [(codec.rank[word[a:c]], a, b, c) for a, b, c in zip(bounds, bounds[1:], bounds[2:])
@@ -286,22 +286,52 @@ def test_merge_dropout_follows_the_agenda(model, texts, dropout):
     encoded = codec.encode(texts[:20], [str(i) for i in range(20)])
     assert encoded == pieces.Codec(model, dropout=dropout, seed=7).encode(texts[:20], [str(i) for i in range(20)])
     assert encoded != pieces.Codec(model, dropout=dropout, seed=8).encode(texts[:20], [str(i) for i in range(20)])
-    varied = Counter()
-    for variant, kept in enumerate(codec.kept):
-        for word, ids in list(kept.items())[:200]:
-            bounds = plain_agenda(codec, word, variant)
-            assert bounds == codec._by_agenda(word, codec.word_keys(np.array([ord(c) for c in word]), np.arange(len(word)), np.zeros(1, int), np.array([variant]))[0])
-            want = [i for a, b in zip(bounds, bounds[1:]) for i in ([codec.ids[word[a:b]]] if word[a:b] in codec.ids else [codec.byte_ids[x] for x in word[a:b].encode()])]
-            assert np.frombuffer(ids, np.int32).tolist() == want
-            varied[word, ids] += 1
-    assert len({w for w, _ in varied}) < len(varied)
+    for text, doc, ids in zip(texts[:20], map(str, range(20)), encoded, strict=True):
+        want = []
+        for word, number in zip(*codec._words(text, doc), strict=True):
+            bounds = plain_agenda(codec, word, number)
+            assert bounds == codec.segment(word, number)
+            want += [i for a, b in zip(bounds, bounds[1:]) for i in ([codec.ids[word[a:b]]] if word[a:b] in codec.ids else [codec.byte_ids[x] for x in word[a:b].encode()])]
+        assert np.frombuffer(ids, np.int32).tolist() == want
+
+
+def test_parts_of_a_text_do_not_change_its_pieces(model, texts, monkeypatch):
+    codec = pieces.Codec(model, dropout=0.2, seed=1)
+    docs = [str(i) for i in range(len(texts))]
+    whole = codec.encode(texts, docs)
+    monkeypatch.setattr(pieces, "TOGETHER", 777)
+    assert codec.encode(texts, docs) == whole == [codec.encode([t], [d])[0] for t, d in zip(texts, docs)]
+    assert not codec.tree.ids  # a process keeps no segmentations
+
+
+def test_pairs_are_found_by_hash(model):
+    codec = pieces.Codec(model)
+    pairs = {(codec.ids[p[:k]], codec.ids[p[k:]]): i for p, i in codec.ids.items() for k in range(1, len(p)) if p[:k] in codec.ids and p[k:] in codec.ids}
+    left, right = np.array(list(pairs)).T
+    assert (codec._pieces(left, right) == list(pairs.values())).all()
+    rng = np.random.default_rng(0)
+    left, right = rng.integers(0, len(codec.bytes_of), (2, 100_000))
+    assert codec._pieces(left, right).tolist() == [pairs.get(x, len(codec.bytes_of)) for x in zip(left.tolist(), right.tolist())]
+
+
+def test_decoding_goes_by_its_own_model(model, spark, tmp_path):
+    import glob
+    other = sorted(set(glob.glob("/opt/tokenizers/*bpe*.model")) - {pieces.MODEL})
+    with open(f"{tmp_path}/same.model", "wb") as file:
+        file.write(model)
+    df = spark.createDataFrame([(str(i), "garden stone é " * 9) for i in range(40)], "doc_id string, text string").repartition(2)
+    for path in [pieces.MODEL, f"{tmp_path}/same.model", *other]:
+        back = pieces.decode(pieces.encode(df, model=path).withColumnRenamed("text", "original"), model=path)
+        assert back.where("text <=> original").count() == 40
+    codec = pieces._codec(model, 0.1, 3)
+    assert pieces._codec(model) is not codec and pieces._codec(model, 0.1, 3).limit
 
 
 def test_each_occurrence_is_segmented_by_its_own_hashes(model, spark):
     words = ["garden", "stone", "winter", "überall", "x☃y", "ab" * 40]
     text = " ".join(words * 300)
     for times in (1, 2):  # of a new codec, and of one that knows the words
-        codec = pieces.Codec(model, dropout=0.1, seed=7, variants=0) if times == 1 else codec
+        codec = pieces.Codec(model, dropout=0.1, seed=7) if times == 1 else codec
         ids, split = codec.encode([text, text], ["a", "b"]), []
         for doc in ("a", "b"):
             own = []
