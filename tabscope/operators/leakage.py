@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabscope import settings as S
@@ -97,16 +99,19 @@ def identifier_signals(facts: DataFrame, target: str | None = None, *, settings:
 
 
 def duplicate_pairs(df: DataFrame, columns: Sequence[str] | None = None, *,
-                    settings: Settings = DEFAULT, probe_rows: int = 1_000) -> DataFrame:
+                    settings: Settings = DEFAULT) -> DataFrame:
     """(column_a, column_b, compared): columns of one type equal on every row where both exist.
 
-    One differing row settles a pair, so a first look at a few rows drops nearly all pairs
-    before the whole table is read; the pairs left are compared over all rows.
+    One scan refutes pairs by hashes of their values, whatever their number; the few left are compared over all rows.
     """
     usable = set(groupable(df))
     wanted = [f for f in fields(df, columns) if f.name in usable]
     pairs = [(a, b) for a, b in combinations(wanted, 2) if a.dataType == b.dataType]
-    pairs = [p for p, (_, differ) in _compare(df.limit(probe_rows), pairs, settings) if not differ]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, compared bigint")
+    place = {f.name: i for i, f in enumerate(wanted)}
+    refuted = refuted_pairs(df, wanted, [(place[a.name], place[b.name]) for a, b in pairs])
+    pairs = [p for k, p in enumerate(pairs) if k not in refuted]
     rows = df.count()
     floor = max(settings.copy_min_rows, settings.copy_min_overlap * rows)
     same = [(a.name, b.name, both) for (a, b), (both, differ) in _compare(df, pairs, settings)
@@ -114,6 +119,55 @@ def duplicate_pairs(df: DataFrame, columns: Sequence[str] | None = None, *,
     return df.sparkSession.createDataFrame(same, "column_a string, column_b string, compared bigint")
 
 
+#: Rows of a batch that are compared first, pairs compared at a time, and pairs in one of Spark's bitmaps.
+FIRST_LOOK, PAIRS_AT_ONCE, BITMAP = 64, 1 << 14, 1 << 15
+
+
+def refuted_pairs(df: DataFrame, columns: Sequence[T.StructField], pairs: Sequence[tuple[int, int]]) -> set[int]:
+    """Numbers of the pairs (places in ``columns``) that differ in a row where both have a value, by one job.
+
+    A task keeps the pairs that nothing refutes yet, which are few after its first rows, and hands over a bitmap of those
+    refuted; bitmaps are joined by one aggregation.
+    """
+    hashes = []
+    for i, f in enumerate(columns):
+        c = col(f.name)
+        value = c + F.lit(0.0) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c  # one zero
+        hashes.append(F.when(present(f), F.xxhash64(value)).alias(f"h{i}"))
+    one, two = (np.array(side, np.int64) for side in zip(*pairs, strict=True))
+    buckets = -(-len(pairs) // BITMAP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = np.arange(len(one))
+        for batch in batches:
+            if not len(left):
+                break
+            known = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            value = np.stack([c.fill_null(0).to_numpy() for c in batch.columns], axis=1)
+            for rows in (slice(0, FIRST_LOOK), slice(FIRST_LOOK, None)):
+                same = np.ones(len(left), bool)
+                for at in range(0, len(left), PAIRS_AT_ONCE):
+                    for k in range(at, min(len(left), at + PAIRS_AT_ONCE)) if rows.stop is None else ():
+                        a, b = one[left[k]], two[left[k]]
+                        same[k] = not ((value[rows, a] != value[rows, b]) & known[rows, a] & known[rows, b]).any()
+                    if rows.stop is not None:
+                        part = left[at:at + PAIRS_AT_ONCE]
+                        a, b = one[part], two[part]
+                        same[at:at + len(part)] = ~((value[rows][:, a] != value[rows][:, b]) & known[rows][:, a] & known[rows][:, b]).any(axis=0)
+                left = left[same]
+        bits = np.ones(buckets * BITMAP, bool)
+        bits[left] = False
+        packed = np.packbits(bits, bitorder="little").reshape(buckets, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int64)), pa.array([p.tobytes() for p in packed], pa.binary())], names=["bucket", "bits"])
+
+    found = df.select(*hashes).mapInArrow(run, "bucket bigint, bits binary").groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    refuted: set[int] = set()
+    for row in found.toArrow().to_pylist():
+        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+        refuted.update((row["bucket"] * BITMAP + np.flatnonzero(bits)).tolist())
+    return refuted
+
+
 def _compare(df, pairs, settings):
     out = []
     for start in range(0, len(pairs), settings.fields_per_pass // 2):

@@ -75,3 +75,25 @@ def test_target_correlation(spark):
 def test_unknown_target_is_ignored(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
     assert signals(df, "missing") == {}
+
+
+def test_refuted_pairs_match_a_plain_comparison(spark):
+    """Many columns, gaps, two zeros, NaN, texts and dates; one difference in one row refutes a pair."""
+    rng = np.random.default_rng(31)
+    base = rng.integers(0, 3, 500).astype(float)
+    pdf = pd.DataFrame({f"c{i:03d}": base for i in range(60)})
+    for i in range(20, 60):
+        pdf.loc[rng.integers(0, 500), f"c{i:03d}"] += i
+    pdf.loc[:, "zero"] = np.where(base == 0, -0.0, base)
+    pdf.loc[rng.random(500) < 0.5, "c001"] = np.nan
+    pdf["t1"] = pd.Series(base).astype(str)
+    pdf["t2"] = pdf["t1"]
+    df = spark.createDataFrame(pdf).repartition(6)
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = {(r["column_a"], r["column_b"]) for r in leakage.duplicate_pairs(df).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+    names = list(pdf.columns[:61])
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1:]
+            if ((pdf[a] == pdf[b]) | pdf[a].isna() | pdf[b].isna()).all() and (pdf[a].notna() & pdf[b].notna()).sum() >= 250}
+    assert got == want | {("t1", "t2")} and len(want) > 150
+    assert jobs < 30  # of 1,830 pairs
