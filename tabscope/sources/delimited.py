@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tabscope import settings as S
 from tabscope.functions.columns import as_rows, col
+from tabscope.plans.stored import stored
 
 NOTE_SCHEMA = "note_code string, column string, n bigint, message string"
 CORRUPT, LONG, SHORT = "__malformed", "__long", "__short"
@@ -74,9 +75,9 @@ def _check_text(lines: DataFrame, path) -> None:
 
 @dataclass
 class _HeaderGroup:
-    """Files with one header: its fields, clean names, and the names of the columns that are kept, by position."""
+    """Files with one header: its text, its fields, clean names, and the names of the columns that are kept, by position."""
 
-    files: list[str]
+    header: str
     raw: list[str | None]
     names: list[str]
     dropped: bool
@@ -87,26 +88,36 @@ class _HeaderGroup:
         return clean_names(self.raw[1:]) if self.dropped else self.names
 
 
-def _files_by_header(lines: DataFrame) -> list[list[str]]:
-    """Files in groups that share their first line that is not blank; groups and files in the order of paths."""
+def _headers(lines: DataFrame) -> DataFrame:
+    """(file, header): the first line of each file that is not blank, stored: file names do not come to the driver."""
     first = (lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
                           F.monotonically_increasing_id().alias("place"))
              .where((F.col("start") == 0) & (F.trim("value") != ""))
              .groupBy("file").agg(F.min_by("value", "place").alias("header")))
-    found = first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).collect()
-    return sorted(list(r["files"]) for r in found)
+    return stored(first, "headers")
 
 
-def _header_group(plain, files: list[str]) -> _HeaderGroup:
-    raw = list(plain.csv(files[0]).first())
-    return _HeaderGroup(files, raw, clean_names(raw), len(raw) > 1 and not (raw[0] or "").strip())
+def _header_groups(plain, headers: DataFrame) -> list[_HeaderGroup]:
+    """One group for each header, in the order of the first file that has it."""
+    found = headers.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").collect()
+    groups = []
+    for row in found:
+        raw = list(plain.csv(row["file"]).first())
+        groups.append(_HeaderGroup(row["header"], raw, clean_names(raw), len(raw) > 1 and not (raw[0] or "").strip()))
+    return groups
 
 
-def _group_rows(reader, group: _HeaderGroup, codes: dict[str, str], delimiter: str) -> DataFrame:
-    """Rows of a group's files, values by the codes of their columns, and whether a row is too long or too short."""
+def _group_rows(reader, path, group: _HeaderGroup, files: DataFrame | None, codes: dict[str, str], delimiter: str) -> DataFrame:
+    """Rows of a group's files, values by the codes of their columns, and whether a row is too long or too short.
+
+    ``files``: the group's own, where the path holds others, too.
+    """
     n = len(group.raw)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*(f"f{i}" for i in range(n)), CORRUPT]])
-    rows = (reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(group.files))
+    rows = (reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path))
+    if files is not None:
+        own = files.select(F.col("file").alias("__file"))
+        rows = rows.select("*", F.col("_metadata.file_path").alias("__path")).join(own, F.col("__path") == F.col("__file"), "left_semi").drop("__path")
     outside_quotes = F.regexp_replace(F.col(CORRUPT), '"[^"]*"', "")
     n_fields = F.regexp_count(outside_quotes, F.lit(re.escape(delimiter))) + 1
     bad = F.col(CORRUPT).isNotNull()
@@ -139,13 +150,15 @@ def read_delimited(spark: SparkSession, path, delimiter: str | None = None, *, e
                 .option("quote", '"').option("escape", '"').option("multiLine", multiline)
                 .option("ignoreLeadingWhiteSpace", True).option("columnPruning", False))
 
-    groups = [_header_group(reader(False), files) for files in _files_by_header(lines)]
+    headers = _headers(lines)
+    groups = _header_groups(reader(False), headers)
     # columns of all files by name, in the order of the first file that has them
     order = list(dict.fromkeys(name for g in groups for name in g.kept))
     kept = [(f"c{i}", name) for i, name in enumerate(order)]
     rows = None
     for g in groups:
-        own = _group_rows(reader(True), g, dict(zip(order, (c for c, _ in kept))), delimiter)
+        files = headers.where(F.col("header") == g.header) if len(groups) > 1 else None
+        own = _group_rows(reader(True), path, g, files, dict(zip(order, (c for c, _ in kept))), delimiter)
         rows = own if rows is None else rows.unionByName(own)
     too_long, short = F.col(LONG), F.col(SHORT)
 
@@ -161,13 +174,17 @@ def read_delimited(spark: SparkSession, path, delimiter: str | None = None, *, e
     full = good & ~empty
     exprs = [F.count_if(full).alias("rows"), F.count_if(too_long).alias("long"), F.count_if(short & good).alias("short"),
              F.count_if(good & empty).alias("empty"), F.count_if(good & broken).alias("broken")]
+    row = rows.agg(*exprs).first().asDict()
+    per_column = {}
     for c, _ in kept:
         v = F.when(good, value[c])
-        exprs += [F.count(v).alias(f"n_{c}"), F.count_if(v.rlike(S.PLAIN_NUMBER)).alias(f"num_{c}"),
+        per_column[c] = [F.count(v).alias(f"n_{c}"), F.count_if(v.rlike(S.PLAIN_NUMBER)).alias(f"num_{c}"),
                   F.count_if(v.rlike(WHOLE)).alias(f"int_{c}"),
                   F.count_if(F.lower(v).isin("true", "false")).alias(f"bool_{c}"),
                   F.count_if(good & value[c].isNotNull() & (F.col(c) != F.trim(c))).alias(f"trim_{c}")]
-    row = rows.agg(*exprs).first()
+    step = max(1, S.DEFAULT.fields_per_pass // 5)
+    for start in range(0, len(kept), step):  # few enough fields a scan for generated code
+        row |= rows.agg(*[e for c, _ in kept[start:start + step] for e in per_column[c]]).first().asDict()
     if not row["rows"]:
         raise LoadError(f"{path} holds a header but no data rows")
 
