@@ -17,6 +17,8 @@ from tabscope.settings import DEFAULT, Settings
 
 #: Size of a sketch, some 200 kB, and the share of ranks by which it is off, rarely more.
 SKETCH, ERROR = 8192, 0.0007
+#: How many times that a bracket reaches to either side of a rank.
+SLACK = 2.0
 
 
 def exact_quantiles(
@@ -62,25 +64,26 @@ def _in_parts(table: DataFrame, columns: Sequence[str], settings: Settings, buil
 
 
 def order_statistics(
-    table: DataFrame, wanted: Mapping[str, Sequence[int]], sizes: Mapping[str, int], settings: Settings = DEFAULT, slack: float = 2.0
+    table: DataFrame, wanted: Mapping[str, Sequence[int]], sizes: Mapping[str, int], settings: Settings = DEFAULT, slack: float = SLACK
 ) -> dict[tuple[str, int], float]:
     """The values at the given zero-based ranks of each double column, exactly.
 
-    Neighbouring ranks share a bracket, which reaches ``slack`` times the sketch's error to either side of them.
+    Neighbouring ranks share a bracket, which reaches ``slack`` times the sketch's error to either side of them; a
+    sketch that still holds all values brackets each rank by the value itself.
     """
     if not wanted:
         return {}
+    reach_of = {c: 0.0 if sizes[c] <= SKETCH and slack <= SLACK else slack * ERROR * sizes[c] + 1 for c in wanted}
     spans: list[tuple[str, int, int]] = []  # column, first and last rank
     for c, ranks in wanted.items():
         for r in ranks:
-            if spans and spans[-1][0] == c and spans[-1][2] + 1 >= r:
+            if reach_of[c] and spans and spans[-1][0] == c and spans[-1][2] + 1 >= r:
                 spans[-1] = (c, spans[-1][1], r)
             else:
                 spans.append((c, r, r))
     edges = {c: [] for c in wanted}
     for c, first, last in spans:
-        reach = slack * ERROR * sizes[c] + 1
-        edges[c] += [min(max(r, 0.0), sizes[c] - 1.0) / max(sizes[c] - 1, 1) for r in (first - reach, last + reach)]
+        edges[c] += [(min(max(r, 0.0), sizes[c] - 1.0) + 0.5) / sizes[c] for r in (first - reach_of[c], last + reach_of[c])]
     sketch = _in_parts(table, list(wanted), settings, lambda c: [
         F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(c, SKETCH), F.array(*[F.lit(e) for e in edges[c]])).alias(f"q_{c}"),
         F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")])
@@ -88,7 +91,7 @@ def order_statistics(
     at = dict.fromkeys(wanted, 0)
     for c, first, last in spans:
         lo, hi = sketch[f"q_{c}"][at[c]:at[c] + 2]
-        reach = slack * ERROR * sizes[c] + 1
+        reach = reach_of[c]
         brackets[c, first, last] = (sketch[f"lo_{c}"] if first <= reach else lo, sketch[f"hi_{c}"] if last >= sizes[c] - 1 - reach else hi)
         at[c] += 2
 

@@ -61,6 +61,27 @@ def test_quantiles_with_a_third_of_all_rows_at_one_value(spark, scaled):
     assert got == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.99])))
 
 
+def test_quantiles_beyond_the_sketch(spark):
+    """More values than a sketch holds: brackets are counted, walked, and sought again where they miss."""
+    rng = np.random.default_rng(17)
+    values = np.concatenate([rng.normal(size=30_000), np.full(12_000, 0.25), rng.integers(0, 40, 3_000)])
+    pdf = pd.DataFrame({"x": rng.permutation(values), "few": rng.integers(0, 3, len(values)).astype(float)})
+    probabilities = [0.0, 0.001, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = exact_quantiles(spark.createDataFrame(pdf), {"x": F.col("x"), "few": F.col("few"), "none": F.lit(None).cast("double")}, probabilities)
+    assert got["none"] is None
+    for c in pdf:
+        assert got[c] == pytest.approx(list(np.quantile(pdf[c], probabilities)), abs=1e-12)
+
+
+def test_missed_brackets_are_sought_again(spark, monkeypatch):
+    from tabscope.plans import quantiles
+    monkeypatch.setattr(quantiles, "SKETCH", 64)
+    monkeypatch.setattr(quantiles, "ERROR", 1e-6)
+    values = np.random.default_rng(18).normal(size=20_000)
+    got = exact_quantiles(column(spark, list(map(float, values))), {"x": F.col("x")}, [0.1, 0.5, 0.99])["x"]
+    assert got == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.99])), abs=1e-12)
+
+
 def test_running_totals_over_ranges(spark):
     df = spark.range(50).select(F.col("id").cast("double").alias("v"), (F.col("id") % 4 + 1).alias("n"))
     want = np.cumsum(np.arange(50) % 4 + 1)
