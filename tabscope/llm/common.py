@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -54,3 +55,13 @@ def add_columns(df: DataFrame, added: str, function: Callable[..., list], *input
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(first)], *made], names=names)
 
     return base.mapInArrow(run, schema)
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """Little-endian numbers byte by byte, all lowest bytes first, so that high zeros compress."""
+    return values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def numbers(data: bytes, width: int) -> np.ndarray:
+    """The numbers of ``planes``."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").reshape(-1).astype(np.uint64)

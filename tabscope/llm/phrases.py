@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
 from tabscope.functions.columns import col
-from tabscope.llm.common import as_bytes
+from tabscope.llm.common import as_bytes, numbers, planes
 from tabscope.plans.stored import stored
 
 #: A-Z to lower case, ends of pieces to a line feed, tabs to a blank.
@@ -142,15 +142,6 @@ def slices(langs: list[str], texts: list[bytes], most_words: int) -> Iterator[tu
         begin = stop
 
 
-def _planes(values: np.ndarray, width: int) -> bytes:
-    """Little-endian numbers byte by byte, all lowest bytes first, so that high zeros compress."""
-    return values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
-
-
-def _numbers(data: bytes, width: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").reshape(-1).astype(np.uint64)
-
-
 def added(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes with the sums of their counts."""
     if not len(hashes):
@@ -220,8 +211,8 @@ def survivors(texts: DataFrame, least: int, most_words: int, partitions: int) ->
             own = [p for p in range(partitions) if bounds[p] < bounds[p + 1]]
             steps = [np.diff(hashes[bounds[p]:bounds[p + 1]], prepend=np.uint64(0)) for p in own]
             return pa.RecordBatch.from_arrays([
-                pa.array(own, pa.int32()), pa.array([_planes(s, 8) for s in steps], pa.binary()),
-                pa.array([_planes(counts[bounds[p]:bounds[p + 1]], 4) for p in own], pa.binary())], names=["part", "steps", "counts"])
+                pa.array(own, pa.int32()), pa.array([planes(s, 8) for s in steps], pa.binary()),
+                pa.array([planes(counts[bounds[p]:bounds[p + 1]], 4) for p in own], pa.binary())], names=["part", "steps", "counts"])
 
         for found, _ in _read(batches, most_words):
             held += [value for _, value in found.sizes]
@@ -237,7 +228,7 @@ def survivors(texts: DataFrame, least: int, most_words: int, partitions: int) ->
         for batch in batches:
             for steps, counts in zip(batch.column("steps"), batch.column("counts"), strict=True):
                 with np.errstate(over="ignore"):
-                    summary.add(np.cumsum(_numbers(steps.as_py(), 8)), _numbers(counts.as_py(), 4).astype(np.int64))
+                    summary.add(np.cumsum(numbers(steps.as_py(), 8)), numbers(counts.as_py(), 4).astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(summary.survivors().view(np.int64))], names=["gram"])
 
     dealt = texts.mapInArrow(deal, "part int, steps binary, counts binary")

@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabscope.functions.columns import col
-from tabscope.llm.common import add_columns, as_bytes, replaced
+from tabscope.llm.common import add_columns, as_bytes, numbers, planes, replaced
 from tabscope.plans.stored import stored
 
 DISCOUNT = 0.75
 MOST_FITTED = 20_000
 MOST_SENT = 2_000_000
+#: Bytes of labelled text whose expressions a hash partition holds on average.
+PART_TEXT = 4 << 20
 #: Labels (8 bytes of id, a flag) up to this number are broadcast to the texts, more are joined by a shuffle.
 MOST_LABELS = 1_000_000
 #: A-Z to lower case; ASCII that is neither letter nor digit to a blank.
@@ -150,42 +152,66 @@ def fold_of(doc: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc.cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """(gram, of_gram, toxic, ordinary): how often each expression stands in texts of either kind, and what it goes on from."""
-    most = 1 << 22
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nothing = tuple(np.zeros(0, np.int64) for _ in range(4))
-        sums, waiting, size = nothing, [], 0
-
-        def merge():
-            nonlocal sums, size
-            found = [np.concatenate(x) for x in zip(sums, *waiting, strict=True)]
-            every, first, place = np.unique(found[0], return_index=True, return_inverse=True)
-            sums = every, found[1][first], *(np.bincount(place, x, len(every)).astype(np.int64) for x in found[2:])
-            waiting.clear()
-            size = 0
-
-        def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in sums], names=["gram", "of_gram", "toxic", "ordinary"])
+def counted(rows: DataFrame, partitions: int) -> DataFrame:
+    """(gram, of_gram, toxic, ordinary): how often each expression stands in texts of either kind, and what it goes on from.
+
+    Tasks add up what they meet and deal it by hash to ``partitions``, as sorted numbers of which the differences are sent.
+    """
+    held_most, new_most = 1 << 22, 1 << 21
+    top = np.uint64(32)
+
+    def summed(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """Distinct expressions in order, with sums of their counts; a column at a time, to hold little twice."""
+        gram = np.concatenate([x[0] for x in found])
+        order = np.argsort(gram, kind="stable")
+        gram = gram[order]
+        heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(gram)), bool), gram[1:] != gram[:-1]]))
+        gram = gram[heads]
+        shorter = np.concatenate([x[1] for x in found])[order[heads]]
+        counts = [np.add.reduceat(np.concatenate([x[k] for x in found])[order], heads) if len(heads) else np.zeros(0, np.int64) for k in (2, 3)]
+        return gram, shorter, *counts
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, distinct = [], 0, 0
+
+        def dealt() -> pa.RecordBatch:
+            gram, shorter, toxic, ordinary = summed(held)
+            parts = ((gram >> top) * np.uint64(partitions)) >> top
+            bounds = np.searchsorted(parts, np.arange(partitions + 1, dtype=np.uint64))
+            own = [p for p in range(partitions) if bounds[p] < bounds[p + 1]]
+            spans = [slice(bounds[p], bounds[p + 1]) for p in own]
+            columns = [[planes(np.diff(gram[x], prepend=np.uint64(0)), 8) for x in spans], [shorter[x].tobytes() for x in spans],
+                       [planes(toxic[x], 4) for x in spans], [planes(ordinary[x], 4) for x in spans]]
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *[pa.array(c, pa.binary()) for c in columns]],
+                                              names=["part", "steps", "shorter", "toxic", "ordinary"])
 
         for batch in batches:
             for text, toxic in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 own, shorter, _ = grams(text)
-                kind = np.full(len(own), int(bool(toxic)), np.int64)
-                waiting.append((own, shorter, kind, 1 - kind))
+                kind = np.full(len(own), int(bool(toxic)), np.int32)
+                held.append((own.view(np.uint64), shorter, kind, 1 - kind))
                 size += len(own)
-                if size >= most:
-                    merge()
-                    if len(sums[0]) >= most:
-                        yield batch_of()
-                        sums = nothing
-        merge()
-        if len(sums[0]):
-            yield batch_of()
+                if size - distinct >= new_most:
+                    held = [summed(held)]
+                    size = distinct = len(held[0][0])
+                    if distinct >= held_most:
+                        yield dealt()
+                        held, size, distinct = [], 0, 0
+        if size:
+            yield dealt()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for batch in batches:
+            for steps, shorter, toxic, ordinary in zip(*[batch.column(c) for c in ("steps", "shorter", "toxic", "ordinary")], strict=True):
+                with np.errstate(over="ignore"):
+                    found.append((np.cumsum(numbers(steps.as_py(), 8)), np.frombuffer(shorter.as_py(), np.int64),
+                                  *(numbers(x.as_py(), 4).astype(np.int64) for x in (toxic, ordinary))))
+        gram, *others = summed(found)
+        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *[pa.array(x) for x in others]], names=["gram", "of_gram", "toxic", "ordinary"])
 
-    partial = rows.select("text", "toxic").mapInArrow(run, "gram bigint, of_gram bigint, toxic bigint, ordinary bigint")
-    return partial.groupBy("gram").agg(F.min("of_gram").alias("of_gram"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    dealt_out = rows.select("text", "toxic").mapInArrow(deal, "part int, steps binary, shorter binary, toxic binary, ordinary binary")
+    return dealt_out.groupBy("part").applyInArrow(merged, "gram bigint, of_gram bigint, toxic bigint, ordinary bigint")
 
 
 def weights(counts: DataFrame, least_z: float) -> DataFrame:
@@ -267,7 +293,10 @@ class Curve:
 def scored(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", least_z: float = 5.0, folds: int = 5) -> DataFrame:
     """``df`` with held_out (the row is in fold 0), score and predicted; labels: ``doc`` and ``toxic``."""
     rows = labelled(df, labels, doc, text, folds)
-    found = stored(weights(stored(counted(rows.where(F.col("fold") < folds - 1)), "expression-counts"), least_z), "expression-weights")
+    learnt = rows.where(F.col("fold") < folds - 1)
+    size = learnt.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    partitions = max(1, math.ceil(size / PART_TEXT))
+    found = stored(weights(stored(counted(learnt, partitions), "expression-counts"), least_z), "expression-weights")
     fitted = with_value(rows.where(F.col("fold") == folds - 1), "text", found, "value")
     sample = fitted.select("pick", "value", "toxic").orderBy("pick", "value").limit(MOST_FITTED).toArrow()  # numbers alone are sorted
     curve = Curve.of(sample["value"].to_numpy(), sample["toxic"].to_numpy(zero_copy_only=False).astype(bool))

@@ -489,3 +489,41 @@ def test_toxicity_without_labels(spark, documents, nothing):
     assert toxicity.scored(nothing, none).count() == 0
 
 
+
+
+def plain_weights(rows, least_z):
+    """Log-ratios of both Kneser-Ney models by their definition, from (text, toxic)."""
+    import math
+    counts, of = {}, {}
+    for text, toxic in rows:
+        own, shorter, _ = toxicity.grams((text or "").encode())
+        for g, s in zip(own.tolist(), shorter.tolist()):
+            counts.setdefault(g, [0, 0])[0 if toxic else 1] += 1
+            of[g] = s
+    more = Counter(s for s in of.values() if s)
+    out = {}
+    for kind in toxicity.KINDS:
+        grams = [g for g in counts if g & 15 == kind]
+        totals = [sum(counts[g][c] for g in grams) for c in (0, 1)]
+        if not all(totals):
+            continue
+        mass = [sum(min(counts[g][c], toxicity.DISCOUNT) for g in grams) for c in (0, 1)]
+        goes_on = {g: n for g, n in more.items() if g & 15 == (toxicity.WORD if kind == toxicity.PAIR else kind)}
+        every = sum(n * (n + 1) for n in goes_on.values()) if kind == toxicity.PAIR else len(grams) + sum(goes_on.values())
+        for g in grams:
+            shared = (more.get(of[g] if kind == toxicity.PAIR else g, 0) + 1) / every
+            expected = sum(counts[g]) * totals[0] / sum(totals)
+            if abs(counts[g][0] - expected) >= least_z * math.sqrt(max(expected, 0.5)):
+                chance = [(max(counts[g][c] - toxicity.DISCOUNT, 0) + mass[c] * shared) / totals[c] for c in (0, 1)]
+                out[g] = math.log(chance[0] / chance[1])
+    return out
+
+
+@pytest.mark.parametrize("partitions, least_z", [(1, 0.0), (9, 1.0)])
+def test_counts_and_weights_of_two_models(spark, texts, partitions, least_z):
+    rows = [(t, i % 3 == 0) for i, t in enumerate(texts[:50])] + [(None, True), ("", False), ("böse Wörter 他是坏人。 böse", True), ("他是好人。", False)]
+    df = spark.createDataFrame(rows, "text string, toxic boolean").repartition(5)
+    got = {r["gram"]: r["weight"] for r in toxicity.weights(toxicity.counted(df, partitions), least_z).collect()}
+    want = plain_weights(rows, least_z)
+    assert got.keys() == want.keys() and len(got) > 4
+    assert all(got[g] == pytest.approx(want[g], rel=1e-9) for g in got)
