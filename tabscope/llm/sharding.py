@@ -65,9 +65,11 @@ def shuffled(df: DataFrame, key: str = "doc_id", shards: int = 16, seed: int = 0
     before = stored(counts, "bucket-sizes").selectExpr(
         "bucket AS of_bucket", "coalesce(sum(rows) OVER (PARTITION BY of_shard ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier")
     together = (scattered.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "row_hash")
-                .groupBy("bucket").agg(F.collect_list(F.struct("own", "shard", "grown_shard")).alias("held")))
+                .groupBy("bucket").agg(F.collect_list(F.struct("own", "shard", "grown_shard")).alias("held"))
+                # here a partition is a bucket, and the order that its seed gives does not depend on the join
+                .select("bucket", F.shuffle("held", seed).alias("held")))
     placed = (together.join(F.broadcast(before) if n <= MOST_BROADCAST else before, F.col("bucket") == F.col("of_bucket"))
-              .select("bucket", "earlier", F.posexplode(F.shuffle("held", seed)).alias("place", "row")))
+              .select("bucket", "earlier", F.posexplode("held").alias("place", "row")))
     return placed.select(F.col("row.own.*"), F.col("row.shard").alias("__shard"), F.col("bucket").alias("__bucket"),
                          (F.col("earlier") + F.col("place")).cast("bigint").alias("__slot"), F.col("row.grown_shard").alias("__grown")).select(
         *others(df, RESULT), *[F.col(f"__{c}").alias(r) for c, r in zip(("shard", "bucket", "slot", "grown"), RESULT, strict=True)])
