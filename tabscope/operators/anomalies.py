@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabscope.functions.columns import as_rows, col, fields, finite, groupable, of_kind, share
-from tabscope.functions.isolation import expected_path, grow_tree, mean_path
+from tabscope.functions.isolation import WALKERS, Heaps, expected_path, grow_tree, heaps, walk
 from tabscope.plans.facts import NumberFacts, number_facts
 from tabscope.plans.quantiles import exact_quantiles
 from tabscope.plans.running import attach, average_ranks
@@ -111,32 +111,52 @@ def _pool(df: DataFrame, features: list[str], medians: dict[str, float], id_colu
     point = imputed(df, features, medians)
     points = df.select(F.xxhash64(F.lit(seed), *identity, *point).alias("key"), F.array(*point).alias("point"),
                        F.monotonically_increasing_id().alias("row_no"))
-    repeated = stored(points.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("of")), "repeated")
-    place = F.when(F.col("of").isNotNull(), F.col("row_no"))
-    picks = points.join(repeated, F.col("key") == F.col("of"), "left").select(
-        F.pmod(F.xxhash64("key", F.lit(seed), place), F.lit(PICK_RANGE)).alias("pick"), "key", "point")
+    # picks are even: twice the share wanted holds the smallest ones, which is checked, and keeps counts and sort small
+    wanted = 2.0 * size / max(rows, 1)
+    while True:
+        reach = int(PICK_RANGE * min(1.0, wanted))
+        repeated = stored(repeated_keys(points, stored(keys_within(points, reach, seed), "keys")), "repeated")
+        place = F.when(F.col("of").isNotNull(), F.col("row_no"))
+        picks = points.join(repeated, F.col("key") == F.col("of"), "left").select(_pick(seed, place).alias("pick"), "key", "point")
+        found = picks.where(F.col("pick") < reach).orderBy("pick", "key").limit(size).select("point").collect()
+        if len(found) >= size or wanted >= 1.0:
+            return np.array([r["point"] for r in found], dtype="float64")
+        wanted *= 8
 
-    def smallest(some: DataFrame) -> list:
-        return some.orderBy("pick", "key").limit(size).select("point").collect()
 
-    # picks are even: twice the share wanted holds the smallest ones, which is checked, and keeps the sort small
-    share_wanted = 2.0 * size / max(rows, 1)
-    found = smallest(picks.where(F.col("pick") < int(PICK_RANGE * min(1.0, share_wanted))))
-    if len(found) < size:
-        found = smallest(picks)
-    return np.array([r["point"] for r in found], dtype="float64")
+def _pick(seed: int, place: Column) -> Column:
+    return F.pmod(F.xxhash64("key", F.lit(seed), place), F.lit(PICK_RANGE))
+
+
+def keys_within(points: DataFrame, reach: int, seed: int) -> DataFrame:
+    """(of): keys with a pick below ``reach``, be they repeated or not; only of these it must be known which they are."""
+    alone, placed = _pick(seed, F.lit(None).cast("long")), _pick(seed, F.col("row_no"))
+    return points.where((alone < reach) | (placed < reach)).select(F.col("key").alias("of")).distinct()
+
+
+def repeated_keys(points: DataFrame, keys: DataFrame) -> DataFrame:
+    """(of): those of ``keys`` that more than one row has."""
+    return (points.select("key").join(keys, F.col("key") == F.col("of"), "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+            .where("n > 1").select(F.col("key").alias("of")))
 
 
 def anomaly_score(df: DataFrame, forest: Forest) -> Column:
     """Score column: minus 2^(-mean path / expected path); lower is more unusual."""
-    model = df.sparkSession.sparkContext.broadcast(forest.trees)
-    limit, scale = forest.depth_limit, float(max(expected_path(forest.sample), 1e-12))
+    model = df.sparkSession.sparkContext.broadcast(vars(heaps(forest.trees, forest.depth_limit, len(forest.features))))
+    scale = float(max(expected_path(forest.sample), 1e-12))
 
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        trees = model.value
+        trees = Heaps(**model.value)
+        scores = lambda parts: pd.Series(-np.exp2(-walk([np.concatenate(c) for c in zip(*parts)], trees) / scale))
+        held, n = [], 0
         for batch in batches:
-            columns = [c.to_numpy(dtype="float64") for c in batch]
-            yield pd.Series(-np.exp2(-mean_path(columns, trees, limit) / scale))
+            held.append([c.to_numpy(dtype="float64") for c in batch])
+            n += len(batch[0])
+            if n >= WALKERS:
+                yield scores(held)
+                held, n = [], 0
+        if held:
+            yield scores(held)
 
     score.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
     return F.pandas_udf(score, T.DoubleType())(*imputed(df, forest.features, forest.medians))

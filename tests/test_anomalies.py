@@ -1,12 +1,17 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
+from tabscope.functions import isolation
 from tabscope.functions.isolation import expected_path, grow_tree, mean_path
 from tabscope.operators import anomalies
+from tabscope.settings import DEFAULT
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +82,80 @@ def test_repeated_ids_and_rows_are_drawn(spark):
 def test_rows_are_scored_once(spark, planted):
     found = anomalies.detect_anomalies(planted, ["a", "b", "c"], id_columns=["i"], trees=5)
     assert "ArrowEvalPython" not in found.records._jdf.queryExecution().toString()
+
+
+def _trees(points, number, sample, depth):
+    trees = {k: [] for k in ("feature", "threshold", "left", "path")}
+    for tree in range(number):
+        rng = np.random.default_rng([3, tree])
+        nodes = sorted(grow_tree(points[rng.choice(len(points), sample, replace=False)], rng, depth))
+        for j, (k, t) in enumerate([("feature", "int64"), ("threshold", "float64"), ("left", "int64"), ("path", "float64")], 1):
+            trees[k].append(np.array([n[j] for n in nodes], dtype=t))
+    return trees
+
+
+def _plain_walk(columns, trees, depth):
+    """Node by node, each with its own feature and threshold."""
+    n = len(columns[0])
+    values, own, total = np.concatenate(columns), np.arange(n), np.zeros(n)
+    for feature, threshold, left, path in zip(trees["feature"], trees["threshold"], trees["left"], trees["path"]):
+        at = np.zeros(n, dtype=np.intp)
+        for _ in range(depth):
+            at = left.take(at) + (values.take((feature * n).take(at) + own) > threshold.take(at))
+        total += path.take(at)
+    return total / len(trees["feature"])
+
+
+def _columns(rng, n):
+    return [rng.normal(size=n), rng.integers(0, 5, n).astype(float), rng.exponential(size=n).round(1), rng.normal(size=n) * 1e200]
+
+
+@pytest.mark.parametrize(("sample", "depth", "features"), [(256, 8, 4), (600, 10, 2), (5, 3, 4), (2, 1, 1), (1, 1, 1), (40, 2, 3)])
+def test_walk_equals_the_plain_one(monkeypatch, sample, depth, features):
+    monkeypatch.setattr(isolation, "WALKERS", 700)
+    rng = np.random.default_rng(21)
+    trees = _trees(np.stack(_columns(rng, 2000)[:features], axis=1), 12, sample, depth)
+    columns = _columns(rng, 3001)[:features]
+    for k in range(features):  # values that are thresholds, and beyond all
+        cuts = np.concatenate([t[f == k] for f, t in zip(trees["feature"], trees["threshold"])])
+        columns[k][:len(cuts)] = cuts[:3001]
+    columns[0][-2:] = np.inf, -np.inf
+    assert (mean_path(columns, trees, depth) == _plain_walk(columns, trees, depth)).all()
+    assert len(mean_path([c[:0] for c in columns], trees, depth)) == 0
+
+
+def test_walk_takes_less_time_than_the_plain_one():
+    """Scoring takes most of the time on large tables."""
+    rng = np.random.default_rng(22)
+    trees = _trees(np.stack(_columns(rng, 20_000), axis=1), 40, 256, 8)
+    columns = _columns(rng, 60_000)
+
+    def seconds(walk):
+        start = time.process_time()
+        walk(columns, trees, 8)
+        return time.process_time() - start
+
+    assert min(seconds(mean_path) for _ in range(4)) < 0.75 * min(seconds(_plain_walk) for _ in range(4))
+
+
+def test_pool_is_that_of_all_rows_and_counts_few_of_them(spark, monkeypatch):
+    """Whether a key repeats is asked only of keys that may be drawn; the pool is the one that a count of all keys gives."""
+    df = spark.range(0, 60_000, 1, 4).select(
+        F.when(F.col("id") < 50_000, F.col("id")).otherwise(F.col("id") % 7).alias("i"),
+        F.when(F.col("id") < 50_000, F.col("id") % 1000).otherwise(F.col("id") % 7).cast("double").alias("a"))
+    written = {}
+
+    def keep(frame, label):
+        written[label] = frame.localCheckpoint()
+        return written[label]
+
+    monkeypatch.setattr(anomalies, "stored", keep)
+    size, seed = 200, DEFAULT.seed
+    pool = anomalies._pool(df, ["a"], {"a": 0.0}, ["i"], size, 60_000, seed)
+    assert written["keys"].count() < 20 * size
+    points = df.select(F.xxhash64(F.lit(seed), "i", "a").alias("key"), "a", F.monotonically_increasing_id().alias("row_no"))
+    times = points.groupBy("key").agg(F.count("*").alias("n"))
+    picks = points.join(times, "key").select("key", "a", F.pmod(F.xxhash64(
+        "key", F.lit(seed), F.when(F.col("n") > 1, F.col("row_no"))), F.lit(anomalies.PICK_RANGE)).alias("pick"), "n")
+    want = picks.orderBy("pick", "key").limit(size).collect()
+    assert pool[:, 0].tolist() == [r["a"] for r in want] and any(r["n"] > 1 for r in want)
