@@ -4,8 +4,12 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
-from tabscope.operators import leakage
+from tabscope import settings as S
+from tabscope.functions import columns
+from tabscope.operators import leakage, profile
+from tabscope.plans.counts import value_counts
 from tabscope.settings import Settings
 
 
@@ -97,3 +101,51 @@ def test_refuted_pairs_match_a_plain_comparison(spark):
             if ((pdf[a] == pdf[b]) | pdf[a].isna() | pdf[b].isna()).all() and (pdf[a].notna() & pdf[b].notna()).sum() >= 250}
     assert got == want | {("t1", "t2")} and len(want) > 150
     assert jobs < 30  # of 1,830 pairs
+
+
+def test_values_are_counted_once(spark, monkeypatch):
+    """Five parts read the facts of the columns, whose counts are the largest shuffle."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(_):
+        read.add(1)
+        return True
+
+    monkeypatch.setattr(leakage, "value_counts", lambda df: value_counts(df.where(seen.asNondeterministic()("score"))))
+    df = spark.createDataFrame([(i * 1.5, f"K{i:04d}", "ab"[i % 2], i % 2) for i in range(300)], "score double, record_key string, final_state string, target int")
+    got = signals(df)
+    assert {("record_key", "identifier_like"), ("final_state", "perfect_separation"), ("final_state", "outcome_name"), ("target", "target_selection")} <= set(got)
+    assert read.value == 300
+
+
+ODD = ["", " ", "1", " 1 ", "+1", "-1", "(12)", "( 12 )", "12%", "$1,200", "-$5", "1e5", "1E+5", ".5", "5.", ".", "e", "+", "()", "%", "1\n", "1\u2028", "\u00a07\u3000", "1\x00",
+       "1-2", "1-2-3", "1/2/99", "12:30", "1:2", "2024-1-5", "2024/01/05 10:11:12", " 2024-01-05T10:11:12Z ", "5 Jan 2024", "JAN 2024", "jAn", "mart", "second", "deck",
+       "1999/1/1", "199-1-1", "1-URGENT", "4-NOT SPECIFIED", "ORD-1234", "\u017fep", "yes", "NO", "T", "\u0661", "\U0001f600", "12\u20ac", "nan", "inf", "0x10", "1d", "1f"]
+
+
+def test_facts_of_distinct_texts_are_those_of_all(spark):
+    df = spark.createDataFrame([(t, "x" if i % 3 else None, None, i, f"{i % 9}%") for i, t in enumerate(ODD * 3 + [None])],
+                               "odd string, gaps string, nothing string, whole int, share string")
+    df = df.withColumn("day", F.to_timestamp(F.lit("2024-01-05")))
+    want = rows(profile.text_probe(df), "column")
+    got = rows(profile.value_facts(value_counts(df), ["odd", "gaps", "nothing", "share"]), "column")
+    assert {c: {k: v for k, v in r.items() if k != "n_unique"} for c, r in got.items() if c not in ("whole", "day")} == {
+        c: r for c, r in want.items() if r["n_present"]}
+    assert got["odd"]["n_date"] > 3 and got["odd"]["n_number"] > 12 and got["day"]["n_date"] == 0
+    assert got["odd"]["n_unique"] == len(set(ODD)) and got["share"]["n_unique"] == 9
+
+
+def test_what_is_looked_at_first_refutes_no_number_and_no_date(spark):
+    t, bare = F.col("t"), columns.undecorated(F.col("t"))
+    df = spark.createDataFrame([(x,) for x in ODD] + [(f"{a}{m}{b}",) for m in "Jan fEB MAR apr may jun jul aug sep oct nov dec".split() for a in ("", "x1") for b in ("", "9")], "t string")
+    row = df.agg(F.count_if(columns.date_hinted(t) != t.rlike(S.DATE_HINT)), F.count_if(
+        ~columns.parse_number(t).eqNullSafe(F.when(bare.rlike(S.PLAIN_NUMBER), bare.try_cast("double")))), F.count_if(columns.date_hinted(t))).first()
+    assert row[0] == row[1] == 0 and row[2] > 50
+
+
+def test_separation_is_the_same_with_known_facts(spark):
+    df = spark.createDataFrame([(i % 2, "ab"[i % 2] if i % 5 else None, "same", "few" if i < 9 else None, float("nan") if i % 2 else 1.0) for i in range(120)],
+                               "target int, text string, one string, few string, x double").withColumn("day", F.expr("date_add(date'2024-01-01', target)"))
+    known = rows(leakage.separation(df, "target", facts=facts_of(df)), "column")
+    assert known == rows(leakage.separation(df, "target"), "column") and set(known) == {"text", "day"}
