@@ -113,15 +113,16 @@ def _pool(df: DataFrame, features: list[str], medians: dict[str, float], id_colu
                        F.monotonically_increasing_id().alias("row_no"))
     # picks are even: twice the share wanted holds the smallest ones, which is checked, and keeps counts and sort small
     wanted = 2.0 * size / max(rows, 1)
+    small = F.broadcast  # some four times the size of the pool, however large the table
     while True:
         reach = int(PICK_RANGE * min(1.0, wanted))
-        repeated = stored(repeated_keys(points, stored(keys_within(points, reach, seed), "keys")), "repeated")
+        repeated = stored(repeated_keys(points, small(stored(keys_within(points, reach, seed), "keys"))), "repeated")
         place = F.when(F.col("of").isNotNull(), F.col("row_no"))
-        picks = points.join(repeated, F.col("key") == F.col("of"), "left").select(_pick(seed, place).alias("pick"), "key", "point")
+        picks = points.join(small(repeated), F.col("key") == F.col("of"), "left").select(_pick(seed, place).alias("pick"), "key", "point")
         found = picks.where(F.col("pick") < reach).orderBy("pick", "key").limit(size).select("point").collect()
         if len(found) >= size or wanted >= 1.0:
             return np.array([r["point"] for r in found], dtype="float64")
-        wanted *= 8
+        wanted, small = wanted * 8, lambda keys: keys
 
 
 def _pick(seed: int, place: Column) -> Column:
